@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, secrets, sharding, tokens
+from . import jaccard, langid, mixing, secrets, sharding, tokens
 
 QUERIES = {
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op5_token_files": tokens.op5_token_files,
     "op7_sharding": sharding.op7_sharding,
     "op8_mixing": mixing.op8_mixing,
