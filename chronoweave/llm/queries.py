@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, mixing, secrets, sharding, tokens
+from . import decontam, jaccard, langid, mixing, secrets, sharding, tokens
 
 QUERIES = {
     "op2_secret_scan": secrets.op2_secret_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_token_files": tokens.op5_token_files,
     "op7_sharding": sharding.op7_sharding,
     "op8_mixing": mixing.op8_mixing,
+    "op9_decontamination": decontam.op9_decontamination,
     "op10_language_id": langid.op10_language_id,
 }
 
