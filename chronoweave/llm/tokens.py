@@ -13,8 +13,8 @@ table gives empty files; other columns are ignored.  Texts of any length are rea
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ BLOCK_IDS = 1 << 16
 END_ID = 0
 #: Rows that one file takes at most, on average.
 FILE_ROWS = 8_000
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 
 
 def pack_block(raw: bytes, planes: str = "byte", level: int = 3) -> tuple[bytes, list[int]]:
@@ -62,15 +62,12 @@ def unpack_block(payload: bytes, lengths: list[int], n: int) -> bytes:
     return np.packbits(bits, axis=1, bitorder="little").tobytes()
 
 
-#: Where words can't be told apart by single blanks and line ends alone, a text is encoded whole.
-_WHOLE = re.compile(r"\s\s|[^\S \n]|\s\Z|\A\s|<\|")
-
-
 class WordEncoder:
     """The tokenizer's ids of a text as bytes, with a bounded cache of words.
 
-    The byte-level pre-tokenizer always cuts before a blank or a line end that stands alone between other characters, and merges
-    never cross its cuts: so the ids of such a text are those of its words, each with the blank before it.
+    The byte-level pre-tokenizer always cuts before a blank or a line end that stands alone between other characters, between a
+    letter and a final stop or comma, and merges never cross its cuts: so the ids of such a text are those of its words, each with the
+    blank before it.  A text with other white space, or what may be a special token, is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -80,33 +77,51 @@ class WordEncoder:
         self.cache: dict[str, bytes] = {}
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> set[str]:
+        """Cache the ids of ``words``; those that must not be encoded alone are returned."""
+        cache, odd, ended, plain, other = self.cache, set(), [], [], []
+        for w in words:
+            core = w[1:] if w[:1] in ("\n", "\t") else w
+            if core.split() != [core] or "<|" in core:
+                odd.add(w)
+            elif w[-1] in ".," and w[-2:-1].isalpha():
+                ended.append(w)
+                if w[:-1] not in cache and w[:-1] not in words:
+                    (plain if w[:-1].isalpha() else other).append(w[:-1])
+            else:
+                (plain if w.isalpha() else other).append(w)
+        plain, other = list(dict.fromkeys(plain)), list(dict.fromkeys(other))
+        if plain:
+            got = self.tokenizer.encode("".join(" " + w for w in plain), add_special_tokens=False)
+            ids, word = np.asarray(got.ids, dtype="<u4"), np.asarray(got.word_ids)
+            cuts = (np.flatnonzero(np.diff(word)) + 1) * 4
+            if len(cuts) + 1 != len(plain):
+                raise AssertionError("a word of letters alone is one pre-token")
+            raw, ends = ids.tobytes(), [*cuts.tolist(), 4 * len(ids)]
+            cache.update((w, raw[x:y]) for w, x, y in zip(plain, [0, *ends], ends, strict=False))
+        if other:
+            cache.update(zip(other, self._bytes([w if w[0] == "\n" else w[1:] if w[0] == "\t" else " " + w for w in other]), strict=True))
+        if ended:
+            stop = dict(zip(".,", self._bytes([".", ","]), strict=True))
+            cache.update((w, cache[w[:-1]] + stop[w[-1]]) for w in ended)
+        return odd
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        whole, parts = [], {}
         cache = self.cache
-        for i, t in enumerate(texts):
-            if not t:
-                out[i] = b""
-            elif _WHOLE.search(t):
-                whole.append(i)
+        if len(cache) > CACHE_ENTRIES:
+            cache.clear()
+        # A marker stands for the blank that the first word of a text doesn't have.
+        parts = [("\t" + t.replace("\n", " \n")).split(" ") if t else [] for t in texts]
+        new = {w for words in parts for w in words if w not in cache}
+        odd = self._learn(new) if new else set()
+        out: list[bytes] = []
+        for t, words in zip(texts, parts, strict=True):
+            if odd and not odd.isdisjoint(words):
+                out += self._bytes([t])
             else:
-                # A marker stands for the blank that the first word of a text doesn't have.
-                parts[i] = ("\t" + t.replace("\n", " \n")).split(" ")
-        if whole:
-            for i, ids in zip(whole, self._bytes([texts[i] for i in whole]), strict=True):
-                out[i] = ids
-        for i, words in parts.items():
-            try:
-                out[i] = b"".join(map(cache.__getitem__, words))
-            except KeyError:
-                new = [w for w in dict.fromkeys(words) if w not in cache]
-                raw = [w if w[0] == "\n" else w[1:] if w[0] == "\t" else " " + w for w in new]
-                cache.update(zip(new, self._bytes(raw), strict=True))
-                out[i] = b"".join(map(cache.__getitem__, words))
-                if len(cache) > CACHE_ENTRIES:
-                    cache.clear()
+                out.append(b"".join(map(cache.__getitem__, words)))
         return out
 
 
