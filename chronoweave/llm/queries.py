@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, langid, mixing, secrets, sharding, tokens
+from . import decontam, embed, jaccard, langid, mixing, pii, quality, secrets, sharding, tokens
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
+    "op4_embedding_dedup": embed.op4_embedding_dedup,
     "op5_token_files": tokens.op5_token_files,
+    "op6_quality": quality.op6_quality,
     "op7_sharding": sharding.op7_sharding,
     "op8_mixing": mixing.op8_mixing,
     "op9_decontamination": decontam.op9_decontamination,
