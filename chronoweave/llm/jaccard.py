@@ -8,9 +8,9 @@ one-deletion neighbourhood.  So a linked pair agrees on some segment's key.  A c
 chance too often and are left out; spare weight makes up for them, and a set that leaves out more than the spare weight is keyed again
 with another partition of the universe, where the same holds, and at last with one that leaves out nothing.  No linked pair is lost.
 
-Equal sets are one class.  Within a bucket, first each class is held against the bucket's first one; the links found, verified exactly
-on the whole sets, give components.  Then, in each bucket that still holds several components, all pairs from different components
-are held against each other: parity sketches, which bound the difference of two sets from below, rule out most pairs, and the rest are
+Equal sets are one class.  Within a bucket, first each class is held against one of the bucket's; the links found, verified exactly on
+the whole sets, give components, and where a bucket still holds several of them, this is done once more with another one.  Then, in
+each bucket that holds several components even so, all pairs from different components are held against each other: parity sketches, which bound the difference of two sets from below, rule out most pairs, and the rest are
 verified exactly.  Large buckets are cut into blocks.  So a group of near copies costs one comparison for each copy, not one for each
 pair, and links that matter for the components are never lost.  Equality of shingles, and of classes, is that of 64-bit hashes.
 
@@ -39,6 +39,8 @@ ROUNDS = 3
 BLOCK = 512
 #: Rows with one key that a task sees before it deals the key to several partitions.
 HOT = 64
+#: Open keys of a set up to which its pairs are told by one bucket only; pairs of sets with more may be told repeatedly.
+KEYS = 256
 PARTS = 61
 MARK = -1
 #: Ids of documents (8 bytes each) that may be broadcast; more are joined by a shuffle.
@@ -293,6 +295,9 @@ def _likely(percent: int):
             at = np.flatnonzero(apart) + x + 1
             least, most = np.minimum(n[at], n[x]), np.maximum(n[at], n[x])
             at = at[(100 * least >= percent * most) & (np.bitwise_count(bits[at] ^ bits[x]).sum(axis=1) <= (n[at] + n[x]) * (100 - percent) // (100 + percent))]
+            # A pair that shares several open keys is told by the least of them.
+            mine = run[x]["keys"]
+            at = [y for y in at.tolist() if mine is None or run[y]["keys"] is None or min(set(mine).intersection(run[y]["keys"])) == run[x]["key"]]
             us.append(np.minimum(cls[at], cls[x]))
             vs.append(np.maximum(cls[at], cls[x]))
         return us, vs
@@ -390,24 +395,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     buckets = written(sorted_.mapInArrow(_shared, "key long, member long"), "buckets")
     cls, owner = F.col("member").bitwiseAND(-2).alias("cls"), (F.col("member").bitwiseAND(1) == 1).alias("owner")
 
-    # First each member against its bucket's first owner.
-    first = buckets.where(owner).groupBy("key").agg(F.min(cls).alias("v"))
-    stars = buckets.join(first, "key").select(cls.alias("u"), "v").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     known = classes.select("cls", "n", "sketch")
-    stars = stars.join(known.toDF("u", "nu", "su"), "u").join(known.toDF("v", "nv", "sv"), "v")
-    stars = stars.mapInArrow(_sketched(percent), "u long, v long")
-    links = written(_verify(stars, docs, classes, k, percent), "links")
-    labels = connected_components(links).toDF("cls", "label")
-
-    # Then, where a bucket holds several components, their members against each other.
-    labelled = buckets.select("key", cls, owner).join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    labelled = written(labelled, "labelled")
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.max("owner").alias("any"))
-    open_ = open_.where("low <> high and any").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    left = labelled.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
+        pairs = pairs.join(known.toDF("u", "nu", "su"), "u").join(known.toDF("v", "nv", "sv"), "v")
+        return written(_verify(pairs.mapInArrow(_sketched(percent), "u long, v long"), docs, classes, k, percent), "links")
+
+    def still_open(links: DataFrame) -> DataFrame:
+        """Rows of the buckets that hold several components of ``links``."""
+        labels = connected_components(links).toDF("cls", "label")
+        rows = buckets.select("key", cls, owner).join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        rows = written(rows, "labelled")
+        open_ = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.max("owner").alias("any"))
+        return rows.join(open_.where("low <> high and any").select("key", "size"), "key")
+
+    # First each member against one owner of its bucket: the first, then, where that left several components, any other.
+    first = buckets.where(owner).groupBy("key").agg(F.min(cls).alias("v"))
+    links = checked(buckets.join(first, "key").select(cls.alias("u"), "v"))
+    rest = written(still_open(links), "open")
+    other = rest.where("owner").groupBy("key").agg(F.min_by(F.struct("cls", "label"), F.xxhash64("key", "cls")).alias("c"))
+    more = rest.join(other, "key").where(F.col("label") != F.col("c.label")).select(F.col("cls").alias("u"), F.col("c.cls").alias("v"))
+    links = links.union(checked(more))
+
+    # Then, where a bucket holds several components still, their members against each other.
+    rest = written(still_open(links), "open")
+    keys = rest.groupBy("cls").agg(F.when(F.count("*") <= KEYS, F.collect_list("key")).alias("keys"))
+    left = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    left = left.select("key", "i", "j", "block", "cls", "label", "owner").join(known, "cls")
+    left = left.select("key", "i", "j", "block", "cls", "label", "owner").join(known.join(keys, "cls"), "cls")
     left = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cls")
     crossed = left.mapInArrow(_likely(percent), "u long, v long").distinct()
     more = written(_verify(crossed, docs, classes, k, percent), "links")
