@@ -4,10 +4,11 @@ Texts are lower-cased and cut into words (runs of letters and digits, so case an
 mask is a pattern of word positions that count and positions that are ignored; at every position of every document and benchmark item
 each mask gives one hash of the words that count, so a substituted word spoils only those windows in which it counts.  Joined hashes
 are hits.  A hit fixes how document and item lie against each other; around it the stretch with the best score (a match 1, a
-mismatch -1) is found, and the pair is an overlap if that score reaches ``least``, or the item's own length if it is shorter.  Of
-hits that follow each other on one alignment only the first is verified.
+mismatch -1) is found, and the pair is an overlap if that score reaches ``least``, or the item's own length if it is shorter.  Hits on
+one alignment are verified once.
 
-The benchmark's hashes are broadcast only if there are at most ``BROADCAST_ROWS``; beyond that both sides are joined by a shuffle.
+The benchmark's hashes, and the alignments that are hit, are broadcast only if there are at most ``BROADCAST_ROWS``; beyond that both
+sides are joined by a shuffle.
 Defined results: null, empty and short texts (fewer words than a mask spans) overlap with nothing, as do such items; repeated rows and
 repeated ids are reported once for each (id, item); an empty table gives an empty result; other columns are ignored.
 """
@@ -49,9 +50,10 @@ def _counted(n: Column, m: int) -> Column:
 
 def _seeds(df: DataFrame, words: str, key: str, at: str, mask: str) -> DataFrame:
     """A row for each mask and position, with its hash."""
-    out = df.withColumn("seeds_", F.concat(*(_windows(words, m) for m in range(len(MASKS)))))
+    kept = [c for c in df.columns if c != words]
+    out = df.withColumn("seeds_", F.concat(*(_windows(words, m) for m in range(len(MASKS))))).withColumn("n_", F.size(words))
     # The outer form: for the inner one the optimiser infers a filter on the array and computes the array in it once more.
-    out = out.select(*df.columns, F.size(words).alias("n_"), F.posexplode_outer("seeds_").alias("p_", key)).where(F.col(key).isNotNull())
+    out = out.select(*kept, "n_", F.posexplode_outer("seeds_").alias("p_", key)).where(F.col(key).isNotNull())
     first = [F.lit(0)]
     for m in range(len(MASKS)):
         first.append(first[-1] + _counted(F.col("n_"), m))
@@ -59,7 +61,7 @@ def _seeds(df: DataFrame, words: str, key: str, at: str, mask: str) -> DataFrame
     start = F.when(F.col("p_") < first[1], first[0])
     for m in range(1, len(MASKS)):
         which, start = which.when(F.col("p_") < first[m + 1], m), start.when(F.col("p_") < first[m + 1], first[m])
-    return out.select(*df.columns, key, which.alias(mask), (F.col("p_") - start).alias(at))
+    return out.select(*kept, key, which.alias(mask), (F.col("p_") - start).alias(at))
 
 
 def _best_stretch(least: int) -> Column:
@@ -84,27 +86,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, text: st
     """One row for each document and item that overlap: ``(row_id, item_id, score, start, end, item_start, item_end)`` of the best
     stretch, in words, ends exclusive."""
     items = benchmark.select(F.col(item_id).alias("item_id"), _word_hashes(item_text).alias("item_words"))
-    tests = written(_seeds(items, "item_words", "seed", "item_at", "mask"), "seeds")
-    train = docs.select(F.col(row_id).alias("doc_id"), _word_hashes(text).alias("doc_words"))
-    if tests.count() <= BROADCAST_ROWS:
-        hits = _seeds(train, "doc_words", "seed", "at", "doc_mask").join(F.broadcast(tests), "seed")
-    else:
-        seeds = _seeds(train, "doc_words", "seed", "at", "doc_mask").select("doc_id", "seed", "at")
-        pairs = seeds.join(tests.select("seed", "mask", "item_id", "item_at"), "seed").select("doc_id", "mask", "item_id", "at", "item_at").distinct()
-        hits = pairs.join(items, "item_id").join(train, "doc_id")
-    hits = hits.withColumn("shift", F.col("at") - F.col("item_at"))
-    before = [
-        (F.col("mask") == m)
-        & (F.col("at") > 0)
-        & (F.col("item_at") > 0)
-        & F.forall(F.array(*map(F.lit, _offsets(mask))), lambda o: F.get("item_words", F.col("item_at") - 1 + o) == F.get("doc_words", F.col("at") - 1 + o))
-        for m, mask in enumerate(MASKS)
-    ]
-    follows = before[0]
-    for b in before[1:]:
-        follows = follows | b
-    firsts = hits.where(~follows)
-    best = firsts.select("doc_id", "item_id", "shift", F.size("item_words").alias("n_item"), _best_stretch(least).alias("s"))
+    tests = written(_seeds(items, "item_words", "seed", "item_at", "mask").select("item_id", "seed", "item_at"), "seeds")
+    train = docs.select(F.col(row_id).alias("doc_id"), F.col(text).alias("text"))
+    # The words don't travel with the seeds: a row for each position would repeat them.
+    seeds = _seeds(train.select("doc_id", _word_hashes("text").alias("doc_words")), "doc_words", "seed", "at", "doc_mask").select("doc_id", "seed", "at")
+    hits = seeds.join(F.broadcast(tests) if tests.count() <= BROADCAST_ROWS else tests, "seed")
+    # Hits that lie on one alignment are one row, before the shuffle already.
+    lines = written(hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits").withColumnRenamed("doc_id", "hit_id")
+    few = lines.count() <= BROADCAST_ROWS
+    both = train.join(F.broadcast(lines) if few else lines, train["doc_id"].eqNullSafe(F.col("hit_id"))).drop("hit_id")
+    both = both.withColumn("doc_words", _word_hashes("text")).drop("text").withColumnRenamed("item_id", "item")
+    both = both.join(items, F.col("item").eqNullSafe(F.col("item_id"))).drop("item")
+    best = both.select("doc_id", "item_id", "shift", F.size("item_words").alias("n_item"), _best_stretch(least).alias("s"))
     good = best.where(F.col("s.score") >= F.least(F.lit(least), F.col("n_item")))
     told = F.struct(F.col("s.score").alias("score"), (-(F.col("s.start") + F.col("shift"))).alias("minus_start"), (F.col("s.end") + F.col("shift")).alias("end"), F.col("s.start").alias("item_start"), F.col("s.end").alias("item_end"))
     out = good.groupBy("doc_id", "item_id").agg(F.max(told).alias("t"))
