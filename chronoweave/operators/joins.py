@@ -98,19 +98,28 @@ def best_evidence(preds: DataFrame, evidence: DataFrame, by: list[str]) -> DataF
 def alternative_matches(hyp: DataFrame, refs: DataFrame, block: list[str], least_words: int = 5, most: float = 0.25, gain: float = 0.3, k: int = 3) -> DataFrame:
     """Other references that fit a hypothesis well where its own doesn't: up to ``k`` by (distance, key).
 
-    ``hyp``: key, words, own (own distance); ``refs``: key, words.  Lists of lengths n and m within distance d share a word unless
-    d >= max(n, m), so candidates are joined on shared words; each pair is kept once, by its least shared word.
+    ``hyp``: key, words, own (own distance); ``refs``: key, words.  Texts of n and m words within distance d have at least
+    (1 - d) * max(n, m) words in common, repeats counted.  So with all texts' words in one order, rare ones first, a pair shares one
+    of the first n - ceil((1 - d) * n) + 1 words of each: only these are joined on, and frequent words hardly ever are.
     """
     from ..functions.text import edit_counts, normalized_distance
 
-    h = hyp.where((F.size("words") >= least_words) & (F.col("own") >= gain)).select(*block, F.col("key").alias("key"), F.col("words").alias("hyp_"), "own")
-    r = refs.where(F.size("words") >= least_words).select(*block, F.col("key").alias("other"), F.col("words").alias("ref_"))
-    pairs = h.withColumn("w_", F.explode(F.array_distinct("hyp_"))).join(r.withColumn("w_", F.explode(F.array_distinct("ref_"))), [*block, "w_"]).where("key <> other")
-    # Texts within the distance share most words: count before texts are held against each other.
-    shared = pairs.groupBy(*block, "key", "other").agg(F.count("*").alias("shared_"), F.first("hyp_").alias("hyp_"), F.first("ref_").alias("ref_"), F.first("own").alias("own"))
+    # A word's repeats are words of their own.
+    told = lambda c: F.transform(c, lambda w, i: F.concat(w, F.lit("#"), F.size(F.filter(F.slice(c, F.lit(1), i), lambda x: x == w)).cast("string")))
+    h = hyp.where((F.size("words") >= least_words) & (F.col("own") >= gain)).select(*block, F.col("key").alias("key"), F.col("words").alias("hyp_"), "own", told(F.col("words")).alias("h_"))
+    r = refs.where(F.size("words") >= least_words).select(*block, F.col("key").alias("other"), F.col("words").alias("ref_"), told(F.col("words")).alias("r_"))
+    often = r.select(F.explode("r_").alias("w_")).groupBy("w_").agg(F.count("*").alias("often_"))
+
+    def first_words(df: DataFrame, key: str, words: str) -> DataFrame:
+        each = df.select(*block, key, F.size(words).alias("n_"), F.explode(words).alias("w_")).join(often, "w_", "left")
+        rank = F.row_number().over(Window.partitionBy(*block, key).orderBy(F.coalesce("often_", F.lit(0)), "w_"))
+        return each.withColumn("k_", rank).where(F.col("k_") <= F.col("n_") - F.ceil((1 - most) * F.col("n_")) + 1).select(*block, key, "w_")
+
+    pairs = first_words(h, "key", "h_").join(first_words(r, "other", "r_"), [*block, "w_"]).where("key <> other").select(*block, "key", "other").distinct()
     n, m = F.size("hyp_"), F.size("ref_")
     longest = F.greatest(n, m)
-    near = shared.where((F.abs(n - m) <= most * longest) & (F.col("shared_") > 0))
+    both = pairs.join(h, [*block, "key"]).join(r, [*block, "other"])
+    near = both.where((F.abs(n - m) <= most * longest) & (F.size(F.array_intersect("h_", "r_")) >= (1 - most) * longest))
     d = near.withColumn("distance", normalized_distance(edit_counts(F.col("ref_"), F.col("hyp_"))["c"], n, m))
     good = d.where((F.col("distance") <= most) & (F.col("own") - F.col("distance") >= gain))
     w = Window.partitionBy("key").orderBy("distance", "other")

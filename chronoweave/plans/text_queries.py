@@ -79,8 +79,8 @@ def t8(spark, d):
     return c.select(*C, F.when(F.col("language").isNotNull(), F.array_contains(F.array(F.lit("en"), F.lit("de")), F.col("language"))).alias("supported"))
 
 
-ALT = """al AS (SELECT doc_id, lang, list_slice(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), 1, 20) AS w FROM documents WHERE doc_id % 1 = 0),
-    pr AS (SELECT h.doc_id AS key, r.doc_id AS other, h.w AS hw, r.w AS rw, len(h.w) AS m, len(r.w) AS n FROM al h JOIN al r ON h.lang = r.lang AND h.doc_id <> r.doc_id AND len(h.w) >= 5 AND len(r.w) >= 5 AND len(list_intersect(h.w, r.w)) >= 1 AND len(list_intersect(h.w, r.w)) >= 0.2 * greatest(len(h.w), len(r.w))),
+ALT = """al AS (SELECT doc_id, lang, list_slice(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), 1, 20) AS w FROM documents),
+    pr AS (SELECT h.doc_id AS key, r.doc_id AS other, h.w AS hw, r.w AS rw, len(h.w) AS m, len(r.w) AS n FROM al h JOIN al r ON h.lang = r.lang AND h.doc_id <> r.doc_id AND len(h.w) >= 5 AND len(r.w) >= 5),
     vc AS (SELECT *, list_distinct(list_concat(hw, rw)) AS voc FROM pr), cd AS (SELECT *, levenshtein(array_to_string(list_transform(rw, lambda w: chr(35 + list_position(voc, w)::INT)), ''), array_to_string(list_transform(hw, lambda w: chr(35 + list_position(voc, w)::INT)), '')) / greatest(n, m, 1) AS dist FROM vc),
     rk AS (SELECT key, other, dist, row_number() OVER (PARTITION BY key ORDER BY dist, other) AS r FROM cd WHERE dist <= 0.25)"""
 
