@@ -279,6 +279,9 @@ def _likely(percent: int):
     """Pairs of different components, of each run of rows with one (key, i, j), that sketches don't rule out."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
+    def told(own: set[int], guest: set[int], other: dict) -> int:
+        return min(own.intersection(other["own"]) | own.intersection(other["guest"]) | guest.intersection(other["own"]))
+
     def pairs(run: list[dict]):
         across = run[0]["i"] != run[0]["j"]
         bits = _folded([r["sketch"] for r in run])
@@ -295,9 +298,10 @@ def _likely(percent: int):
             at = np.flatnonzero(apart) + x + 1
             least, most = np.minimum(n[at], n[x]), np.maximum(n[at], n[x])
             at = at[(100 * least >= percent * most) & (np.bitwise_count(bits[at] ^ bits[x]).sum(axis=1) <= (n[at] + n[x]) * (100 - percent) // (100 + percent))]
-            # A pair that shares several open keys is told by the least of them.
-            mine = run[x]["keys"]
-            at = [y for y in at.tolist() if mine is None or run[y]["keys"] is None or min(set(mine).intersection(run[y]["keys"])) == run[x]["key"]]
+            # A pair that shares several open keys is told by the least of those in which one of the two is an owner.
+            if run[x]["own"] is not None:
+                own, guest = set(run[x]["own"]), set(run[x]["guest"])
+                at = [y for y in at.tolist() if run[y]["own"] is None or told(own, guest, run[y]) == run[x]["key"]]
             us.append(np.minimum(cls[at], cls[x]))
             vs.append(np.maximum(cls[at], cls[x]))
         return us, vs
@@ -420,7 +424,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
 
     # Then, where a bucket holds several components still, their members against each other.
     rest = written(still_open(links), "open")
-    keys = rest.groupBy("cls").agg(F.when(F.count("*") <= KEYS, F.collect_list("key")).alias("keys"))
+    own, guest = (F.when(F.count("*") <= KEYS, F.collect_list(F.when(F.col("owner") == is_own, F.col("key")))) for is_own in (True, False))
+    keys = rest.groupBy("cls").agg(own.alias("own"), guest.alias("guest"))
     left = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))

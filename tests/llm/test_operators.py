@@ -14,6 +14,7 @@ from chronoweave.llm import embed, jaccard, langid, mixing, pii, quality, secret
 from chronoweave.llm.common import fresh_path
 from chronoweave.llm.components import connected_components
 from chronoweave.llm.queries import QUERIES
+from chronoweave.llm.shingles import shingle_set
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -150,6 +151,27 @@ def test_jaccard(spark, docs, k, percent):
     assert len(set(groups.values())) < len(groups) - 50
 
 
+def test_jaccard_below_a_band(spark):
+    """Pairs whose keys are all common ones, and that also meet in keys of the next band, where only larger texts are owners."""
+
+    def place(word):
+        return int(shingle_set(word.encode(), 1)[0]) / 2**64
+
+    # What all texts share is spread over the universe, what tells them apart lies in its last segment.
+    words = [f"s2x{i}" for i in range(10_000)]
+    common = [next(w for w in words if i <= 20 * place(w) < i + 1) for i in range(19)]
+    rest = iter([w for w in words if place(w) >= 0.97])
+    rows = []
+    for _ in range(20):
+        pair = [next(rest) for _ in range(7)]
+        rows += [[*common, *pair, next(rest)], [*common, *pair, next(rest)]]
+    rows += [[*common, *(next(rest) for _ in range(13))] for _ in range(4)]
+    texts = {i: " ".join(w) for i, w in enumerate(rows)}
+    out = jaccard.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 1, 80).collect()
+    groups, _ = plain_groups(texts, 1, 80)
+    assert {r["doc_id"]: r["component_id"] for r in out} == groups and len(set(groups.values())) == 24
+
+
 def test_signatures_meet():
     """Linked sets share a key, whatever their sizes, also where segments are left out."""
     rng = np.random.default_rng(3)
