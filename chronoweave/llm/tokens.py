@@ -112,13 +112,14 @@ class WordEncoder:
         cache = self.cache
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
-        # A marker stands for the blank that the first word of a text doesn't have.
-        parts = [("\t" + t.replace("\n", " \n")).split(" ") if t else [] for t in texts]
+        # A tab stands for the blank that the first word of a text doesn't have; a text that holds tabs of its own is encoded whole.
+        whole = [t is not None and "\t" in t for t in texts]
+        parts = [("\t" + t.replace("\n", " \n")).split(" ") if t and not w else [] for t, w in zip(texts, whole, strict=True)]
         new = {w for words in parts for w in words if w not in cache}
         odd = self._learn(new) if new else set()
         out: list[bytes] = []
-        for t, words in zip(texts, parts, strict=True):
-            if odd and not odd.isdisjoint(words):
+        for t, w, words in zip(texts, whole, parts, strict=True):
+            if w or odd and not odd.isdisjoint(words):
                 out += self._bytes([t])
             else:
                 out.append(b"".join(map(cache.__getitem__, words)))

@@ -234,6 +234,15 @@ def test_tokens(spark, docs):
         start += len(ids)
 
 
+def test_tokens_with_tabs():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.default_vocabulary())
+    texts = ["a \tb", "\ta", "a\t b", " \t", "x = 1 \t# one\n \ty", "a b"]
+    raw = tokens.WordEncoder(tokens.default_vocabulary()).encode(texts)
+    assert [list(np.frombuffer(x, dtype="<u4")) for x in raw] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_quality(spark):
     sf = SF.replace("0.001", "0.01")
     out = QUERIES["op6_quality"](spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id", suffixes=("", "_known"))
