@@ -86,6 +86,34 @@ def test_pii_terms(spark):
     assert "zorblax" not in clean[0] and "zed@" not in clean[0] and "<EMAIL>" in clean[0] and clean[100] == rows[6][1]
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_pii_terms_everywhere(spark, monkeypatch, most):
+    """Terms count and are told in the whole text, far from the address and in texts without it; against plain counts."""
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+    filler = " ".join(f"plain{'abcdefgh'[i % 8]}" for i in range(60))
+    texts = [f"report {i} of zed@ship.example {filler} signed Zorblax, zorblax" for i in range(6)] + [f"note 6 of zed@ship.example {filler} zorblax"] * 2
+    texts += ["yesterday zorblax called", "quuxly and zed2@ship.example", None, "", "zorblax@else.example"] + [f"other {i} with {filler} captain" for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.detect(df).collect()}
+    words = [{w.lower() for w in re.findall(r"[A-Za-z]{4,}", x or "")} for x in texts]
+    outside = [{w.lower() for w in re.findall(r"[A-Za-z]{4,}", re.sub(r"\S+@[\w.]+", " ", x or ""))} for x in texts]
+    held = [i for i, x in enumerate(texts) if "zed@" in (x or "")]
+    told = set()
+    for w in set().union(*words):
+        both = [i for i in held if w in outside[i]]
+        if len({texts[i] for i in both}) >= 3:
+            n = sum(w in x for x in words)
+            if np.log(len(texts) * len(both) / (n * len(held))) / np.log(len(texts) / len(held)) >= pii.GENERALISE:
+                told.add(w)
+    assert "zorblax" in told and "captain" not in told and "plaina" not in told
+    for i, x in enumerate(texts):
+        masked = re.sub(r"\S+@[\w.]+", lambda m: "@" * len(m[0]), x or "")
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z]{4,}", masked) if m[0].lower() in told]
+        assert [s for s in out[i]["spans"].split(",") if s.startswith("term")] == want and out[i]["n_terms"] == len(want)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert not any("zorblax" in (x or "").lower() for x in clean.values()) and clean[9] == "quuxly and <EMAIL>" and clean[10] is None
+
+
 def test_secrets(spark, docs):
     def plain(x):
         found = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", x, re.ASCII) if len(m[2]) >= 6]
