@@ -34,8 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.select("doc_id", "text", "lang"))
     if not model[0]:
         return docs
-    told = langid.identify(docs, model, keep=("doc_id", "text", "source", "n_chars"))
-    kept = told.where((F.col("lang_pred") != langid.NONE) & (F.col("score") >= LEAST_SHARE))
+    kept = langid.identify(docs, model, keep=("doc_id", "text", "source", "n_chars"), least_share=LEAST_SHARE)
     return kept.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
