@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +19,14 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share; a local one only where the session names none (tests)."""
+    """Folder that the driver and all executors share; a local one only where the session names none and all runs on this machine."""
     global _own_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="chronoweave-")
     return _own_dir
@@ -52,5 +57,24 @@ def hash_share(*cols, seed: int = 0):
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int, column: int | None = None, most_bytes: int = 1 << 20) -> Iterable[pa.RecordBatch]:
+    """The batches in slices of ``rows`` rows, so that a task holds few texts as Python objects.
+
+    With ``column`` a slice also ends where that column's texts reach ``most_bytes``; a longer text is a slice of its own.
+    At the end Arrow's memory goes back to the system, since Python workers are used again.
+    """
+    for b in batches:
+        cuts = np.arange(0, b.num_rows, rows)
+        if column is not None and b.num_rows:
+            sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(sizes)
+            cuts = np.union1d(cuts, np.flatnonzero(np.diff(ends // most_bytes, prepend=0)))
+        for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), b.num_rows], strict=False):
+            if high > low:
+                yield b.slice(low, high - low)
+        del b
+    pa.default_memory_pool().release_unused()
+
+
 def batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -5,22 +5,22 @@ maximisation estimates the share of its n-grams that each language gave.  Langua
 as long as the log likelihood gains more than the penalty (the Bayesian information criterion's, scaled), so the set of a document in
 one language has one element.
 
-Fitting sees a bounded sample: the labelled documents with the smallest hash of their id, about ``TRAIN_DOCUMENTS`` of them.
+Fitting sees a bounded sample: the labelled documents with the smallest hash of their id, about ``TRAIN_DOCUMENTS`` of them.  The model
+holds the ``MAX_LANGUAGES`` languages with the most labelled documents of the sample.
 
-Defined results: null, empty and letterless texts are ``und`` with score 0; null labels are not learned from; repeated rows get equal
-results; an empty table gives an empty result, and without any labelled document every text is ``und``; other columns are ignored.
+Defined results: null, empty and letterless texts are ``und`` with score 0 (numbers and signs are no letters); null labels are not
+learned from; repeated rows get equal results; an empty table gives an empty result, and without any labelled document every text is
+``und``; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, documents
+from .common import batch, documents, sliced
 
 TRAIN_DOCUMENTS = 20_000
 BUCKETS = 1 << 16
@@ -28,7 +28,12 @@ MAX_LANGUAGES = 200
 PENALTY = 4.0
 ROUNDS = 12
 NONE = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Rows that a task holds as Python objects at once.
+SLICE_ROWS = 128
+
+
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
 
 
 def _bucket_ids(text: str) -> np.ndarray:
@@ -48,7 +53,7 @@ _FOLD[128:] = np.arange(128, 256)
 def _counted(batches):
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
     totals: dict[str, np.ndarray] = {}
-    for b in batches:
+    for b in sliced(batches, SLICE_ROWS):
         for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if lang not in totals:
                 totals[lang] = np.zeros(BUCKETS, dtype=np.int64)
@@ -65,8 +70,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", row_id: st
     if n > limit:
         share = F.pmod(F.xxhash64(F.lit(10), F.col(row_id)), F.lit(1_000_000))
         usable = usable.where(share < int(1_000_000 * limit / n))
-    if usable.select(label).distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    known = usable.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(MAX_LANGUAGES)
+    usable = usable.join(F.broadcast(known.select(label)), label, "left_semi")  # MAX_LANGUAGES rows at most
     counts = usable.select(text, label).mapInArrow(_counted, "lang string, bucket int, n long")
     table = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most MAX_LANGUAGES * BUCKETS rows
     names = sorted(set(table.column("lang").to_pylist()))
@@ -114,24 +119,33 @@ def infer(text: str, log_p: np.ndarray, penalty: float = PENALTY) -> list[tuple[
 _OUT = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string())), ("shares", pa.list_(pa.float64()))])
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",), penalty: float = PENALTY) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``lang_pred``, ``score`` (its share), ``languages`` and ``shares`` of the chosen set."""
+def identify(
+    docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",), penalty: float = PENALTY, least_share: float | None = None
+) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with ``lang_pred``, ``score`` (its share), ``languages`` and ``shares`` of the chosen set.
+
+    With ``least_share`` only the rows whose first language has that share or more leave the task; ``und`` rows never do then.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # MAX_LANGUAGES * BUCKETS numbers at most
-    fields = [docs.schema[c] for c in keep]
+    sent = [*keep, *([] if text in keep else [text])]
 
     def run(batches):
         names, log_p = shared.value
-        for b in batches:
+        for b in sliced(batches, SLICE_ROWS):
             rows = []
-            for t in b.column(len(keep)).to_pylist():
-                found = infer(t, log_p, penalty) if t and _LETTER.search(t) else []
+            for t in b.column(sent.index(text)).to_pylist():
+                found = infer(t, log_p, penalty) if has_letter(t) else []
                 rows.append((names[found[0][0]], min(1.0, found[0][1]), [names[k] for k, _ in found], [s for _, s in found]) if found else (NONE, 0.0, [], []))
             out = batch(_OUT, zip(*rows, strict=True) if rows else [[] for _ in _OUT])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *out.columns], names=[*keep, *_OUT.names])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.select(*keep, text).mapInArrow(run, f"{kinds}, lang_pred string, score double, languages array<string>, shares array<double>")
+            told = pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *out.columns], names=[*keep, *_OUT.names])
+            if least_share is None:
+                yield told
+            else:
+                yield told.filter(pa.array([r[0] != NONE and r[1] >= least_share for r in rows], type=pa.bool_()))
+
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*sent).mapInArrow(run, f"{kinds}, lang_pred string, score double, languages array<string>, shares array<double>")
 
 
 def held_out(row_id: str = "doc_id"):

@@ -6,7 +6,7 @@ import numpy as np
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_CACHE = 500_000
+_CACHE = 100_000
 
 
 class _Words(dict):
