@@ -8,11 +8,22 @@ one-deletion neighbourhood.  So a linked pair agrees on some segment's key.  A c
 chance too often and are left out; spare weight makes up for them, and a set that leaves out more than the spare weight is keyed again
 with another partition of the universe, where the same holds, and at last with one that leaves out nothing.  No linked pair is lost.
 
-Equal sets are one class.  Within a bucket, first each class is held against one of the bucket's; the links found, verified exactly on
-the whole sets, give components, and where a bucket still holds several of them, this is done once more with another one.  Then, in
-each bucket that holds several components even so, all pairs from different components are held against each other: parity sketches, which bound the difference of two sets from below, rule out most pairs, and the rest are
-verified exactly.  Large buckets are cut into blocks.  So a group of near copies costs one comparison for each copy, not one for each
-pair, and links that matter for the components are never lost.  Equality of shingles, and of classes, is that of 64-bit hashes.
+That plan gives each segment a weight before anything is counted.  The real numbers then move weights: a key that more than ``LIMIT``
+sets share (a passage that many documents hold) is hot, and where hot buckets hold several components, their sets take weight 0 for
+segments with hot keys and weight 2 for all others, by one-deletion neighbourhoods.  Let T segments be used, and let sets X and Y leave
+out x and y of them.  If X and Y agree on no key, and differ by one on no segment that both use, then they differ in at least
+2 T - x - y elements; so a set with 2 x <= 2 T - H - 1 loses no partner of the same kind.  Of a one-deletion key only pairs of a whole
+segment with a shortened one are taken, and at most ``LIMIT`` sets share a whole segment's key: each key costs ``LIMIT`` comparisons at
+most, however many documents hold the passage.  Sets that leave out more than that are few (nearly all they hold is shared); they are
+held against their hot buckets in blocks.
+
+Equal sets are one class: its name is a 64-bit hash, and names that stand for several sets by a second one are taken apart.  Within a
+bucket, first each class is held against one of the bucket's; the links found, verified exactly on the whole sets, give components,
+and where a bucket still holds several of them, this is done once more with another one.  Then small buckets that hold several
+components even so are compared pair by pair, and large ones as told above; parity sketches, which bound the difference of two sets
+from below, rule out most pairs, and the rest are verified exactly.  So a group of near copies costs one comparison for each copy, not
+one for each pair, and links that matter for the components are never lost.  Each text is shingled once, and those of candidates once
+more for the table of their sets, which all verifications read.  Equality of shingles is that of 64-bit hashes.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing (component_id is their own id); rows with a null
 id link with nothing; repeated rows are one class; an empty table gives an empty result; other columns are ignored.
@@ -29,12 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, documents, written
+from .common import batch, documents, sliced, written
 from .components import connected_components
 from .shingles import mix, shingle_set
 
 GROWTH = 1.5
+SLICE_ROWS = 256
 ROUNDS = 3
+#: Sets that a key may have before it is hot.
+LIMIT = 64
 #: Rows of a bucket that one block holds at most, on average.
 BLOCK = 512
 #: Rows with one key that a task sees before it deals the key to several partitions.
@@ -107,11 +121,8 @@ def _salt(band: int, seed: int, bare: bool, n: int) -> np.ndarray:
     return mix(np.arange(n, dtype=np.uint64) + np.uint64((band << 40) + (seed << 36) + (int(bare) << 35)))
 
 
-def _keys(h: np.ndarray, band: int, part: tuple[int, int, int, int], seed: int, bare: bool) -> tuple[np.ndarray, bool]:
-    """Keys of one set under one partition of the universe, and whether it left out more than the spare weight."""
-    ones, twos, spare, q = part
-    if bare:
-        ones, spare, q = ones - spare, 0, -1
+def _segments(h: np.ndarray, band: int, ones: int, twos: int, seed: int = 0, bare: bool = False):
+    """What each segment holds of the set (a sum of hashes, and its size), the elements' hashes by segment, where segments end, and their salts."""
     if seed:
         h = np.sort(mix(h + np.uint64((seed * 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF)))
     unit = ((h >> np.uint64(32)) * np.uint64(ones + 2 * twos)) >> np.uint64(32)
@@ -121,8 +132,15 @@ def _keys(h: np.ndarray, band: int, part: tuple[int, int, int, int], seed: int,
     ends = np.cumsum(n)
     g = mix(h ^ np.uint64(0xD6E8FEB86659FD93))
     sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(g, dtype=np.uint64)))
-    f = sums[ends] - sums[ends - n]
-    salt = _salt(band, seed, bare, ones + twos)
+    return sums[ends] - sums[ends - n], g, ends, n, _salt(band, seed, bare, ones + twos)
+
+
+def _keys(h: np.ndarray, band: int, part: tuple[int, int, int, int], seed: int, bare: bool) -> tuple[np.ndarray, bool]:
+    """Keys of one set under one partition of the universe, and whether it left out more than the spare weight."""
+    ones, twos, spare, q = part
+    if bare:
+        ones, spare, q = ones - spare, 0, -1
+    f, g, ends, n, salt = _segments(h, band, ones, twos, seed, bare)
     held = n > q
     keys = [mix(f[held] ^ salt[held])]
     for i in range(twos):
@@ -132,33 +150,40 @@ def _keys(h: np.ndarray, band: int, part: tuple[int, int, int, int], seed: int,
     return np.concatenate(keys), not bare and left_out > spare
 
 
-def signature(h: np.ndarray, percent: int) -> list[tuple[bool, np.ndarray]]:
-    """(owner, keys) for the band of the set's own size, and for those of larger sets that it may link with."""
-    out, size = [], len(h)
-    all_ = bands(percent)
+def _bands_of(size: int, percent: int) -> list[tuple[int, bool, tuple[int, int, int, int]]]:
+    """(band, whether it is the set's own, plan) for the band of the set's size, and for those of larger sets that it may link with."""
+    out, all_ = [], bands(percent)
     for band in range(bisect_left(all_, size, key=lambda b: b[1]), len(all_)):
         low, high = all_[band]
         if low * percent > 100 * size:
             break
         part = plan_band(low, high, percent)
-        if part is None:
-            continue
+        if part is not None:
+            out.append((band, low <= size, part))
+    return out
+
+
+def signature(h: np.ndarray, percent: int) -> list[tuple[bool, np.ndarray]]:
+    """(owner, keys) for the band of the set's own size, and for those of larger sets that it may link with."""
+    out = []
+    for band, is_owner, part in _bands_of(len(h), percent):
         keys = []
         for seed in range(ROUNDS + 1):
             some, more = _keys(h, band, part, seed, seed == ROUNDS)
             keys.append(some)
             if not more:
                 break
-        out.append((low <= size, np.concatenate(keys)))
+        out.append((is_owner, np.concatenate(keys)))
     return out
 
 
-def set_class(h: np.ndarray) -> int:
-    """An even 64-bit number that names the set."""
-    from xxhash import xxh3_64_intdigest
+def set_class(h: np.ndarray, bits: int = 63) -> tuple[int, int]:
+    """An even 64-bit number that names the set, of ``bits`` random bits, and a second hash that tells sets of one name apart."""
+    from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-    x = xxh3_64_intdigest(h.tobytes()) & ~1
-    return x - (1 << 64) if x >> 63 else x
+    raw = h.tobytes()
+    x, y = (xxh3_64_intdigest(raw) >> (63 - bits)) & ~1, xxh64_intdigest(raw)
+    return x - (1 << 64) if x >> 63 else x, y - (1 << 64) if y >> 63 else y
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -178,22 +203,32 @@ def _folded(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
-_DOC = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary())])
+_DOC = pa.schema([
+    ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary()), ("own", pa.binary()), ("guest", pa.binary()),
+])
+_DOC_SQL = "doc_id long, n long, cls long, check long, sketch binary, own binary, guest binary"
+
 
+def _classify(k: int, percent: int, bits: int):
+    """Size and class of each row's set; of sets that are new to the task also the sketch and the keys."""
 
-def _classify(k: int):
     def run(batches):
-        seen: set[int] = set()
-        for b in batches:
+        seen: set[tuple[int, int]] = set()
+        for b in sliced(batches, SLICE_ROWS, 1):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 h = shingle_set(text, k)
                 if doc is None or not len(h):
-                    rows.append((doc, len(h), None, None))
+                    rows.append((doc, len(h), None, None, None, None, None))
+                    continue
+                name = set_class(h, bits)
+                if name in seen:
+                    rows.append((doc, len(h), *name, None, None, None))
                     continue
-                cls = set_class(h)
-                rows.append((doc, len(h), cls, None if cls in seen else sketch(h)))
-                seen.add(cls)
+                seen.add(name)
+                keys = signature(h, percent)
+                both = (b"".join(x.tobytes() for is_owner, x in keys if is_owner == own) for own in (True, False))
+                rows.append((doc, len(h), *name, sketch(h), *both))
             yield batch(_DOC, zip(*rows, strict=True) if rows else [[] for _ in _DOC])
 
     return run
@@ -202,10 +237,6 @@ def _classify(k: int):
 _SIG = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("member", pa.int64())])
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x, dtype=np.uint64).view(np.int64)
-
-
 def _dealt(keys: np.ndarray, members: np.ndarray):
     """Rows of the signature table; keys that are frequent here already are dealt to several partitions, with a mark at the first."""
     order = np.argsort(keys)
@@ -224,30 +255,20 @@ def _dealt(keys: np.ndarray, members: np.ndarray):
     return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part), pa.array(members)], schema=_SIG)
 
 
-def _sign(k: int, percent: int):
-    def run(batches):
-        seen: set[int] = set()
-        keys, members, held = [], [], 0
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                h = shingle_set(text, k)
-                if doc is None or not len(h):
-                    continue
-                cls = set_class(h)
-                if cls in seen:
-                    continue
-                seen.add(cls)
-                for owner, some in signature(h, percent):
-                    keys.append(some)
-                    members.append(np.full(len(some), cls | owner, dtype=np.int64))
-                    held += len(some)
-                if held >= 1 << 20:
-                    yield _dealt(_signed(np.concatenate(keys)), np.concatenate(members))
-                    keys, members, held = [], [], 0
-        if held:
-            yield _dealt(_signed(np.concatenate(keys)), np.concatenate(members))
-
-    return run
+def _signed_rows(batches):
+    """A row for each key of each set, from the table of sets."""
+    keys, members, held = [], [], 0
+    for b in sliced(batches, 1024):
+        for cls, *both in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for owner, raw in zip((1, 0), both, strict=True):
+                keys.append(np.frombuffer(raw, dtype=np.int64))
+                members.append(np.full(len(raw) // 8, cls | owner, dtype=np.int64))
+                held += len(raw) // 8
+        if held >= 1 << 20:
+            yield _dealt(np.concatenate(keys), np.concatenate(members))
+            keys, members, held = [], [], 0
+    if held:
+        yield _dealt(np.concatenate(keys), np.concatenate(members))
 
 
 _BUCKET = pa.schema([("key", pa.int64()), ("member", pa.int64())])
@@ -276,7 +297,10 @@ def _shared(batches):
 
 
 def _likely(percent: int):
-    """Pairs of different components, of each run of rows with one (key, i, j), that sketches don't rule out."""
+    """Pairs of different components, of each run of rows with one (key, i, j), that sketches don't rule out.
+
+    Of a pair one must be an owner, and one must be bound to be compared here.
+    """
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def told(own: set[int], guest: set[int], other: dict) -> int:
@@ -286,11 +310,11 @@ def _likely(percent: int):
         across = run[0]["i"] != run[0]["j"]
         bits = _folded([r["sketch"] for r in run])
         cls, label, n = (np.array([r[c] for r in run], dtype=np.int64) for c in ("cls", "label", "n"))
-        owner, block = np.array([r["owner"] for r in run]), np.array([r["block"] for r in run])
+        owner, block, bound = (np.array([r[c] for r in run]) for c in ("owner", "block", "bound"))
         us, vs = [], []
         for x in range(len(run) - 1):
             y = slice(x + 1, None)
-            apart = (label[y] != label[x]) & (owner[y] | owner[x])
+            apart = (label[y] != label[x]) & (owner[y] | owner[x]) & (bound[y] | bound[x])
             if across:
                 apart &= block[y] != block[x]
             if not apart.any():
@@ -346,17 +370,68 @@ def _sketched(percent: int):
     return run
 
 
-def _sets(k: int):
-    schema = pa.schema([("cls", pa.int64()), ("elements", pa.binary())])
+def _sets(k: int, bits: int):
+    schema = pa.schema([("cls", pa.int64()), ("check", pa.int64()), ("elements", pa.binary())])
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, SLICE_ROWS, 0):
             rows = []
             for text in b.column(0).cast(pa.binary()).to_pylist():
                 h = shingle_set(text, k)
                 if len(h):
-                    rows.append((set_class(h), h.tobytes()))
-            yield batch(schema, zip(*rows, strict=True) if rows else [[], []])
+                    rows.append((*set_class(h, bits), h.tobytes()))
+            yield batch(schema, zip(*rows, strict=True) if rows else [[], [], []])
+
+    return run
+
+
+def neighbours(h: np.ndarray, percent: int, hot: np.ndarray) -> tuple[list[tuple[bool, np.ndarray, np.ndarray]], bool]:
+    """(owner, whole keys, one-deletion keys) of a set in each of its bands, hot keys left out; and whether that loses no partner."""
+    out, whole = [], True
+    for band, is_owner, part in _bands_of(len(h), percent):
+        ones, twos, _, q = part
+        if twos:  # their neighbourhoods are indexed already; what is hot among them is compared in blocks
+            whole = False
+            continue
+        f, g, ends, n, salt = _segments(h, band, ones, 0)
+        held = n > q
+        full = mix(f ^ salt)
+        held &= ~np.isin(full, hot)
+        left_out = len(n) - int(held.sum())
+        high = bands(percent)[band][1]
+        h_most = most_different(high, high, percent)
+        whole &= 2 * left_out <= 2 * ones - h_most - 1
+        shorter = np.repeat(held & (n > q + 1), n)
+        segment = np.repeat(np.arange(len(n)), n)
+        out.append((is_owner, full[held], mix((f[segment] - g)[shorter] ^ salt[segment[shorter]])))
+    return out, whole
+
+
+_NEAR = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("member", pa.int64())])
+FULL, DELETED, BOUND = 0, 1, 2
+
+
+def _neighbour_rows(percent: int):
+    """Rows (kind, key, member) of whole and of shortened segments, and a row for each set that must be held against its buckets."""
+
+    def run(batches):
+        for b in sliced(batches, SLICE_ROWS, 1):
+            kinds, keys, members = [], [], []
+
+            def told(kind: int, some: np.ndarray, member: int):
+                kinds.append(np.full(len(some), kind, dtype=np.int32))
+                keys.append(some.view(np.int64))
+                members.append(np.full(len(some), member, dtype=np.int64))
+
+            for cls, raw, hot in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                by_band, whole = neighbours(np.frombuffer(raw, dtype=np.uint64), percent, np.array(hot, dtype=np.int64).view(np.uint64))
+                for is_owner, full, shorter in by_band:
+                    told(FULL, full, cls | is_owner)
+                    told(DELETED, np.unique(shorter), cls | is_owner)
+                if not whole:
+                    told(BOUND, np.zeros(1, dtype=np.uint64), cls)
+            if kinds:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kinds, keys, members)], schema=_NEAR)
 
     return run
 
@@ -375,64 +450,117 @@ def _verified(percent: int):
     return run
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs of classes, those that link, by their whole sets."""
-    pairs = written(pairs, "pairs")
-    needed = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "cls")
-    needed = written(needed.join(classes, "cls").select(F.col("rep").alias("doc_id")), "needed")
-    few = needed.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(needed) if few else needed, "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(k), "cls long, elements binary")
-    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
-    return both.mapInArrow(_verified(percent), "u long, v long")
+def _few(ids: DataFrame) -> DataFrame:
+    """Ids to be broadcast, if their number allows it."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
 
+def _classes(rows: DataFrame) -> DataFrame:
+    of_class = rows.where("cls is not null").groupBy("cls").agg(
+        F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sketch", True).alias("sketch"), (F.min("check") != F.max("check")).alias("several")
+    )
+    return written(of_class, "classes")
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """``(row_id, n_shingles, component_id)`` for each row: sets of ``k``-word shingles link at Jaccard ``percent`` or more."""
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", row_id: str = "doc_id", name_bits: int = 63) -> DataFrame:
+    """``(row_id, n_shingles, component_id)`` for each row: sets of ``k``-word shingles link at Jaccard ``percent`` or more.
+
+    ``name_bits`` are the random bits of a class's name; names that several sets share are taken apart, so they decide nothing.
+    """
     docs = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = written(docs.mapInArrow(_classify(k), "doc_id long, n long, cls long, sketch binary"), "sets")
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sketch", True).alias("sketch"))
-    classes = written(classes, "classes")
+    rows = written(docs.mapInArrow(_classify(k, percent, name_bits), _DOC_SQL), "sets")
+    classes = _classes(rows)
+    shared_names = written(classes.where("several").select("cls", F.lit(True).alias("several")), "names")
+
+    def apart(df: DataFrame) -> DataFrame:
+        return df
+
+    if not shared_names.isEmpty():
 
-    signatures = docs.mapInArrow(_sign(k, percent), "key long, part int, member long")
-    sorted_ = signatures.repartition("key", "part").sortWithinPartitions("key", "part", "member")
+        def apart(df: DataFrame) -> DataFrame:
+            own = F.xxhash64("cls", "check").bitwiseAND(-2)
+            return df.join(shared_names, "cls", "left").withColumn("cls", F.when(F.col("several"), own).otherwise(F.col("cls"))).drop("several")
+
+        rows = written(apart(rows), "sets")
+        classes = _classes(rows)
+
+    keyed = rows.where("own is not null").select("cls", "own", "guest").mapInArrow(_signed_rows, "key long, part int, member long")
+    sorted_ = keyed.repartition("key", "part").sortWithinPartitions("key", "part", "member")
     buckets = written(sorted_.mapInArrow(_shared, "key long, member long"), "buckets")
     cls, owner = F.col("member").bitwiseAND(-2).alias("cls"), (F.col("member").bitwiseAND(1) == 1).alias("owner")
 
+    # The sets of all candidates, once.
+    candidates = buckets.select(cls).distinct()
+    ids = written(classes.join(candidates, "cls").select(F.col("rep").alias("doc_id")).distinct(), "candidates")
+    sets = apart(docs.join(_few(ids), "doc_id", "left_semi").select("text").mapInArrow(_sets(k, name_bits), "cls long, check long, elements binary"))
+    sets = written(sets.groupBy("cls").agg(F.first("elements").alias("elements")), "candidate_sets")
     known = classes.select("cls", "n", "sketch")
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of pairs of classes, those that link, by their whole sets."""
+        pairs = written(pairs, "pairs")
+        needed = written(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "cls"), "needed")
+        some = sets.join(_few(needed), "cls", "left_semi")
+        both = pairs.join(some.toDF("u", "a"), "u").join(some.toDF("v", "b"), "v").select("u", "v", "a", "b")
+        return written(both.mapInArrow(_verified(percent), "u long, v long"), "links")
+
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
         pairs = pairs.join(known.toDF("u", "nu", "su"), "u").join(known.toDF("v", "nv", "sv"), "v")
-        return written(_verify(pairs.mapInArrow(_sketched(percent), "u long, v long"), docs, classes, k, percent), "links")
+        return verified(pairs.mapInArrow(_sketched(percent), "u long, v long"))
 
-    def still_open(links: DataFrame) -> DataFrame:
-        """Rows of the buckets that hold several components of ``links``."""
+    def still_open(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Labels of the components of ``links``, and the rows of the buckets that hold several components."""
         labels = connected_components(links).toDF("cls", "label")
         rows = buckets.select("key", cls, owner).join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         rows = written(rows, "labelled")
         open_ = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.max("owner").alias("any"))
-        return rows.join(open_.where("low <> high and any").select("key", "size"), "key")
+        return labels, written(rows.join(open_.where("low <> high and any").select("key", "size"), "key"), "open")
 
     # First each member against one owner of its bucket: the first, then, where that left several components, any other.
     first = buckets.where(owner).groupBy("key").agg(F.min(cls).alias("v"))
     links = checked(buckets.join(first, "key").select(cls.alias("u"), "v"))
-    rest = written(still_open(links), "open")
+    _, rest = still_open(links)
     other = rest.where("owner").groupBy("key").agg(F.min_by(F.struct("cls", "label"), F.xxhash64("key", "cls")).alias("c"))
     more = rest.join(other, "key").where(F.col("label") != F.col("c.label")).select(F.col("cls").alias("u"), F.col("c.cls").alias("v"))
     links = links.union(checked(more))
 
-    # Then, where a bucket holds several components still, their members against each other.
-    rest = written(still_open(links), "open")
-    own, guest = (F.when(F.count("*") <= KEYS, F.collect_list(F.when(F.col("owner") == is_own, F.col("key")))) for is_own in (True, False))
-    keys = rest.groupBy("cls").agg(own.alias("own"), guest.alias("guest"))
-    left = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    # Hot buckets with several components: whole segments against shortened ones, hot keys left out.
+    labels, rest = still_open(links)
+    large = written(rest.where(F.col("size") > LIMIT).select("cls").distinct(), "large")
+    bound = None
+    if not large.isEmpty():
+        hot = written(buckets.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > LIMIT).select("key"), "hot")
+        own_hot = buckets.join(hot, "key").select(cls, "key").join(large, "cls", "left_semi").groupBy("cls").agg(F.collect_set("key").alias("hot"))
+        near = sets.join(own_hot, "cls").select("cls", "elements", "hot").mapInArrow(_neighbour_rows(percent), "kind int, key long, member long")
+        near = written(near, "neighbours")
+        whole = near.where(F.col("kind") == FULL).select("key", cls.alias("u"), owner.alias("owner_u"))
+        shorter = near.where(F.col("kind") == DELETED).join(hot, "key", "left_anti").select("key", cls.alias("v"), owner.alias("owner_v"))
+        met = shorter.join(whole, "key").where("(owner_u or owner_v) and u <> v").select("u", "v").distinct()
+        for c in ("u", "v"):
+            met = met.join(labels.toDF(c, f"label_{c}"), c, "left").withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
+        links = links.union(checked(met.where("label_u <> label_v").select("u", "v")))
+        bound = written(near.where(F.col("kind") == BOUND).select(cls).distinct().withColumn("bound", F.lit(True)), "bound")
+
+    # Small ones, and what is bound to the large ones: members against each other.
+    small = rest.where(F.col("size") <= LIMIT).withColumn("bound", F.lit(True)).withColumn("blocks", F.lit(1))
+    left, lists = small.withColumn("large", F.lit(False)), None
+    if bound is not None and not bound.isEmpty():
+        tied = rest.where(F.col("size") > LIMIT).join(bound, "cls", "left").withColumn("bound", F.coalesce("bound", F.lit(False)))
+        tied = written(tied.join(tied.where("bound").select("key").distinct(), "key", "left_semi"), "tied")
+        own, guest = (F.when(F.count("*") <= KEYS, F.collect_list(F.when(F.col("owner") == is_own, F.col("key")))) for is_own in (True, False))
+        lists = tied.groupBy("cls").agg(own.alias("own"), guest.alias("guest")).withColumn("large", F.lit(True))
+        left = left.unionByName(tied.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("large", F.lit(True)))
+    left = left.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    left = left.select("key", "i", "j", "block", "cls", "label", "owner").join(known.join(keys, "cls"), "cls")
-    left = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cls")
-    crossed = left.mapInArrow(_likely(percent), "u long, v long").distinct()
-    more = written(_verify(crossed, docs, classes, k, percent), "links")
+    left = left.select("key", "i", "j", "block", "cls", "label", "owner", "bound", "large").join(known, "cls")
+    if lists is None:
+        left = left.withColumns({c: F.lit(None).cast("array<bigint>") for c in ("own", "guest")})
+    else:
+        left = left.join(lists, ["cls", "large"], "left")
+    left = left.drop("large").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cls")
+    more = verified(left.mapInArrow(_likely(percent), "u long, v long").distinct())
 
     components = connected_components(links.union(more)).toDF("cls", "component")
     of_class = classes.select("cls", "rep").join(components, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
