@@ -10,9 +10,12 @@ Equal vectors are one class, so copies are compared once.  Residents and visitor
 size; a block gives sums and local components only, so dense groups make no rows for each pair.  Codebooks are fitted on a bounded
 sample (``SAMPLE`` classes with the smallest hash); the number of codes grows with the square root of the number of classes.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components, or whose length isn't the most frequent one,
-link with nothing, as do rows with a null id; equal vectors link with each other; an empty table gives an empty result; other columns,
-such as labels, are ignored.  Of repeated ids each row counts as a vector; the rows of one id get equal results if their vectors are.
+Vectors of different lengths never link.  Each length has an index of its own; lengths with fewer than ``INDEX_FROM`` classes (but for
+the most frequent one) are compared in whole, length by length.
+
+Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do rows with a null id;
+equal vectors link with each other; an empty table gives an empty result; other columns, such as labels, are ignored.  Of repeated ids
+each row counts as a vector; the rows of one id get equal results if their vectors are.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ TARGET_RECALL = 0.95
 CELL_ROWS, CODES = 8, (4, 2048)
 #: Residents of a group of cells, and rows that a block holds of either kind, on average.
 GROUP_ROWS, BLOCK_ROWS = 2048, 2048
+#: Classes of one length from which on it has an index.
+INDEX_FROM = 1000
 
 
 def _distances(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -43,7 +48,7 @@ def codebook(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10)
     """k-means codes of the rows of ``x``."""
     codes = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        at = _distances(x, codes).argmin(axis=1)
+        at = np.concatenate([_distances(x[low : low + 512], codes).argmin(axis=1) for low in range(0, len(x), 512)])
         n = np.bincount(at, minlength=k)
         sums = np.zeros_like(codes)
         np.add.at(sums, at, x)
@@ -75,11 +80,11 @@ class MultiIndex:
         other = made.cells(cosine * some + math.sqrt(1 - cosine**2) * turn)
         ranks = []
         for low in range(0, len(some), 200):
-            a, b = made._halves(some[low : low + 200])
-            sums = a[:, :, None] + b[:, None, :]
-            own = sums.reshape(len(a), -1)[np.arange(len(a)), other[low : low + 200]]
-            ranks.append((sums < own[:, None, None]).sum(axis=(1, 2)) + 1)
-        made.visits = int(np.ceil(np.quantile(np.concatenate(ranks), recall)))
+            # A cell's rank is one more than the number of nearer ones: for each first code, the second codes that stay below.
+            for a, b, cell in zip(*made._halves(some[low : low + 200]), other[low : low + 200].tolist(), strict=True):
+                own = a[cell // k] + b[cell % k]
+                ranks.append(1 + int(np.searchsorted(np.sort(b), own - a, side="left").sum()))
+        made.visits = int(np.ceil(np.quantile(ranks, recall)))
         return made
 
     def _halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +126,8 @@ def _place(shared, groups: int):
         index = shared.value
         k = len(index.second)
         for whole in batches:
-            for low in range(0, whole.num_rows, 1024):
-                b = whole.slice(low, 1024)
+            for low in range(0, whole.num_rows, 256):
+                b = whole.slice(low, 256)
                 if not b.num_rows:
                     continue
                 raw = b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
@@ -197,47 +202,79 @@ def _meet(cosine: float, k: int, dtype: str):
     return run
 
 
+_MET = "cls long, add long, root long"
+
+
+def _indexed(classes: DataFrame, n: int, cosine: float, recall: float, dtype: str) -> DataFrame:
+    """What the vectors of one length (their ``n`` classes) link with, by the multi-index."""
+    spark = classes.sparkSession
+    k = int(min(CODES[1], max(CODES[0], 2 ** round(math.log2(max(1, math.sqrt(n / CELL_ROWS)))))))
+    share = F.pmod(F.xxhash64(F.lit(4), "cls"), F.lit(1_000_000))
+    sample = classes.where(share < math.ceil(1_000_000 * SAMPLE / max(n, SAMPLE))).select("cls", "embedding").toArrow().sort_by("cls")
+    if not sample.num_rows:
+        sample = classes.select("cls", "embedding").orderBy("cls").limit(1).toArrow()
+    x = sample.column("embedding").combine_chunks().flatten().to_numpy().reshape(sample.num_rows, -1)
+    x = normalised(np.concatenate((x, np.zeros((len(x), 1), dtype=x.dtype)), axis=1) if x.shape[1] == 1 else x)
+    index = MultiIndex.fit(x, k, cosine, recall)
+    # Cells with one first code are cut into groups, so that a group has about GROUP_ROWS residents.
+    groups = min(k, max(1, round(n / k / GROUP_ROWS)))
+    placed = written(classes.mapInArrow(_place(spark.sparkContext.broadcast(index), groups), _PLACED), "placed")
+    sizes = placed.groupBy("g").agg(*(F.ceil(F.count(F.when(F.col("kind") == i, 1)) / BLOCK_ROWS).cast("int").alias(c) for i, c in enumerate(("rbs", "vbs"))))
+    sizes = sizes.where("rbs > 0 and vbs > 0")
+    dealt = placed.join(sizes, "g")
+    own = F.pmod(F.xxhash64("cls"), F.when(F.col("kind") == 0, F.col("rbs")).otherwise(F.col("vbs"))).cast("int")
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == 0, F.col("vbs")).otherwise(F.col("rbs")) - 1)))
+    dealt = dealt.withColumn("rb", F.when(F.col("kind") == 0, F.col("own")).otherwise(F.col("other"))).withColumn("vb", F.when(F.col("kind") == 1, F.col("own")).otherwise(F.col("other")))
+    dealt = dealt.select("g", "rb", "vb", "kind", "cls", "copies", "cell", "js", "visits", "vector").repartition("g", "rb", "vb").sortWithinPartitions("g", "rb", "vb")
+    return dealt.mapInArrow(_meet(cosine, k, dtype), _MET)
+
+
+def _compared(cosine: float):
+    """The same for all vectors of a length with few of them, by comparing all."""
+    schema = pa.schema([("cls", pa.int64()), ("add", pa.int64()), ("root", pa.int64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        cls, copies = group.column("cls").to_numpy(), group.column("copies").to_numpy()
+        x = normalised(np.array(group.column("embedding").to_pylist(), dtype=np.float64))
+        near = (x @ x.T >= cosine) & ~np.eye(len(x), dtype=bool)
+        left, _ = _local(len(x), *np.nonzero(near | np.eye(len(x), dtype=bool)), len(x))
+        linked = np.flatnonzero(near.any(axis=1))
+        return pa.Table.from_arrays([pa.array(cls[linked]), pa.array((near * copies).sum(axis=1)[linked]), pa.array(cls[left[linked]])], schema=schema)
+
+    return run
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, vector: str = "embedding", row_id: str = "vec_id", recall: float = TARGET_RECALL) -> DataFrame:
     """``(row_id, n_links, component_id, kept)`` for each row; links are pairs found with ``cosine`` or more."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(row_id).cast("long").alias("id"), F.col(vector).alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = rows.where(F.col("id").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
-    length = usable.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    usable = usable.where(F.size("embedding") == (length["d"] if length else 0))
-    classes = written(usable.groupBy("embedding").agg(F.min("id").alias("cls"), F.count("*").alias("copies")), "vectors")
-    n = classes.count()
-    if n:
-        k = int(min(CODES[1], max(CODES[0], 2 ** round(math.log2(max(1, math.sqrt(n / CELL_ROWS)))))))
-        share = F.pmod(F.xxhash64(F.lit(4), "cls"), F.lit(1_000_000))
-        sample = classes.where(share < math.ceil(1_000_000 * SAMPLE / max(n, SAMPLE))).select("cls", "embedding").toArrow().sort_by("cls")
-        if not sample.num_rows:
-            sample = classes.select("cls", "embedding").orderBy("cls").limit(1).toArrow()
-        x = sample.column("embedding").combine_chunks().flatten().to_numpy().reshape(sample.num_rows, -1)
-        x = normalised(np.concatenate((x, np.zeros((len(x), 1), dtype=x.dtype)), axis=1) if x.shape[1] == 1 else x)
-        index = MultiIndex.fit(x, k, cosine, recall)
-        # Cells with one first code are cut into groups, so that a group has about GROUP_ROWS residents.
-        groups = min(k, max(1, round(n / k / GROUP_ROWS)))
-        placed = written(classes.mapInArrow(_place(spark.sparkContext.broadcast(index), groups), _PLACED), "placed")
-        sizes = placed.groupBy("g").agg(*(F.ceil(F.count(F.when(F.col("kind") == i, 1)) / BLOCK_ROWS).cast("int").alias(c) for i, c in enumerate(("rbs", "vbs"))))
-        sizes = sizes.where("rbs > 0 and vbs > 0")
-        dealt = placed.join(sizes, "g")
-        own = F.pmod(F.xxhash64("cls"), F.when(F.col("kind") == 0, F.col("rbs")).otherwise(F.col("vbs"))).cast("int")
-        dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == 0, F.col("vbs")).otherwise(F.col("rbs")) - 1)))
-        dealt = dealt.withColumn("rb", F.when(F.col("kind") == 0, F.col("own")).otherwise(F.col("other"))).withColumn("vb", F.when(F.col("kind") == 1, F.col("own")).otherwise(F.col("other")))
-        dealt = dealt.select("g", "rb", "vb", "kind", "cls", "copies", "cell", "js", "visits", "vector").repartition("g", "rb", "vb").sortWithinPartitions("g", "rb", "vb")
-        dtype = "<f8" if "double" in vectors.schema[vector].dataType.simpleString() else "<f4"
-        met = written(dealt.mapInArrow(_meet(cosine, k, dtype), "cls long, add long, root long"), "met")
-    else:
-        met = spark.createDataFrame([], "cls long, add long, root long")
+    usable = F.col("id").isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
+    rows = vectors.select(F.col(row_id).cast("long").alias("id"), F.col(vector).alias("embedding")).withColumn("usable", usable)
+    classes = rows.where("usable").groupBy("embedding").agg(F.min("id").alias("cls"), F.count("*").alias("copies"), F.size("embedding").alias("d"))
+    classes = written(classes, "vectors")
+    dtype = "<f8" if "double" in vectors.schema[vector].dataType.simpleString() else "<f4"
+    lengths = classes.groupBy("d").agg(F.count("*").alias("n"))
+    most = lengths.orderBy(F.desc("n"), "d").head(1)
+    # No more lengths than classes / INDEX_FROM have an index.
+    large = most + [x for x in lengths.where(F.col("n") >= INDEX_FROM).collect() if x["d"] != most[0]["d"]]
+    met = spark.createDataFrame([], _MET)
+    if large:
+        for x in large:
+            met = met.union(_indexed(classes.where(F.col("d") == x["d"]), x["n"], cosine, recall, dtype))
+        few = classes.where(~F.col("d").isin([x["d"] for x in large]))
+        if not few.isEmpty():
+            met = met.union(few.groupBy("d").applyInArrow(_compared(cosine), _MET))
+        met = written(met, "met")
     links = met.groupBy("cls").agg(F.sum("add").alias("links"))
     components = connected_components(met, "cls", "root").toDF("cls", "component")
     of_class = classes.join(links, "cls", "left").join(components, "cls", "left")
-    of_class = written(of_class.select(F.col("embedding").alias("e"), F.coalesce("component", "cls").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "classes")
-    usable_key = F.when(F.coalesce(finite, F.lit(False)) & F.col("id").isNotNull(), F.col("embedding"))
-    out = rows.withColumn("e", usable_key).join(of_class, "e", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(row_id), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    of_class = written(of_class.select("embedding", F.coalesce("component", "cls").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "classes")
+    # Vectors that can't link aren't joined, so that they don't meet in one task.
+    linked = rows.where("usable").join(of_class, "embedding").select("id", "component", "links")
+    alone = rows.where("not usable").select("id", F.col("id").alias("component"), F.lit(0).cast("long").alias("links"))
+    out = linked.unionByName(alone)
+    return out.select(F.col("id").alias(row_id), F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"), (F.col("component") == F.col("id")).alias("kept"))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
