@@ -9,8 +9,11 @@ one alignment are verified once.
 
 The benchmark's hashes, and the alignments that are hit, are broadcast only if there are at most ``BROADCAST_ROWS``; beyond that both
 sides are joined by a shuffle.
-Defined results: null, empty and short texts (fewer words than a mask spans) overlap with nothing, as do such items; repeated rows and
-repeated ids are reported once for each (id, item); an empty table gives an empty result; other columns are ignored.
+Items with fewer words than every mask spans have a mask of their own length that ignores nothing: they overlap where all of them
+stands.  Lengths that no item has cost nothing.
+
+Defined results: null and empty texts overlap with nothing, nor do items of fewer than ``SHORTEST`` words, which identify no passage;
+repeated rows and repeated ids are reported once for each (id, item); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from .common import documents, written
 #: 1 counts, 0 is ignored.
 MASKS = ("1110111", "11011011", "110100111")
 LEAST = 8
+#: Words that an item must have.
+SHORTEST = 3
 BROADCAST_ROWS = 1_000_000
 
 
@@ -35,31 +40,32 @@ def _word_hashes(text: str) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _windows(words: str, m: int) -> Column:
-    """Hashes of one mask at every position."""
-    n, mask = F.size(words), MASKS[m]
+def _windows(words: str, m: int, masks: tuple[str, ...], whole: bool) -> Column:
+    """Hashes of one mask at every position; with ``whole``, a mask that ignores nothing is for texts of its own length only."""
+    n, mask = F.size(words), masks[m]
     return F.when(
-        n >= len(mask),
+        (n == len(mask)) if whole and "0" not in mask else (n >= len(mask)),
         F.transform(F.sequence(F.lit(0), n - len(mask)), lambda i: F.xxhash64(F.lit(m), *(F.get(F.col(words), i + o) for o in _offsets(mask)))),
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def _counted(n: Column, m: int) -> Column:
-    return F.greatest(n - len(MASKS[m]) + 1, F.lit(0))
+def _counted(n: Column, m: int, masks: tuple[str, ...], whole: bool) -> Column:
+    counted = F.greatest(n - len(masks[m]) + 1, F.lit(0))
+    return F.when(n == len(masks[m]), 1).otherwise(0) if whole and "0" not in masks[m] else counted
 
 
-def _seeds(df: DataFrame, words: str, key: str, at: str, mask: str) -> DataFrame:
+def _seeds(df: DataFrame, words: str, key: str, at: str, mask: str, masks: tuple[str, ...], whole: bool = False) -> DataFrame:
     """A row for each mask and position, with its hash."""
     kept = [c for c in df.columns if c != words]
-    out = df.withColumn("seeds_", F.concat(*(_windows(words, m) for m in range(len(MASKS))))).withColumn("n_", F.size(words))
+    out = df.withColumn("seeds_", F.concat(*(_windows(words, m, masks, whole) for m in range(len(masks))))).withColumn("n_", F.size(words))
     # The outer form: for the inner one the optimiser infers a filter on the array and computes the array in it once more.
     out = out.select(*kept, "n_", F.posexplode_outer("seeds_").alias("p_", key)).where(F.col(key).isNotNull())
     first = [F.lit(0)]
-    for m in range(len(MASKS)):
-        first.append(first[-1] + _counted(F.col("n_"), m))
+    for m in range(len(masks)):
+        first.append(first[-1] + _counted(F.col("n_"), m, masks, whole))
     which = F.when(F.col("p_") < first[1], 0)
     start = F.when(F.col("p_") < first[1], first[0])
-    for m in range(1, len(MASKS)):
+    for m in range(1, len(masks)):
         which, start = which.when(F.col("p_") < first[m + 1], m), start.when(F.col("p_") < first[m + 1], first[m])
     return out.select(*kept, key, which.alias(mask), (F.col("p_") - start).alias(at))
 
@@ -85,17 +91,22 @@ def _best_stretch(least: int) -> Column:
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, text: str = "text", row_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """One row for each document and item that overlap: ``(row_id, item_id, score, start, end, item_start, item_end)`` of the best
     stretch, in words, ends exclusive."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), _word_hashes(item_text).alias("item_words"))
-    tests = written(_seeds(items, "item_words", "seed", "item_at", "mask").select("item_id", "seed", "item_at"), "seeds")
+    items = benchmark.select(F.col(item_id).alias("item_id"), _word_hashes(item_text).alias("item_words")).where(F.size("item_words") >= SHORTEST)
+    n = F.size("item_words")
+    short = items.where(n < min(map(len, MASKS))).select(n.alias("n")).distinct().collect()  # a few lengths
+    masks = MASKS + tuple("1" * x["n"] for x in sorted(short))
+    tests = written(_seeds(items, "item_words", "seed", "item_at", "mask", masks, whole=True).select("item_id", "seed", "item_at"), "seeds")
     train = docs.select(F.col(row_id).alias("doc_id"), F.col(text).alias("text"))
     # The words don't travel with the seeds: a row for each position would repeat them.
-    seeds = _seeds(train.select("doc_id", _word_hashes("text").alias("doc_words")), "doc_words", "seed", "at", "doc_mask").select("doc_id", "seed", "at")
+    seeds = _seeds(train.select("doc_id", _word_hashes("text").alias("doc_words")), "doc_words", "seed", "at", "doc_mask", masks).select("doc_id", "seed", "at")
     hits = seeds.join(F.broadcast(tests) if tests.count() <= BROADCAST_ROWS else tests, "seed")
     # Hits that lie on one alignment are one row, before the shuffle already.
     lines = written(hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits").withColumnRenamed("doc_id", "hit_id")
     few = lines.count() <= BROADCAST_ROWS
-    both = train.join(F.broadcast(lines) if few else lines, train["doc_id"].eqNullSafe(F.col("hit_id"))).drop("hit_id")
-    both = both.withColumn("doc_words", _word_hashes("text")).drop("text").withColumnRenamed("item_id", "item")
+    # A document's words are hashed once, whatever the number of its alignments.
+    hit = lines.select(F.col("hit_id").alias("only_id")).distinct()
+    words = train.join(F.broadcast(hit) if few else hit, train["doc_id"].eqNullSafe(F.col("only_id")), "left_semi").select("doc_id", _word_hashes("text").alias("doc_words"))
+    both = words.join(F.broadcast(lines) if few else lines, words["doc_id"].eqNullSafe(F.col("hit_id"))).drop("hit_id").withColumnRenamed("item_id", "item")
     both = both.join(items, F.col("item").eqNullSafe(F.col("item_id"))).drop("item")
     best = both.select("doc_id", "item_id", "shift", F.size("item_words").alias("n_item"), _best_stretch(least).alias("s"))
     good = best.where(F.col("s.score") >= F.least(F.lit(least), F.col("n_item")))
