@@ -3,7 +3,7 @@
 Overlapping heuristic labellers vote good, bad or abstain on each document.  Expectation maximisation over the counts of all vote
 patterns estimates each labeller's accuracy and the share of good documents, with a class for each kind of fault, and gives every pattern a posterior.  The posteriors of a
 bounded sample train a hashed linear scorer (logistic regression on hashed byte trigrams and bucketed statistics, by full-batch
-gradient steps that Spark sums), which scores all documents.  Where labels of toxicity are given, words and word beginnings that occur
+gradient steps in one task), which scores all documents.  Where labels of toxicity are given, words and word beginnings that occur
 in toxic documents almost alone are learned from a bounded sample of labelled rows and flag the documents that hold them.
 
 Bounds (documented parameters): ``TRAIN_DOCUMENTS`` for the scorer, ``LABELLED_DOCUMENTS`` for the toxic terms, both by the smallest
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, documents, written
+from .common import batch, documents, sliced
 
 TRAIN_DOCUMENTS = 8_000
 LABELLED_DOCUMENTS = 20_000
@@ -151,7 +151,7 @@ def features(text: bytes, s: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]
 
 def _patterns(batches):
     seen: Counter[int] = Counter()
-    for b in batches:
+    for b in sliced(batches, 256, 0):
         for t in b.column(0).cast(pa.binary()).to_pylist():
             seen[pattern(votes(statistics(t or b"")))] += 1
     yield batch(pa.schema([("pattern", pa.int64()), ("n", pa.int64())]), (seen.keys(), seen.values()))
@@ -162,7 +162,7 @@ def _rows_of(model):
     schema = pa.schema([("target", pa.float64()), ("ids", pa.list_(pa.int32())), ("x", pa.list_(pa.float32()))])
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 256):
             rows = []
             for t in b.column(0).cast(pa.binary()).to_pylist():
                 s = statistics(t or b"")
@@ -173,37 +173,42 @@ def _rows_of(model):
     return run
 
 
-def _gradient(weights: np.ndarray):
-    def run(batches):
-        total, n = np.zeros(DIMENSIONS + 1), 0
-        for b in batches:
-            for target, ids, x in zip(*(b.column(i) for i in range(3)), strict=True):
-                ids, x = ids.values.to_numpy(), x.values.to_numpy()
-                error = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(weights[ids] @ x + weights[-1]))))) - target.as_py()
-                np.add.at(total, ids, error * x)
-                total[-1] += error
-                n += 1
-        yield batch(pa.schema([("n", pa.int64()), ("g", pa.list_(pa.float64()))]), ([n], [total]))
+def _trained(rounds: int):
+    """Weights after ``rounds`` full-batch gradient steps with momentum over all rows of the (bounded) sample."""
+    schema = pa.schema([("weights", pa.list_(pa.float64()))])
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("target", "ascending"), ("key", "ascending")]).combine_chunks()
+        target = group.column("target").to_numpy()
+        ids, x = (group.column(c).combine_chunks() for c in ("ids", "x"))
+        n = np.diff(ids.offsets.to_numpy())
+        row = np.repeat(np.arange(len(target)), n)
+        ids, x = ids.flatten().to_numpy(), x.flatten().to_numpy().astype(np.float64)
+        weights, velocity = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
+        for _ in range(rounds):
+            ahead = weights + 0.9 * velocity
+            score = np.bincount(row, ahead[ids] * x, minlength=len(target)) + ahead[-1]
+            error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - target
+            gradient = np.append(np.bincount(ids, error[row] * x, minlength=DIMENSIONS), error.sum())
+            velocity = 0.9 * velocity - 4.0 * gradient / len(target)
+            weights += velocity
+        return pa.Table.from_arrays([pa.array([weights], type=schema.field(0).type)], schema=schema)
 
     return run
 
 
 def fit_scorer(docs: DataFrame, model, text: str = "text", row_id: str = "doc_id", limit: int = TRAIN_DOCUMENTS, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of the linear scorer (the last one is the constant), from the posteriors of about ``limit`` documents."""
+    """Weights of the linear scorer (the last one is the constant), from the posteriors of about ``limit`` documents.
+
+    The sample is bounded by ``limit``, so one task holds its features and makes all steps.
+    """
     n = docs.count()
     share = F.pmod(F.xxhash64(F.lit(6), F.col(row_id)), F.lit(1_000_000))
-    sample = docs.where(F.col(row_id).isNotNull() & (share < math.ceil(1_000_000 * limit / max(n, limit)))).select(text)
-    rows = written(sample.mapInArrow(_rows_of(model), "target double, ids array<int>, x array<float>").repartition(6), "features")
-    weights = np.zeros(DIMENSIONS + 1)
-    velocity = np.zeros(DIMENSIONS + 1)
-    for _ in range(rounds):
-        # Six partial gradients of DIMENSIONS numbers each.
-        parts = rows.mapInArrow(_gradient(weights + 0.9 * velocity), "n long, g array<double>").toArrow()
-        n = max(1, sum(parts.column("n").to_pylist()))
-        g = sum((np.asarray(x) for x in parts.column("g").to_pylist()), np.zeros(DIMENSIONS + 1)) / n
-        velocity = 0.9 * velocity - 4.0 * g
-        weights += velocity
-    return weights
+    # Of the rows of one id, which may be any number, one is taken.
+    sample = docs.where(F.col(row_id).isNotNull() & (share < math.ceil(1_000_000 * limit / max(n, limit)))).groupBy(row_id).agg(F.min(text).alias(text)).select(text)
+    rows = sample.mapInArrow(_rows_of(model), "target double, ids array<int>, x array<float>").withColumn("key", F.xxhash64("ids", "x"))
+    weights = rows.groupBy().applyInArrow(_trained(rounds), "weights array<double>").toArrow().column("weights")
+    return np.array(weights[0].as_py()) if len(weights) else np.zeros(DIMENSIONS + 1)
 
 
 def _terms(text: bytes) -> set[bytes]:
@@ -246,7 +251,7 @@ def classify(docs: DataFrame, model, weights: np.ndarray, terms: frozenset[bytes
 
     def run(batches):
         (prior, p), w, marked = shared.value
-        for b in batches:
+        for b in sliced(batches, 256, 1):
             rows = []
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 t = t or b""
