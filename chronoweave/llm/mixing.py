@@ -23,7 +23,8 @@ from .common import WORD, documents, written
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 128
 SHARDS = 16
-CHUNK_ROWS = 20_000
+#: Rows of a source and shard that one window holds, on average, and the least number of chunks.
+CHUNK_ROWS, CHUNKS = 20_000, 32
 #: The table of sources is small by contract; more are refused rather than gathered.
 MAX_SOURCES = 100_000
 
@@ -116,7 +117,8 @@ def mix_sources(docs: DataFrame, seed: int = 0, text: str = "text", row_id: str
         F.col(row_id).alias("row"),
         F.col(source).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(row_id), F.col(source)).alias("order"),
+        # The text takes part, so that rows with null or repeated ids don't share one place in the order.
+        F.xxhash64(F.lit(seed), F.col(row_id), F.col(source), F.col(text)).alias("order"),
     ).withColumn("shard", F.pmod(F.col("order"), F.lit(SHARDS)).cast("int"))
     rows = written(rows, "sizes")  # without the texts
     known = rows.groupBy("source", "shard").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
@@ -124,7 +126,7 @@ def mix_sources(docs: DataFrame, seed: int = 0, text: str = "text", row_id: str
         raise ValueError(f"more than {MAX_SOURCES} sources")
     cells = known.collect()  # at most MAX_SOURCES * SHARDS rows
     table = spark.createDataFrame(quotas([(x["source"], x["shard"], x["size"]) for x in cells], seed, **options), _QUOTAS)
-    chunks = max(1, -(-max([x["n"] for x in cells], default=0) // CHUNK_ROWS))
+    chunks = max(CHUNKS, -(-max([x["n"] for x in cells], default=0) // CHUNK_ROWS))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "order"), F.lit(chunks)).cast("int"))
     # A row's place in the stream of its cell: first by chunk, then within the chunk, so that no window holds a whole source.
     before = Window.partitionBy("source", "shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -133,7 +135,7 @@ def mix_sources(docs: DataFrame, seed: int = 0, text: str = "text", row_id: str
     within = Window.partitionBy("source", "shard", "chunk").orderBy("order", "row", "size").rowsBetween(Window.unboundedPreceding, -1)
     same = lambda a, b, *on: [a[c].eqNullSafe(b[c]) for c in on]
     placed = rows.withColumn("offset", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(F.broadcast(starts) if chunks == 1 else starts, same(placed, starts, "source", "shard", "chunk")).select(
+    placed = placed.join(starts, same(placed, starts, "source", "shard", "chunk")).select(
         placed["row"], placed["size"], placed["source"], placed["shard"], (F.col("chunk_start") + F.col("offset")).alias("a")
     )
     placed = placed.join(F.broadcast(table), same(placed, table, "source", "shard")).select(
