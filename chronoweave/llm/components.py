@@ -1,7 +1,8 @@
 """Connected components of a graph that is too large for one machine.
 
 Large-star and small-star steps (Kiveris et al., 2014) alternate on the edge table until it stops changing.  Each step is one
-pre-aggregated minimum by node and one join, so a node with very many neighbours is neither collected nor dealt to one task.
+pre-aggregated minimum by node and one join of the edges with these minima, one row for each node: what a node with very many
+neighbours brings to a partition is split by adaptive execution, since the other side is one row.  Nothing is collected.
 """
 
 from __future__ import annotations

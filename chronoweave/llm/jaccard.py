@@ -8,19 +8,18 @@ one-deletion neighbourhood.  So a linked pair agrees on some segment's key.  A c
 chance too often and are left out; spare weight makes up for them, and a set that leaves out more than the spare weight is keyed again
 with another partition of the universe, where the same holds, and at last with one that leaves out nothing.  No linked pair is lost.
 
-That plan gives each segment a weight before anything is counted.  The real numbers then move weights: a key that more than ``LIMIT``
-sets share (a passage that many documents hold) is hot, and where hot buckets hold several components, their sets take weight 0 for
-segments with hot keys and weight 2 for all others, by one-deletion neighbourhoods.  Let T segments be used, and let sets X and Y leave
-out x and y of them.  If X and Y agree on no key, and differ by one on no segment that both use, then they differ in at least
-2 T - x - y elements; so a set with 2 x <= 2 T - H - 1 loses no partner of the same kind.  Of a one-deletion key only pairs of a whole
-segment with a shortened one are taken, and at most ``LIMIT`` sets share a whole segment's key: each key costs ``LIMIT`` comparisons at
-most, however many documents hold the passage.  Sets that leave out more than that are few (nearly all they hold is shared); they are
-held against their hot buckets in blocks.
+That plan gives each segment a weight before anything is counted.  The real numbers then move weights.  A key is hot if its bucket
+(a passage that many documents hold) has more than ``LIMIT`` sets beside those of its largest component.  Sets with hot keys take
+weight 0 for these segments and weight 2 for all others, by one-deletion neighbourhoods.  Let T segments be used, and let sets X and Y
+leave out x and y of them.  If X and Y agree on no usable key, they differ in at least T - x elements, so a set with too small an x
+for its size needs nothing more; and if they differ by one on no segment that both use, they differ in at least 2 T - x - y, so a set
+with 2 x <= 2 T - H - 1 loses no partner of the same kind.  Of a one-deletion key only pairs of a whole segment with a shortened one
+are taken.  Sets that leave out more than that are few (nearly all they hold is shared); they are held against their hot buckets.
 
 Equal sets are one class: its name is a 64-bit hash, and names that stand for several sets by a second one are taken apart.  Within a
 bucket, first each class is held against one of the bucket's; the links found, verified exactly on the whole sets, give components,
-and where a bucket still holds several of them, this is done once more with another one.  Then small buckets that hold several
-components even so are compared pair by pair, and large ones as told above; parity sketches, which bound the difference of two sets
+and where a bucket still holds several of them, this is done once more with another one.  Where a bucket holds several components
+even so, its sets beside the largest one's are held against all, in blocks, unless it is hot; parity sketches, which bound the difference of two sets
 from below, rule out most pairs, and the rest are verified exactly.  So a group of near copies costs one comparison for each copy, not
 one for each pair, and links that matter for the components are never lost.  Each text is shingled once, and those of candidates once
 more for the table of their sets, which all verifications read.  Equality of shingles is that of 64-bit hashes.
@@ -47,8 +46,8 @@ from .shingles import mix, shingle_set
 GROWTH = 1.5
 SLICE_ROWS = 256
 ROUNDS = 3
-#: Sets that a key may have before it is hot.
-LIMIT = 64
+#: Sets beside those of its largest component that a bucket may hold before its key is hot.
+LIMIT = 256
 #: Rows of a bucket that one block holds at most, on average.
 BLOCK = 512
 #: Rows with one key that a task sees before it deals the key to several partitions.
@@ -307,14 +306,15 @@ def _likely(percent: int):
         return min(own.intersection(other["own"]) | own.intersection(other["guest"]) | guest.intersection(other["own"]))
 
     def pairs(run: list[dict]):
-        across = run[0]["i"] != run[0]["j"]
+        run.sort(key=lambda r: not r["bound"])
+        across, bound = run[0]["i"] != run[0]["j"], sum(r["bound"] for r in run)
         bits = _folded([r["sketch"] for r in run])
         cls, label, n = (np.array([r[c] for r in run], dtype=np.int64) for c in ("cls", "label", "n"))
-        owner, block, bound = (np.array([r[c] for r in run]) for c in ("owner", "block", "bound"))
+        owner, block = (np.array([r[c] for r in run]) for c in ("owner", "block"))
         us, vs = [], []
-        for x in range(len(run) - 1):
+        for x in range(min(bound, len(run) - 1)):
             y = slice(x + 1, None)
-            apart = (label[y] != label[x]) & (owner[y] | owner[x]) & (bound[y] | bound[x])
+            apart = (label[y] != label[x]) & (owner[y] | owner[x])
             if across:
                 apart &= block[y] != block[x]
             if not apart.any():
@@ -322,7 +322,7 @@ def _likely(percent: int):
             at = np.flatnonzero(apart) + x + 1
             least, most = np.minimum(n[at], n[x]), np.maximum(n[at], n[x])
             at = at[(100 * least >= percent * most) & (np.bitwise_count(bits[at] ^ bits[x]).sum(axis=1) <= (n[at] + n[x]) * (100 - percent) // (100 + percent))]
-            # A pair that shares several open keys is told by the least of those in which one of the two is an owner.
+            # A pair that shares several hot keys is told by the least of those in which one of the two is an owner.
             if run[x]["own"] is not None:
                 own, guest = set(run[x]["own"]), set(run[x]["guest"])
                 at = [y for y in at.tolist() if run[y]["own"] is None or told(own, guest, run[y]) == run[x]["key"]]
@@ -397,10 +397,11 @@ def neighbours(h: np.ndarray, percent: int, hot: np.ndarray) -> tuple[list[tuple
         held = n > q
         full = mix(f ^ salt)
         held &= ~np.isin(full, hot)
-        left_out = len(n) - int(held.sum())
+        left_out = ones - int(held.sum())
         high = bands(percent)[band][1]
-        h_most = most_different(high, high, percent)
-        whole &= 2 * left_out <= 2 * ones - h_most - 1
+        if left_out < ones - most_different(min(high, 100 * len(h) // percent), len(h), percent):
+            continue
+        whole &= 2 * left_out <= 2 * ones - most_different(high, high, percent) - 1
         shorter = np.repeat(held & (n > q + 1), n)
         segment = np.repeat(np.arange(len(n)), n)
         out.append((is_owner, full[held], mix((f[segment] - g)[shorter] ^ salt[segment[shorter]])))
@@ -450,9 +451,9 @@ def _verified(percent: int):
     return run
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """Ids to be broadcast, if their number allows it."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _few(ids: DataFrame, most: int) -> DataFrame:
+    """Ids to be broadcast, if ``most``, which is at least their number, allows it."""
+    return F.broadcast(ids) if most <= BROADCAST_IDS else ids
 
 
 def _classes(rows: DataFrame) -> DataFrame:
@@ -491,16 +492,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
 
     # The sets of all candidates, once.
     candidates = buckets.select(cls).distinct()
-    ids = written(classes.join(candidates, "cls").select(F.col("rep").alias("doc_id")).distinct(), "candidates")
-    sets = apart(docs.join(_few(ids), "doc_id", "left_semi").select("text").mapInArrow(_sets(k, name_bits), "cls long, check long, elements binary"))
+    ids = classes.join(candidates, "cls").select(F.col("rep").alias("doc_id")).distinct()
+    sets = apart(docs.join(_few(ids, classes.count()), "doc_id", "left_semi").select("text").mapInArrow(_sets(k, name_bits), "cls long, check long, elements binary"))
     sets = written(sets.groupBy("cls").agg(F.first("elements").alias("elements")), "candidate_sets")
     known = classes.select("cls", "n", "sketch")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs of classes, those that link, by their whole sets."""
         pairs = written(pairs, "pairs")
-        needed = written(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "cls"), "needed")
-        some = sets.join(_few(needed), "cls", "left_semi")
+        needed = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "cls")
+        some = sets.join(_few(needed, 2 * pairs.count()), "cls", "left_semi")
         both = pairs.join(some.toDF("u", "a"), "u").join(some.toDF("v", "b"), "v").select("u", "v", "a", "b")
         return written(both.mapInArrow(_verified(percent), "u long, v long"), "links")
 
@@ -525,41 +526,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     more = rest.join(other, "key").where(F.col("label") != F.col("c.label")).select(F.col("cls").alias("u"), F.col("c.cls").alias("v"))
     links = links.union(checked(more))
 
-    # Hot buckets with several components: whole segments against shortened ones, hot keys left out.
     labels, rest = still_open(links)
-    large = written(rest.where(F.col("size") > LIMIT).select("cls").distinct(), "large")
-    bound = None
-    if not large.isEmpty():
-        hot = written(buckets.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > LIMIT).select("key"), "hot")
-        own_hot = buckets.join(hot, "key").select(cls, "key").join(large, "cls", "left_semi").groupBy("cls").agg(F.collect_set("key").alias("hot"))
-        near = sets.join(own_hot, "cls").select("cls", "elements", "hot").mapInArrow(_neighbour_rows(percent), "kind int, key long, member long")
-        near = written(near, "neighbours")
+    of_label = rest.groupBy("key", "label").agg(F.count("*").alias("n"))
+    top = of_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), (F.sum("n") - F.max("n") > LIMIT).alias("hot"))
+    rest = written(rest.join(top, "key").withColumn("bound", F.col("label") != F.col("top")), "open")
+
+    # Hot keys: whole segments against shortened ones.
+    hot = rest.where("hot").select("cls", "key")
+    own_hot = written(hot.groupBy("cls").agg(F.collect_set("key").alias("hot")), "hot")
+    tied = None
+    if not own_hot.isEmpty():
+        near = written(sets.join(own_hot, "cls").select("cls", "elements", "hot").mapInArrow(_neighbour_rows(percent), "kind int, key long, member long"), "neighbours")
         whole = near.where(F.col("kind") == FULL).select("key", cls.alias("u"), owner.alias("owner_u"))
-        shorter = near.where(F.col("kind") == DELETED).join(hot, "key", "left_anti").select("key", cls.alias("v"), owner.alias("owner_v"))
+        shorter = near.where(F.col("kind") == DELETED).select("key", cls.alias("v"), owner.alias("owner_v"))
         met = shorter.join(whole, "key").where("(owner_u or owner_v) and u <> v").select("u", "v").distinct()
         for c in ("u", "v"):
             met = met.join(labels.toDF(c, f"label_{c}"), c, "left").withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
         links = links.union(checked(met.where("label_u <> label_v").select("u", "v")))
-        bound = written(near.where(F.col("kind") == BOUND).select(cls).distinct().withColumn("bound", F.lit(True)), "bound")
-
-    # Small ones, and what is bound to the large ones: members against each other.
-    small = rest.where(F.col("size") <= LIMIT).withColumn("bound", F.lit(True)).withColumn("blocks", F.lit(1))
-    left, lists = small.withColumn("large", F.lit(False)), None
-    if bound is not None and not bound.isEmpty():
-        tied = rest.where(F.col("size") > LIMIT).join(bound, "cls", "left").withColumn("bound", F.coalesce("bound", F.lit(False)))
-        tied = written(tied.join(tied.where("bound").select("key").distinct(), "key", "left_semi"), "tied")
+        bound = written(near.where(F.col("kind") == BOUND).select(cls).distinct().withColumn("tied", F.lit(True)), "bound")
+        if not bound.isEmpty():
+            tied = rest.where("hot").join(bound, "cls", "left").withColumn("bound", F.coalesce("tied", F.lit(False))).drop("tied")
+            tied = written(tied.join(tied.where("bound").select("key").distinct(), "key", "left_semi"), "tied")
+
+    # The others: what stands beside the largest component is held against all of its bucket, and so is what is bound to hot ones.
+    columns = ["key", "i", "j", "block", "cls", "label", "owner", "bound"]
+    own_block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = rest.where("not hot").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    left = left.withColumn("block", F.explode(F.when(F.col("bound"), all_blocks).otherwise(F.array(own_block)))).withColumns({"i": F.col("block"), "j": F.col("block")})
+    left = left.select(*columns).join(known, "cls").withColumns({c: F.lit(None).cast("array<bigint>") for c in ("own", "guest")})
+    if tied is not None:
         own, guest = (F.when(F.count("*") <= KEYS, F.collect_list(F.when(F.col("owner") == is_own, F.col("key")))) for is_own in (True, False))
-        lists = tied.groupBy("cls").agg(own.alias("own"), guest.alias("guest")).withColumn("large", F.lit(True))
-        left = left.unionByName(tied.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("large", F.lit(True)))
-    left = left.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    left = left.select("key", "i", "j", "block", "cls", "label", "owner", "bound", "large").join(known, "cls")
-    if lists is None:
-        left = left.withColumns({c: F.lit(None).cast("array<bigint>") for c in ("own", "guest")})
-    else:
-        left = left.join(lists, ["cls", "large"], "left")
-    left = left.drop("large").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cls")
+        lists = tied.groupBy("cls").agg(own.alias("own"), guest.alias("guest"))
+        tied = tied.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", own_block).withColumn("other", F.explode(all_blocks))
+        tied = tied.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select(*columns)
+        left = left.unionByName(tied.join(known, "cls").join(lists, "cls"))
+    left = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cls")
     more = verified(left.mapInArrow(_likely(percent), "u long, v long").distinct())
 
     components = connected_components(links.union(more)).toDF("cls", "component")
