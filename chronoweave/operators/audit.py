@@ -99,3 +99,24 @@ def explanation_checks() -> dict[str, Column]:
     total = F.col("class_t") + F.col("class_a") + F.col("class_v")
     shares = F.col("share_t") + F.col("share_a") + F.col("share_v")
     return {"efficiency": F.abs(total - (F.col("full") - F.col("base"))) > 2e-5, "shares": (F.abs(shares - 1) > 2e-5) & (F.abs(total) > 1e-6)}
+
+
+def token_identity(given: DataFrame, again: DataFrame, by: list[str], column: str) -> DataFrame:
+    """``(by, differs)``: whether given and recomputed token arrays differ, in any place or in length; missing on one side differs."""
+    both = given.select(*by, F.col(column).alias("given_")).join(again.select(*by, F.col(column).alias("again_")), by, "full_outer")
+    return both.select(*by, (~F.col("given_").eqNullSafe(F.col("again_"))).alias("differs"))
+
+
+def source_identity(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files that aren't what the manifest (path, sha256) says: other content, gone, or not listed."""
+    listed = manifest.select("path", F.col("sha256").alias("expected_"))
+    both = files.select("path", "sha256", F.col("length").alias("length_")).join(listed, "path", "full_outer")
+    checks = {
+        "other_content": F.col("sha256") != F.col("expected_"), "gone": F.col("sha256").isNull(), "not_listed": F.col("expected_").isNull(),
+    }
+    return violations(both, ["path"], checks, F.col("length_"))
+
+
+def record_digest(df: DataFrame, columns: list[str]) -> Column:
+    """SHA-256 of a row's canonical JSON: its columns by name."""
+    return F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(columns)))), 256)

@@ -6,10 +6,15 @@ Intervals are half-open ``[a, b)``.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Width of the time buckets that interval joins are dealt to, so that a long entity isn't one task: a day.
+BUCKET_US = 86_400_000_000
+
+
 def _before(by: list[str], *order: str):
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -42,22 +47,18 @@ def union_length(df: DataFrame, by: list[str], a: str = "a", b: str = "b", name:
     return good.withColumn("new_", F.greatest(F.lit(0), F.col(b) - F.greatest(F.col(a), F.coalesce(reach, F.col(a))))).groupBy(*by).agg(F.sum("new_").alias(name))
 
 
-def overlap_join(targets: DataFrame, obs: DataFrame, by: list[str], bucket_us: int | None = None, a: str = "a", b: str = "b", s: str = "s", e: str = "e") -> DataFrame:
+def overlap_join(targets: DataFrame, obs: DataFrame, by: list[str], bucket: int = BUCKET_US, a: str = "a", b: str = "b", s: str = "s", e: str = "e") -> DataFrame:
     """Pairs of targets ``[s, e)`` and observations ``[a, b)`` that overlap, with the overlap in ``overlap``.
 
-    With ``bucket_us`` both sides are dealt to time buckets too, so that one long entity isn't one task; a pair is kept only in the
-    bucket where its overlap begins, so nothing has to be made distinct.
+    Both sides are dealt to buckets of the axis too, so that one long entity isn't one task; a pair is kept only in the bucket where
+    its overlap begins, so nothing has to be made distinct.
     """
-    t, o = targets.where(F.col(e) > F.col(s)), obs.where(F.col(b) > F.col(a))
-    on = list(by)
-    if bucket_us:
-        parts = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / bucket_us), F.floor((F.col(high) - 1) / bucket_us)))
-        t, o = t.withColumn("bucket_", parts(s, e)), o.withColumn("bucket_", parts(a, b))
-        on.append("bucket_")
-    both = t.join(o, on).where((F.col(s) < F.col(b)) & (F.col(a) < F.col(e)))
-    if bucket_us:
-        both = both.where(F.floor(F.greatest(s, a) / bucket_us) == F.col("bucket_")).drop("bucket_")
-    return both.withColumn("overlap", F.least(e, b) - F.greatest(s, a))
+    at = lambda x: F.floor(x / bucket)
+    parts = lambda low, high: F.explode(F.sequence(at(F.col(low)), at(F.col(high) - 1)))
+    t = targets.where(F.col(e) > F.col(s)).withColumn("bucket_", parts(s, e))
+    o = obs.where(F.col(b) > F.col(a)).withColumn("bucket_", parts(a, b))
+    both = t.join(o, [*by, "bucket_"]).where((F.col(s) < F.col(b)) & (F.col(a) < F.col(e)) & (at(F.greatest(s, a)) == F.col("bucket_")))
+    return both.drop("bucket_").withColumn("overlap", F.least(e, b) - F.greatest(s, a))
 
 
 def intersect_intervals(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
@@ -67,19 +68,24 @@ def intersect_intervals(left: DataFrame, right: DataFrame, by: list[str]) -> Dat
 
 
 def temporal_support(targets: DataFrame, audio: DataFrame, vision: DataFrame, by: list[str]) -> DataFrame:
-    """Length of the targets' union, and of its parts under audio, vision, either and both, by entity."""
-    either = audio.select(*by, "a", "b").unionByName(vision.select(*by, "a", "b"))
-    base = merge_intervals(targets, by)
-    under = {
-        "audio": intersect_intervals(base, audio, by),
-        "vision": intersect_intervals(base, vision, by),
-        "either": intersect_intervals(base, either, by),
-        "both": intersect_intervals(intersect_intervals(base, audio, by), vision, by),
-    }
-    out = union_length(base, by, name="total")
-    for name, part in under.items():
-        out = out.join(union_length(part, by, name=name), by, "left").fillna(0, [name])
-    return out
+    """Length of the targets' union, and of its parts under audio, vision, either and both, by entity.
+
+    One sweep over the ends of all intervals: how many of each kind are open from one end to the next tells what the piece counts for.
+    """
+    kinds = {"base": targets, "audio": audio, "vision": vision}
+    ends = None
+    for name, df in kinds.items():
+        good = df.where(F.col("b") > F.col("a"))
+        step = F.explode(F.array(F.struct(F.col("a").alias("t"), F.lit(1).alias("d")), F.struct(F.col("b").alias("t"), F.lit(-1).alias("d")))).alias("x")
+        some = good.select(*by, step).select(*by, F.col("x.t").alias("t"), *(F.col("x.d").alias(k) if k == name else F.lit(0).alias(k) for k in kinds))
+        ends = some if ends is None else ends.unionByName(some)
+    # Ends at one time are one row, before the shuffle already.
+    steps = ends.groupBy(*by, "t").agg(*(F.sum(k).alias(k) for k in kinds))
+    w = Window.partitionBy(*by).orderBy("t")
+    open_ = {k: F.sum(k).over(w.rowsBetween(Window.unboundedPreceding, 0)) > 0 for k in kinds}
+    pieces = steps.select(*by, (F.lead("t").over(w) - F.col("t")).alias("len_"), *(c.alias(k) for k, c in open_.items())).where("base and len_ is not null")
+    under = {"total": F.lit(True), "audio": F.col("audio"), "vision": F.col("vision"), "either": F.col("audio") | F.col("vision"), "both": F.col("audio") & F.col("vision")}
+    return pieces.groupBy(*by).agg(*(F.sum(F.when(c, F.col("len_")).otherwise(0)).alias(k) for k, c in under.items()))
 
 
 def make_timeline(words: DataFrame, durations: DataFrame, by: list[str], min_gap_us: int = 80_000, duration: str = "duration") -> DataFrame:
@@ -125,25 +131,36 @@ def frame_intervals(points: DataFrame, by: list[str], t: str = "t", own: str | N
     return stepped.withColumn("a", F.col(t)).withColumn("b", F.coalesce("next_", F.col(t) + F.coalesce(last, F.lit(0)))).drop("next_", "step_")
 
 
-def position_coverage(targets: DataFrame, obs: DataFrame, by: list[str], key: list[str]) -> DataFrame:
-    """Share of each target ``[s, e)`` that the union of its observations covers; 0 where none does."""
-    pairs = overlap_join(targets, obs, by)
-    clipped = pairs.select(*by, *key, F.greatest("s", "a").alias("a"), F.least("e", "b").alias("b"))
-    covered = union_length(clipped, [*by, *key], name="covered_us")
-    out = targets.join(covered, [*by, *key], "left").fillna(0, ["covered_us"])
+def pair_coverage(targets: DataFrame, pairs: DataFrame, ids: list[str]) -> DataFrame:
+    """Targets ``[s, e)`` with the share of each that the union of the intervals of its ``pairs`` (of ``overlap_join``) covers."""
+    clipped = pairs.select(*ids, F.greatest("s", "a").alias("a"), F.least("e", "b").alias("b"))
+    covered = union_length(clipped, ids, name="covered_us")
+    out = targets.join(covered, ids, "left").fillna(0, ["covered_us"])
     return out.withColumn("coverage", F.when(F.col("e") > F.col("s"), F.col("covered_us") / (F.col("e") - F.col("s"))).otherwise(F.lit(0.0)))
 
 
+def position_coverage(targets: DataFrame, obs: DataFrame, by: list[str], key: list[str], bucket: int = BUCKET_US) -> DataFrame:
+    """Share of each target ``[s, e)`` that the union of its observations covers; 0 where none does."""
+    return pair_coverage(targets, overlap_join(targets, obs, by, bucket), [*by, *key])
+
+
 def thin_by_spacing(points: DataFrame, by: list[str], step_us: int, t: str = "t") -> DataFrame:
     """Greedy thinning in time order: a point stays if it is ``step_us`` or more after the last one that stayed.
 
-    Order-dependent, so each entity is one fold; entities of any length may go through ``streaming.thin`` instead, which holds only
-    the last point.
+    Order-dependent: entities are sorted within their partitions and streamed through the task, which holds the last point alone, so
+    an entity may be of any length.
     """
-    sorted_ = F.array_sort(F.collect_list(F.col(t)))
-    fold = F.aggregate(
-        sorted_,
-        F.array().cast("array<bigint>"),
-        lambda kept, x: F.when(F.size(kept) == 0, F.array(x)).when(x - F.element_at(kept, -1) >= step_us, F.concat(kept, F.array(x))).otherwise(kept),
-    )
-    return points.groupBy(*by).agg(fold.alias("kept")).select(*by, F.explode("kept").alias(t))
+    rows = points.where(F.col(t).isNotNull()).select(*by, F.col(t).cast("long").alias(t))
+
+    def run(batches):
+        entity = last = None
+        for b in batches:
+            keep = []
+            for *now, x in zip(*(b.column(i).to_pylist() for i in range(len(by) + 1)), strict=True):
+                if now != entity:
+                    entity, last = now, None
+                keep.append(last is None or x - last >= step_us)
+                last = x if keep[-1] else last
+            yield b.filter(pa.array(keep, type=pa.bool_()))
+
+    return rows.repartition(*by).sortWithinPartitions(*by, t).mapInArrow(run, rows.schema)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import overlap_join
+from .pooling import BUCKET_CHARS
+
 
 def select_samples(df: DataFrame, ids: DataFrame, key: str, limit: int | None = None) -> DataFrame:
     """The rows whose key is in ``ids``; then, if asked, the first ``limit`` by key."""
@@ -68,20 +71,23 @@ def pending_work(samples: DataFrame, done: DataFrame, on: list[str]) -> DataFram
     return samples.join(done.select(*on).distinct(), on, "left_anti")
 
 
-def position_times(tokens: DataFrame, words: DataFrame, by: list[str]) -> DataFrame:
+def position_times(tokens: DataFrame, words: DataFrame, by: list[str], bucket: int = BUCKET_CHARS) -> DataFrame:
     """For each token the first overlapping word with a valid time, or nulls.  ``words``: word_index, a, b, start_us, end_us, time_valid."""
     good = words.where("time_valid").select(*by, "word_index", "a", "b", "start_us", "end_us")
-    on = [tokens[c] == good[c] for c in by] + [(F.col("char_a") < F.col("b")) & (F.col("char_b") > F.col("a")) & (F.col("char_b") > F.col("char_a"))]
-    both = tokens.join(good.withColumnsRenamed({}), on, "left").select(*(tokens[c] for c in tokens.columns), "word_index", "start_us", "end_us")
-    first = Window.partitionBy(*by, "token_idx").orderBy(F.col("word_index").asc_nulls_last())
-    return both.withColumn("r_", F.row_number().over(first)).where("r_ = 1").drop("r_")
+    pairs = overlap_join(tokens.select(*by, "token_idx", "char_a", "char_b"), good, by, bucket, s="char_a", e="char_b")
+    first = pairs.groupBy(*by, "token_idx").agg(F.min(F.struct("word_index", "start_us", "end_us")).alias("w_"))
+    out = tokens.join(first, [*by, "token_idx"], "left")
+    return out.select(*tokens.columns, "w_.word_index", "w_.start_us", "w_.end_us")
 
 
 def window_times(windows: DataFrame, times: DataFrame, by: list[str], ids: list[str]) -> DataFrame:
-    """Text and time span of position windows ``[start, end)``; ``unresolved`` where no position of it has a time."""
+    """Text and time span of position windows ``[start, end)``; ``unresolved`` where no position of it has a time.
+
+    Windows are short, so each names its positions, and positions meet it by equality.
+    """
     pos = times.select(*by, F.col("token_idx").alias("pos_"), "token", "start_us", "end_us")
-    both = windows.join(pos, by, "left").where(F.col("pos_").isNull() | ((F.col("pos_") >= F.col("start")) & (F.col("pos_") < F.col("end"))))
-    out = both.groupBy(*by, *ids).agg(
+    named = windows.where(F.col("end") > F.col("start")).select(*by, *ids, F.explode(F.sequence("start", F.col("end") - 1)).alias("pos_"))
+    out = named.join(pos, [*by, "pos_"]).groupBy(*by, *ids).agg(
         F.min("start_us").alias("from_us"), F.max("end_us").alias("to_us"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos_", "token"))), lambda x: x["token"]), " ").alias("span")
     )
     out = windows.join(out, [*by, *ids], "left")
@@ -95,32 +101,81 @@ def best_evidence(preds: DataFrame, evidence: DataFrame, by: list[str]) -> DataF
     return preds.join(best, by, "left").select(*preds.columns, "w_.start", "w_.end", "w_.drop")
 
 
-def alternative_matches(hyp: DataFrame, refs: DataFrame, block: list[str], least_words: int = 5, most: float = 0.25, gain: float = 0.3, k: int = 3) -> DataFrame:
-    """Other references that fit a hypothesis well where its own doesn't: up to ``k`` by (distance, key).
+def evidence_cards(evidence: DataFrame, by: list[str], k: int = 5, score: str = "drop", ties: tuple[str, ...] = ("modality", "start")) -> DataFrame:
+    """The ``k`` strongest evidences of each sample, with ``rank`` from 1 and their status."""
+    w = Window.partitionBy(*by).orderBy(F.desc(score), *ties)
+    return evidence.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    ``hyp``: key, words, own (own distance); ``refs``: key, words.  Texts of n and m words within distance d have at least
-    (1 - d) * max(n, m) words in common, repeats counted.  So with all texts' words in one order, rare ones first, a pair shares one
-    of the first n - ceil((1 - d) * n) + 1 words of each: only these are joined on, and frequent words hardly ever are.
-    """
-    from ..functions.text import edit_counts, normalized_distance
 
-    # A word's repeats are words of their own.
-    told = lambda c: F.transform(c, lambda w, i: F.concat(w, F.lit("#"), F.size(F.filter(F.slice(c, F.lit(1), i), lambda x: x == w)).cast("string")))
-    h = hyp.where((F.size("words") >= least_words) & (F.col("own") >= gain)).select(*block, F.col("key").alias("key"), F.col("words").alias("hyp_"), "own", told(F.col("words")).alias("h_"))
-    r = refs.where(F.size("words") >= least_words).select(*block, F.col("key").alias("other"), F.col("words").alias("ref_"), told(F.col("words")).alias("r_"))
-    often = r.select(F.explode("r_").alias("w_")).groupBy("w_").agg(F.count("*").alias("often_"))
+def evidence_string(evidence: DataFrame, by: list[str]) -> DataFrame:
+    """``modality:start-last`` of all windows of a sample, in order, joined by ``;``.  A sample's windows are bounded by its positions."""
+    item = F.array_sort(F.collect_list(F.struct("modality", "start", (F.col("end") - 1).alias("last"))))
+    text = F.transform(item, lambda x: F.concat(x["modality"], F.lit(":"), x["start"].cast("string"), F.lit("-"), x["last"].cast("string")))
+    return evidence.groupBy(*by).agg(F.array_join(text, ";").alias("evidence"))
+
+
+def reference_hypothesis(turns: DataFrame, by: list[str], turn: str = "turn", role: str = "role", words: str = "words") -> DataFrame:
+    """Each user turn as ``ref`` with the assistant turn that follows it as ``hyp``."""
+    ref = turns.where(F.col(role) == "user").select(*by, turn, F.col(words).alias("ref"))
+    hyp = turns.where(F.col(role) == "assistant").select(*by, (F.col(turn) - 1).alias(turn), F.col(words).alias("hyp"))
+    return ref.join(hyp, [*by, turn])
+
 
-    def first_words(df: DataFrame, key: str, words: str) -> DataFrame:
-        each = df.select(*block, key, F.size(words).alias("n_"), F.explode(words).alias("w_")).join(often, "w_", "left")
-        rank = F.row_number().over(Window.partitionBy(*block, key).orderBy(F.coalesce("often_", F.lit(0)), "w_"))
-        return each.withColumn("k_", rank).where(F.col("k_") <= F.col("n_") - F.ceil((1 - most) * F.col("n_")) + 1).select(*block, key, "w_")
+def join_predictions(preds: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Stacked predictions of several models in one row for each sample: how many models, and the mean of each column."""
+    return preds.groupBy(*by).agg(F.count("*").alias("models"), *(F.avg(c).alias(c) for c in columns))
 
-    pairs = first_words(h, "key", "h_").join(first_words(r, "other", "r_"), [*block, "w_"]).where("key <> other").select(*block, "key", "other").distinct()
+
+def annotate_with_audit(rows: DataFrame, audit: DataFrame, key: str, suspect: float = 0.9) -> DataFrame:
+    """``grp`` of each row by its transcript's audit (key, status, wer): not comparable without one, highly suspect above ``suspect``."""
+    told = audit.groupBy(key).agg(F.max("wer").alias("wer_"), F.bool_or(F.col("status").isNotNull()).alias("told_"))
+    grp = F.when(F.coalesce("told_", F.lit(False)), F.when(F.col("wer_") > suspect, "high_suspect").otherwise("not_flagged")).otherwise("not_comparable")
+    return rows.join(told, key, "left").withColumn("grp", grp).drop("wer_", "told_")
+
+
+def _counted(words: DataFrame, key: str) -> DataFrame:
+    """``(key, w_, i_)``: each word of each row, the i-th time that it comes."""
+    each = words.select(key, F.explode("words").alias("w_")).groupBy(key, "w_").agg(F.count("*").cast("int").alias("n_"))
+    return each.select(key, "w_", F.explode(F.sequence(F.lit(1), F.col("n_"))).alias("i_"))
+
+
+def alternative_matches(hyp: DataFrame, refs: DataFrame, block: list[str], least_words: int = 5, most: float = 0.25, gain: float = 0.3, k: int = 3) -> DataFrame:
+    """Other references that fit a hypothesis well where its own doesn't: up to ``k`` by (distance, key).
+
+    ``hyp``: key, words, own (own distance); ``refs``: key, words.  Equal texts are one class, of which the first ``k + 1`` keys can be
+    among the best; so copies make no pairs.  Texts of n and m words within distance d have at least (1 - d) * max(n, m) words in
+    common, repeats counted.  So with all texts' words in one order, rare ones first, a pair of classes shares one of the first
+    n - ceil((1 - d) * n) + 1 words of each: only these are joined on, and frequent words hardly ever are.
+    """
+    from ..functions.text import edit_distance_within, normalized_distance
+
+    classed = lambda df: df.withColumn("cls_", F.sha2(F.to_json(F.struct(*block, "words")), 256))
+    h = classed(hyp.where((F.size("words") >= least_words) & (F.col("own") >= gain)))
+    r = classed(refs.where(F.size("words") >= least_words))
+    texts = lambda df: df.groupBy("cls_").agg(*(F.first(c).alias(c) for c in block), F.first("words").alias("words"))
+    sought, offered = texts(h), texts(r)
+    # The first keys of each class, by rank, so that no class is gathered.
+    first = Window.partitionBy("cls_").orderBy("key")
+    keys = r.select("cls_", "key").withColumn("r_", F.row_number().over(first)).where(F.col("r_") <= k + 1).groupBy("cls_").agg(F.collect_list("key").alias("keys_"))
+    counted = _counted(offered, "cls_")
+    often = counted.groupBy("w_", "i_").agg(F.count("*").alias("often_"))
+
+    def first_words(df: DataFrame, each: DataFrame, name: str) -> DataFrame:
+        sized = each.join(often, ["w_", "i_"], "left").join(df.select("cls_", *block, F.size("words").alias("n_")), "cls_")
+        rank = F.row_number().over(Window.partitionBy("cls_").orderBy(F.coalesce("often_", F.lit(0)), "w_", "i_"))
+        return sized.withColumn("k_", rank).where(F.col("k_") <= F.col("n_") - F.ceil((1 - most) * F.col("n_")) + 1).select(F.col("cls_").alias(name), *block, "w_", "i_", F.col("n_").alias(f"n_{name}"))
+
+    x, y = first_words(sought, _counted(sought, "cls_"), "h"), first_words(offered, counted, "r")
+    fits = F.abs(F.col("n_h") - F.col("n_r")) <= most * F.greatest("n_h", "n_r")
+    pairs = x.join(y, [*block, "w_", "i_"]).where(fits & (F.col("h") != F.col("r"))).select("h", "r").distinct()
+    both = pairs.join(sought.select(F.col("cls_").alias("h"), F.col("words").alias("hyp_")), "h").join(offered.select(F.col("cls_").alias("r"), F.col("words").alias("ref_")), "r")
     n, m = F.size("hyp_"), F.size("ref_")
-    longest = F.greatest(n, m)
-    both = pairs.join(h, [*block, "key"]).join(r, [*block, "other"])
-    near = both.where((F.abs(n - m) <= most * longest) & (F.size(F.array_intersect("h_", "r_")) >= (1 - most) * longest))
-    d = near.withColumn("distance", normalized_distance(edit_counts(F.col("ref_"), F.col("hyp_"))["c"], n, m))
-    good = d.where((F.col("distance") <= most) & (F.col("own") - F.col("distance") >= gain))
+    limit = F.floor(most * F.greatest(n, m)).cast("int")
+    far = both.select("h", "r", normalized_distance(edit_distance_within(F.col("ref_"), F.col("hyp_"), limit), n, m).alias("distance"))
+    same = sought.select(F.col("cls_").alias("h"), F.col("cls_").alias("r"), F.lit(0.0).alias("distance"))
+    near = far.where(F.col("distance") <= most).unionByName(same).join(keys.withColumnRenamed("cls_", "r"), "r").select("h", "distance", F.explode("keys_").alias("other"))
+    best = Window.partitionBy("h").orderBy("distance", "other")
+    near = near.withColumn("r_", F.row_number().over(best)).where(F.col("r_") <= k + 1).select(F.col("h").alias("cls_"), "distance", "other")
+    good = h.select("cls_", "key", "own").join(near, "cls_").where((F.col("key") != F.col("other")) & (F.col("own") - F.col("distance") >= gain))
     w = Window.partitionBy("key").orderBy("distance", "other")
     return good.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("key", "other", "distance", "rank")

@@ -91,14 +91,28 @@ def fold_mean_sd(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 0) -> DataFrame:
     """``(group, fold)``: groups whole in one fold, dealt in a snake by how unevenly their labels fall, then size and hash.
 
-    Works on the table of groups, so only that is sorted.
+    A group's rank is counted in three steps, so that no task sorts all groups: places before its spread and size (a table of the
+    distinct ones), before the first digits of its hash, and within these.
     """
     counts = df.groupBy(group, label).agg(F.count("*").alias("n"))
-    spread = counts.groupBy(group).agg(F.stddev_pop("n").alias("spread"), F.sum("n").alias("size"))
-    rank = F.row_number().over(Window.orderBy(F.round("spread", 9).desc(), F.col("size").desc(), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group))), F.col(group))) - 1
-    ranked = spread.withColumn("rank_", rank)
-    at = F.col("rank_") % k
-    return ranked.select(group, F.when(F.floor(F.col("rank_") / k) % 2 == 0, at).otherwise(k - 1 - at).cast("int").alias("fold"))
+    spread = counts.groupBy(group).agg(F.round(F.stddev_pop("n"), 9).alias("spread"), F.sum("n").alias("size")).withColumn("hash_", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group))))
+    spread = spread.withColumn("digits_", F.substring("hash_", 1, 3))
+    parts = spread.groupBy("spread", "size", "digits_").agg(F.count("*").alias("n_"))
+    kinds = parts.groupBy("spread", "size").agg(F.sum("n_").alias("n_"))
+    before = lambda w: F.coalesce(F.sum("n_").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Kinds are as few as there are sizes of groups; a constant partition says so.
+    kinds = kinds.withColumn("one_", F.lit(0)).select("spread", "size", before(Window.partitionBy("one_").orderBy(F.desc("spread"), F.desc("size"))).alias("kinds_"))
+    parts = parts.select("spread", "size", "digits_", before(Window.partitionBy("spread", "size").orderBy("digits_")).alias("parts_"))
+    within = F.row_number().over(Window.partitionBy("spread", "size", "digits_").orderBy("hash_", group)) - 1
+    ranked = spread.withColumn("within_", within).join(kinds, ["spread", "size"]).join(parts, ["spread", "size", "digits_"])
+    rank = F.col("kinds_") + F.col("parts_") + F.col("within_")
+    return ranked.select(group, F.when(F.floor(rank / k) % 2 == 0, rank % k).otherwise(k - 1 - rank % k).cast("int").alias("fold"))
+
+
+def fold_overlap(folds: DataFrame, group: str) -> DataFrame:
+    """``(fold, groups, shared)``: how many groups each fold has, and how many of them other folds have too."""
+    several = folds.groupBy(group).agg(F.count_distinct("fold").alias("folds_"))
+    return folds.join(several, group).groupBy("fold").agg(F.count_distinct(group).alias("groups"), F.count_if(F.col("folds_") > 1).cast("int").alias("shared"))
 
 
 def fold_profile(df: DataFrame, folds: DataFrame, group: str, label: str) -> DataFrame:
@@ -109,12 +123,40 @@ def fold_profile(df: DataFrame, folds: DataFrame, group: str, label: str) -> Dat
 
 def majority_baseline(df: DataFrame, fold: str = "fold", label: str = "label") -> DataFrame:
     """For each fold the most frequent class of the other folds, the least one on a tie."""
-    counts = df.groupBy(fold, label).agg(F.count("*").alias("n"))
-    folds = counts.select(F.col(fold).alias("out_")).distinct()
-    # Folds and classes are few.
-    others = counts.join(F.broadcast(folds), F.col(fold) != F.col("out_")).groupBy("out_", label).agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("out_").orderBy(F.col("n").desc(), F.col(label))
-    return others.withColumn("r_", F.row_number().over(w)).where("r_ = 1").select(F.col("out_").alias(fold), F.col(label).alias("majority"))
+    own = df.groupBy(fold, label).agg(F.count("*").alias("own_"))
+    total = own.groupBy(label).agg(F.sum("own_").alias("all_"))
+    # All classes for each fold; both tables have a row for each fold or class.
+    table = own.select(fold).distinct().join(own.groupBy().agg(F.collect_set(label).alias("classes_"))).select(fold, F.explode("classes_").alias(label))
+    others = table.join(total, label).join(own, [fold, label], "left").withColumn("n", F.col("all_") - F.coalesce("own_", F.lit(0))).where("n > 0")
+    return others.groupBy(fold).agg(F.max_by(label, F.struct("n", -F.col(label))).alias("majority"))
+
+
+def availability(positions: DataFrame, mask: str, kind: str = "kind", valid: str = "time_valid") -> DataFrame:
+    """Share of positions with an observation, share of words with a valid time (of words alone), and the number of gaps."""
+    word = F.col(kind) == "word"
+    return positions.agg((F.count_if(mask) / F.count("*")).alias("available"), (F.count_if(word & F.col(valid)) / F.count_if(word)).alias("words"), F.count_if(~word).alias("gaps"))
+
+
+def sample_summary(positions: DataFrame, by: list[str], least: float = 0.6, kind: str = "kind", valid: str = "time_valid") -> DataFrame:
+    """Positions, words, share of words with a valid time, and why the sample is suspect (joined by ``;``)."""
+    word = F.col(kind) == "word"
+    ratio = F.count_if(word & F.col(valid)) / F.greatest(F.count_if(word), F.lit(1))
+    return positions.groupBy(*by).agg(F.count("*").alias("positions"), F.count_if(word).alias("words"), ratio.alias("valid_ratio"), F.concat_ws(";", F.when(ratio < least, "low_valid_alignment")).alias("reasons"))
+
+
+def status_counts(records: DataFrame, flags: list[str], status: str = "status") -> DataFrame:
+    """Records by status, and of these how many have each flag."""
+    return records.groupBy(status).agg(F.count("*").alias("n"), *(F.count_if(F.col(f)).alias(f) for f in flags))
+
+
+def missing_positions(seq: DataFrame, by: list[str], valid: Column, masks: dict[str, str]) -> DataFrame:
+    """For each modality the valid positions where it isn't observed, and whether it is observed at all (``has_``)."""
+    return seq.groupBy(*by).agg(*(F.count_if(valid & ~F.col(m)).alias(name) for name, m in masks.items()), *(F.bool_or(m).alias(f"has_{name}") for name, m in masks.items()))
+
+
+def ranked(candidates: DataFrame) -> DataFrame:
+    """The best candidate: accuracy, then macro F1, both falling, then mean absolute error, then name."""
+    return candidates.orderBy(F.desc("accuracy"), F.desc("macro_f1"), "mae", "subset").limit(1)
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

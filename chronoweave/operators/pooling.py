@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import overlap_join, position_coverage
+from .intervals import BUCKET_US, overlap_join, pair_coverage
 
 #: The largest finite half-precision number.
 HALF_MAX = 65504.0
+#: Characters of a bucket that spans are joined in.
+BUCKET_CHARS = 256
 
 
 def finite(x: Column) -> Column:
@@ -20,7 +22,14 @@ def valid_observation(features: str, a: str, b: str, q: str) -> Column:
     return F.coalesce(F.forall(features, finite) & (F.col(b) > F.col(a)) & finite(F.col(q)) & (F.col(q) > 0), F.lit(False))
 
 
-def interval_pool(targets: DataFrame, obs: DataFrame, by: list[str], key: list[str], features: str = "features", q: str = "q", src: str = "src_idx") -> DataFrame:
+def _in_order(c: str) -> Column:
+    """Values by dimension as one array; a group has one row for each dimension."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("dim", c))), lambda x: x[c])
+
+
+def interval_pool(
+    targets: DataFrame, obs: DataFrame, by: list[str], key: list[str], features: str = "features", q: str = "q", src: str = "src_idx", bucket: int = BUCKET_US
+) -> DataFrame:
     """Mean and population deviation of each feature over each target, weighted by overlap times quality.
 
     Returns a row for each target: ``mean``, ``std`` (arrays), ``mask``, ``coverage`` and ``provenance`` (sources and their weights, in
@@ -28,20 +37,24 @@ def interval_pool(targets: DataFrame, obs: DataFrame, by: list[str], key: list[s
     """
     good = obs.where(valid_observation(features, "a", "b", q))
     ids = [*by, *key]
-    pairs = overlap_join(targets.select(*ids, "s", "e"), good.select(*by, "a", "b", src, q, features), by).withColumn("w_", F.col("overlap") * F.col(q))
-    each = pairs.select(*ids, src, "w_", F.posexplode(features).alias("dim", "x"))
+    pairs = overlap_join(targets.select(*ids, "s", "e"), good.select(*by, "a", "b", src, q, features), by, bucket).withColumn("w_", F.col("overlap") * F.col(q))
+    each = pairs.select(*ids, "w_", F.posexplode(features).alias("dim", "x"))
     means = each.groupBy(*ids, "dim").agg((F.sum(F.col("w_") * F.col("x")) / F.sum("w_")).alias("mu"))
     around = each.join(means, [*ids, "dim"]).groupBy(*ids, "dim").agg(
         F.first("mu").alias("mu"), F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("w_") * (F.col("x") - F.col("mu")) ** 2) / F.sum("w_"))).alias("sd")
     )
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("dim", c))), lambda x: x[c])
-    stats = around.groupBy(*ids).agg(in_order("mu").alias("mean"), in_order("sd").alias("std"))
+    stats = around.groupBy(*ids).agg(_in_order("mu").alias("mean"), _in_order("sd").alias("std"))
     total = F.sum("w_").over(Window.partitionBy(*ids))
-    prov = pairs.withColumn("weight", F.col("w_") / total).groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct(F.col(src).alias("src"), "weight"))).alias("provenance"))
-    out = position_coverage(targets, good, by, key).join(stats, ids, "left").join(prov, ids, "left")
+    prov = pairs.select(*ids, src, (F.col("w_") / total).alias("weight")).groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct(F.col(src).alias("src"), "weight"))).alias("provenance"))
+    out = pair_coverage(targets, pairs, ids).join(stats, ids, "left").join(prov, ids, "left")
     return out.withColumn("mask", F.col("mean").isNotNull())
 
 
+def concat_stats(mean: str, std: str) -> Column:
+    """Mean and deviation as one array."""
+    return F.concat(mean, std)
+
+
 def pool_tokens(tokens: DataFrame, words: DataFrame, by: list[str], features: str = "features") -> DataFrame:
     """Unweighted mean of the tokens whose characters overlap a word's; invalid if there are none or one isn't finite.
 
@@ -58,10 +71,9 @@ def pool_tokens(tokens: DataFrame, words: DataFrame, by: list[str], features: st
     return out.withColumn("valid", F.coalesce("valid", F.lit(False))).withColumn("pooled", F.when(F.col("valid"), F.col("pooled")))
 
 
-def char_span_join(tokens: DataFrame, words: DataFrame, by: list[str]) -> DataFrame:
-    """Tokens with attention and characters, and the words whose characters they overlap."""
-    used = tokens.where((F.col("char_b") > F.col("char_a")) & (F.col("attention") > 0))
-    return used.join(words.select(*by, "word_index", "a", "b"), by).where((F.col("char_a") < F.col("b")) & (F.col("char_b") > F.col("a")))
+def char_span_join(tokens: DataFrame, words: DataFrame, by: list[str], bucket: int = BUCKET_CHARS) -> DataFrame:
+    """Tokens with attention and characters, and the words whose characters they overlap; long texts are dealt to buckets of characters."""
+    return overlap_join(tokens.where(F.col("attention") > 0), words.select(*by, "word_index", "a", "b"), by, bucket, s="char_a", e="char_b").drop("overlap")
 
 
 def mask_write(features: str, mask: str, width: Column) -> Column:
@@ -80,41 +92,118 @@ def duration_pool(positions: DataFrame, by: list[str], value: str, weight: str |
     return positions.groupBy(*by).agg((F.sum(w * F.col(value)) / F.nullif(F.sum(w), F.lit(0))).alias(name))
 
 
+def _by_dimension(df: DataFrame, value: str) -> DataFrame:
+    """A row for each dimension of an array column, or the rows as they are with dimension 0."""
+    if df.schema[value].dataType.typeName() == "array":
+        return df.select("*", F.posexplode(value).alias("dim", "x_"))
+    return df.withColumn("dim", F.lit(0)).withColumn("x_", F.col(value))
+
+
 def moments(df: DataFrame, by: list[str], value: str, mask: str) -> DataFrame:
-    """Mean, deviation (with 1e-8 added to the variance) and share present of masked values; sums are over at least one."""
-    n = F.greatest(F.count_if(F.col(mask)), F.lit(1))
-    mean = F.coalesce(F.sum(F.when(F.col(mask), F.col(value))), F.lit(0.0)) / n
-    first = df.groupBy(*by).agg(mean.alias("mean"), (F.count_if(F.col(mask)) / F.count("*")).alias("present"))
-    square = df.join(first, by).groupBy(*by).agg(
-        F.first("mean").alias("mean"), F.first("present").alias("present"), F.sqrt(F.coalesce(F.sum(F.when(F.col(mask), (F.col(value) - F.col("mean")) ** 2)), F.lit(0.0)) / n + 1e-8).alias("std")
+    """Mean, deviation (with 1e-8 added to the variance) and share present of masked values; sums are over at least one.
+
+    Of an array column, mean and deviation are arrays, dimension by dimension.
+    """
+    each, n = _by_dimension(df, value), F.greatest(F.count_if(F.col(mask)), F.lit(1))
+    mean = F.coalesce(F.sum(F.when(F.col(mask), F.col("x_"))), F.lit(0.0)) / n
+    first = each.groupBy(*by, "dim").agg(mean.alias("mean_"), (F.count_if(F.col(mask)) / F.count("*")).alias("present"))
+    out = each.join(first, [*by, "dim"]).groupBy(*by, "dim").agg(
+        F.first("mean_").alias("mean"), F.first("present").alias("present"), F.sqrt(F.coalesce(F.sum(F.when(F.col(mask), (F.col("x_") - F.col("mean_")) ** 2)), F.lit(0.0)) / n + 1e-8).alias("std")
     )
-    return square.select(*by, "mean", "std", "present")
+    if df.schema[value].dataType.typeName() == "array":
+        return out.groupBy(*by).agg(_in_order("mean").alias("mean"), _in_order("std").alias("std"), F.first("present").alias("present"))
+    return out.select(*by, "mean", "std", "present")
 
 
-def standardise(df: DataFrame, train: Column, value: str, mask: str, floor: float = 1e-5, clip: float = 8.0) -> DataFrame:
-    """z-scores by mean and population deviation of the observed training rows; 0 where unobserved, clipped."""
-    stats = df.where(train & F.col(mask)).agg(F.avg(value).alias("mu_"), F.greatest(F.stddev_pop(value), F.lit(floor)).alias("sd_"))
-    z = F.greatest(F.lit(-clip), F.least(F.lit(clip), (F.col(value) - F.col("mu_")) / F.col("sd_")))
-    # The statistics are one row.
-    return df.join(F.broadcast(stats)).withColumn("z", F.when(F.col(mask), z).otherwise(0.0)).drop("mu_", "sd_")
+def fit_observed_stats(df: DataFrame, train: Column, value: str, mask: str, floor: float = 1e-5) -> DataFrame:
+    """``(dim, mu, sd)``: mean and population deviation, at least ``floor``, of each dimension over the observed training rows."""
+    return _by_dimension(df.where(train & F.col(mask)), value).groupBy("dim").agg(F.avg("x_").alias("mu"), F.greatest(F.stddev_pop("x_"), F.lit(floor)).alias("sd"))
+
+
+def standardise(df: DataFrame, stats: DataFrame, value: str, mask: str, clip: float = 8.0) -> DataFrame:
+    """``z``: scores by ``stats`` (of ``fit_observed_stats``), 0 where unobserved, clipped; an array for an array column."""
+    # One row: as many pairs as the features have dimensions.
+    one = stats.agg(F.array_sort(F.collect_list(F.struct("dim", "mu", "sd"))).alias("stats_"))
+    is_array = df.schema[value].dataType.typeName() == "array"
+    score = lambda x, st: F.when(F.col(mask), F.greatest(F.lit(-clip), F.least(F.lit(clip), (x - st["mu"]) / st["sd"]))).otherwise(0.0)
+    z = F.zip_with(F.col(value), F.col("stats_"), score) if is_array else score(F.col(value), F.get("stats_", F.lit(0)))
+    return df.join(F.broadcast(one)).withColumn("z", z).drop("stats_")
 
 
 def pad_batch(df: DataFrame, by: list[str], arrays: dict[str, object]) -> DataFrame:
-    """Arrays padded with their fill to the longest of all rows."""
-    first = next(iter(arrays))
-    longest = df.agg(F.max(F.size(first)).alias("longest_"))
+    """Arrays padded with their fill, each to its own longest of all rows."""
+    longest = df.agg(*(F.max(F.size(c)).alias(f"longest_{c}_") for c in arrays))  # one row
     out = df.join(F.broadcast(longest))
     for c, fill in arrays.items():
-        out = out.withColumn(c, F.concat(F.col(c), F.array_repeat(F.lit(fill), F.col("longest_") - F.size(c))))
-    return out.drop("longest_")
+        out = out.withColumn(c, F.concat(F.col(c), F.array_repeat(F.lit(fill), F.col(f"longest_{c}_") - F.size(c))))
+    return out.drop(*(f"longest_{c}_" for c in arrays))
+
+
+def csr_offsets(df: DataFrame, by: list[str], order: str, items: str) -> DataFrame:
+    """``(by, order, from_offset, end_offset)``: where each position's items lie among its entity's, by a running sum."""
+    n = F.greatest(F.coalesce(F.size(items), F.lit(0)), F.lit(0))
+    w = Window.partitionBy(*by).orderBy(order)
+    rows = df.select(*by, order, n.alias("n_")).withColumn("end_offset", F.sum("n_").over(w).cast("int"))
+    return rows.select(*by, order, (F.col("end_offset") - F.col("n_")).cast("int").alias("from_offset"), "end_offset")
+
+
+def csr_entries(df: DataFrame, by: list[str], order: str, items: str) -> DataFrame:
+    """``(by, at, src, weight)``: the items of all positions, each at its place among its entity's."""
+    placed = csr_offsets(df, by, order, items).select(*by, order, "from_offset")
+    each = df.select(*by, order, F.posexplode(items).alias("i_", "item_")).join(placed, [*by, order])
+    return each.select(*by, (F.col("from_offset") + F.col("i_")).alias("at"), "item_.src", "item_.weight")
 
 
 def export_csr(df: DataFrame, by: list[str], order: str, items: str) -> DataFrame:
-    """Ragged lists as offsets, indices and weights by entity; ``items`` holds structs (src, weight), null for an empty list."""
-    items_ = F.coalesce(F.col(items), F.array().cast(df.schema[items].dataType))
-    rows = df.select(*by, F.col(order).alias("o_"), items_.alias("i_"))
-    grouped = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("o_", "i_"))).alias("r_"))
-    sizes = F.transform("r_", lambda x: F.size(x["i_"]))
-    offsets = F.aggregate(sizes, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
-    flat = F.flatten(F.transform("r_", lambda x: x["i_"]))
-    return grouped.select(*by, offsets.alias("offsets"), F.transform(flat, lambda x: x["src"]).alias("indices"), F.transform(flat, lambda x: x["weight"]).alias("weights"))
+    """Ragged lists as offsets, indices and weights by entity; ``items`` holds structs (src, weight), null for an empty list.
+
+    An entity's arrays are one row, as the format wants it; ``csr_offsets`` and ``csr_entries`` are the same as tables.
+    """
+    ends = csr_offsets(df, by, order, items).groupBy(*by).agg(F.array_sort(F.collect_list("end_offset")).alias("ends_"))
+    rows = csr_entries(df, by, order, items).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "src", "weight"))).alias("r_"))
+    both = ends.join(rows, by, "left")
+    listed = lambda c: F.coalesce(F.transform("r_", lambda x: x[c]), F.array()).alias({"src": "indices", "weight": "weights"}[c])
+    return both.select(*by, F.concat(F.array(F.lit(0)), F.col("ends_")).alias("offsets"), listed("src"), listed("weight"))
+
+
+def query_pool(df: DataFrame, by: list[str], query: list[float], keys: Column, value: Column, mask: str) -> DataFrame:
+    """Attention of a given query vector over an entity's positions: softmax of dot / sqrt(d) where the mask is on, and the values' weighted sum."""
+    dot = F.aggregate(F.zip_with(keys, F.array(*map(F.lit, query)), lambda x, y: x * y), F.lit(0.0), lambda s, z: s + z) / F.sqrt(F.lit(float(len(query))))
+    x = df.where(F.col(mask)).select(*by, dot.alias("s_"), value.alias("x_"))
+    top = x.groupBy(*by).agg(F.max("s_").alias("g_"))
+    w = F.exp(F.col("s_") - F.col("g_"))
+    return x.join(top, by).groupBy(*by).agg((F.sum(w * F.col("x_")) / F.sum(w)).alias("pooled"))
+
+
+def derive_masks(ids: Column, attention: Column, audio: Column, vision: Column, special: tuple[int, ...] = (0, 101, 102)) -> dict[str, Column]:
+    """Masks of a sequence whose inputs carry none: text where attention is on and the id is no special one; a position is valid if it
+    has text or any audio or vision that isn't zero; audio and vision are there where they aren't zero and the position is valid."""
+    nonzero = lambda c: F.coalesce(F.exists(c, lambda z: z != 0), F.lit(False))
+    text = F.coalesce((attention > 0) & ~ids.isin(*special), F.lit(False))
+    valid = text | nonzero(audio) | nonzero(vision)
+    return {"text": text, "valid": valid, "audio": nonzero(audio) & valid, "vision": nonzero(vision) & valid}
+
+
+def acoustic_valid(features: str, silent: Column) -> Column:
+    """All features finite, and the clip not silent."""
+    return F.coalesce(F.forall(features, finite) & ~silent, F.lit(False))
+
+
+def signal_level(samples: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Peak and root mean square by clip."""
+    return samples.groupBy(*by).agg(F.max(F.abs(value)).alias("peak"), F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"))
+
+
+def digital_silence(peak: Column, threshold: float = 1e-4) -> Column:
+    """Whether a clip's peak is no more than the threshold."""
+    return peak <= threshold
+
+
+def detection_threshold(detections: DataFrame, score: str, least: float = 0.8) -> DataFrame:
+    """Detections whose score reaches ``least``."""
+    return detections.where(F.col(score) >= least)
+
+
+def largest_box(detections: DataFrame, by: list[str], size: Column, index: str) -> DataFrame:
+    """``(by, index)`` of the largest box of each group, the first on a tie."""
+    return detections.groupBy(*by).agg(F.max_by(index, F.struct(size.alias("size_"), (-F.col(index)).alias("minus_"))).alias(index))

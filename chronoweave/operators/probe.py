@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,26 +78,62 @@ def track_step(state: np.ndarray | None, boxes: np.ndarray, least: float = 0.2)
     return (best, False, boxes[best]) if iou[best] >= least else (largest, True, boxes[largest])
 
 
+class Track:
+    """One entity's track: frames in, chosen detections out; a box is all the state."""
+
+    def __init__(self, least: float):
+        self.least, self.state = least, None
+
+    def step(self, found: list[tuple]) -> tuple[int, bool, float] | None:
+        """(det_idx, reset, quality) of one frame's detections ``(det_idx, l, t, r, b)`` in order, or None in a frame without any."""
+        chosen, reset, after = track_step(self.state, np.array([x[1:] for x in found], dtype=float).reshape(len(found), 4), self.least)
+        if chosen is None:
+            self.state = None
+            return None
+        ok = bool(np.isfinite(after).all() and after[2] > after[0] and after[3] > after[1])
+        self.state = after if ok else self.state
+        return found[chosen][0], reset, 1.0 if ok else 0.0
+
+
 def track_subject(detections: DataFrame, by: list[str], least: float = 0.2) -> DataFrame:
-    """Along each entity's frames, the detection that continues the subject.
+    """Along each entity's frames, the detection that continues the subject: ``(by, pts, det_idx, reset, quality)``.
 
     ``detections``: pts, det_idx (null in a frame without any), l, t, r, b.  A frame without detection ends the track; a box without
-    area is chosen with quality 0 and leaves the track as it was.  State is one box, so entities are folded in time order.
+    area is chosen with quality 0 and leaves the track as it was.  Entities are sorted within their partitions and streamed through
+    the task, which holds one frame and one box, so an entity may be of any length.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in detections.schema if f.name in by) + ", pts long, det_idx int, reset boolean, quality double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows = None, []
-        for pts, frame in pdf.sort_values(["pts", "det_idx"]).groupby("pts", sort=True):
-            found = frame.dropna(subset=["det_idx"])
-            boxes = found[["l", "t", "r", "b"]].to_numpy(dtype=float)
-            chosen, reset, after = track_step(state, boxes, least)
-            if chosen is None:
-                state = None
-                continue
-            ok = np.isfinite(after).all() and after[2] > after[0] and after[3] > after[1]
-            state = after if ok else state
-            rows.append((*(frame[c].iloc[0] for c in by), pts, int(found["det_idx"].iloc[chosen]), reset, 1.0 if ok else 0.0))
-        return pd.DataFrame(rows, columns=[*by, "pts", "det_idx", "reset", "quality"])
-
-    return detections.select(*by, "pts", "det_idx", "l", "t", "r", "b").groupBy(*by).applyInPandas(run, schema)
+    rows = detections.select(*by, F.col("pts").cast("long").alias("pts"), F.col("det_idx").cast("int").alias("det_idx"), *(F.col(c).cast("double").alias(c) for c in "ltrb"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in by) + ", pts long, det_idx int, reset boolean, quality double"
+    width = len(by)
+
+    def run(batches):
+        frame = entity = track = out_schema = None
+        held: list[tuple] = []
+        done: list[tuple] = []
+
+        def close():
+            if frame is not None and (got := track.step(held)):
+                done.append((*frame, *got))
+
+        def told():
+            columns = list(zip(*done, strict=True)) if done else [[]] * (width + 4)
+            kinds = [*out_schema, pa.int64(), pa.int32(), pa.bool_(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=[*by, "pts", "det_idx", "reset", "quality"])
+
+        for b in batches:
+            out_schema = [b.schema.field(i).type for i in range(width)]
+            for row in zip(*(b.column(i).to_pylist() for i in range(width + 6)), strict=True):
+                if row[: width + 1] != frame:
+                    close()
+                    if row[:width] != entity:
+                        entity, track = row[:width], Track(least)
+                    frame, held = row[: width + 1], []
+                if row[width + 1] is not None:
+                    held.append(row[width + 1 :])
+            yield told()
+            done = []
+        close()
+        if done:
+            yield told()
+
+    return rows.repartition(*by).sortWithinPartitions(*by, "pts", "det_idx").mapInArrow(run, schema)

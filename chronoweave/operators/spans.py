@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
-from ..functions.text import lexical_chars
+_SPAN = StructType([StructField("n", IntegerType()), StructField("a", IntegerType()), StructField("b", IntegerType()), StructField("ok", BooleanType())])
+
+
+def place_words(raw: str, words: list[str]) -> list[tuple]:
+    """(n, a, b, ok) of each word: how many letters and numbers it has, and the characters of ``raw`` that these are, in order."""
+    import regex
+
+    kept = regex.compile(r"['\p{L}\p{N}]")
+    clean = ["".join(kept.findall(w or "")) for w in words]
+    at = [m.start() for m in kept.finditer(raw)]
+    ok = "".join(clean) == "".join(raw[i] for i in at)
+    out, done = [], 0
+    for w in clean:
+        placed = ok and len(w) > 0
+        out.append((len(w), at[done] if placed else None, at[done + len(w) - 1] + 1 if placed else None, ok))
+        done += len(w)
+    return out
+
+
+@F.pandas_udf(ArrayType(_SPAN))
+def _spans(raw: pd.Series, words: pd.Series) -> pd.Series:
+    return pd.Series([None if r is None or w is None else place_words(r, list(w)) for r, w in zip(raw, words, strict=True)])
 
 
 def word_spans(df: DataFrame, by: list[str], raw: str, words: str) -> DataFrame:
     """``(by, word_index, n, a, b, ok)``: the characters of the raw text that each word's letters and numbers are, in order.
 
     ``ok`` is false for the words of a text whose letters and numbers aren't exactly those of its words; nothing is matched loosely.
-    A word without letters or numbers has no span.
+    A word without letters or numbers has no span.  Each text is placed where it lies, without a shuffle.
     """
-    clean = df.select(*by, lexical_chars(F.col(raw)).alias("clean_"), F.posexplode(words).alias("word_index", "word_")).withColumn("w_", lexical_chars(F.col("word_")))
-    w = Window.partitionBy(*by).orderBy("word_index")
-    placed = clean.withColumn("n", F.length("w_")).withColumn("end_", F.sum("n").over(w)).withColumn("from_", F.col("end_") - F.col("n"))
-    whole = placed.withColumn("total_", F.sum("n").over(Window.partitionBy(*by)))
-    own = F.expr("substring(clean_, CAST(from_ AS INT) + 1, n)") == F.col("w_")
-    checked = whole.withColumn("ok", F.min(own & (F.col("total_") == F.length("clean_"))).over(Window.partitionBy(*by)))
-    # Places of the kept characters in the raw text, by their rank among them.
-    chars = df.select(*by, F.posexplode(F.split(F.col(raw), "")).alias("at_", "c_")).where(F.length(lexical_chars(F.col("c_"))) > 0)
-    chars = chars.withColumn("rank_", F.row_number().over(Window.partitionBy(*by).orderBy("at_")) - 1).select(*by, "at_", "rank_")
-    first = chars.select(*by, F.col("at_").alias("a"), F.col("rank_").alias("from_"))
-    last = chars.select(*by, (F.col("at_") + 1).alias("b"), (F.col("rank_") + 1).alias("end_"))
-    out = checked.join(first, [*by, "from_"], "left").join(last, [*by, "end_"], "left")
-    keep = F.col("ok") & (F.col("n") > 0)
-    return out.select(*by, "word_index", "n", F.when(keep, F.col("a")).alias("a"), F.when(keep, F.col("b")).alias("b"), "ok")
+    return df.select(*by, F.posexplode(_spans(raw, words)).alias("word_index", "s_")).select(*by, "word_index", "s_.*")

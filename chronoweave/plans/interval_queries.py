@@ -132,7 +132,8 @@ def i9(spark, d):
     return intervals.position_coverage(targets(spark, d), obs, U, ["pos"]).select("user_id", "pos", r6("coverage").alias("coverage"))
 
 
-@query("i10_thin_by_spacing")
+@query("i10_thin_by_spacing", """kp AS (SELECT user_id, min(t) AS t FROM points_v GROUP BY user_id
+    UNION ALL SELECT k.user_id, min(p.t) AS t FROM kp k JOIN points_v p ON p.user_id = k.user_id AND p.t >= k.t + 3600000000 GROUP BY k.user_id, k.t) SELECT user_id, t FROM kp""")
 def i10(spark, d):
     return intervals.thin_by_spacing(view(spark, d, "points_v"), U, STEP_US)
 
@@ -140,7 +141,7 @@ def i10(spark, d):
 @query("j1_overlap_join", POOLED + " SELECT user_id, pos, src_idx, cb - ca AS overlap FROM pairs")
 def j1(spark, d):
     obs = view(spark, d, "audio_v").where("q > 0")
-    return intervals.overlap_join(targets(spark, d), obs, U, bucket_us=86_400_000_000).select("user_id", "pos", "src_idx", "overlap")
+    return intervals.overlap_join(targets(spark, d), obs, U).select("user_id", "pos", "src_idx", "overlap")
 
 
 @query("a1_interval_pool", POOLED + """ SELECT t.user_id, t.pos, sd.mean IS NOT NULL AS mask, round(sd.mean, 6) AS mean, round(sd.std, 6) AS std, coalesce(round(c / (t.end_us - t.start_us), 6), 0.0) AS coverage,
@@ -162,7 +163,7 @@ def intervals_pool(spark, d, obs):
 
 @query("a3_concat_stats", POOLED + " SELECT user_id, pos, round(mean, 6) AS c0, round(std, 6) AS c1 FROM sd")
 def a3(spark, d):
-    both = pooled(spark, d).where("mask").withColumn("stats", F.concat("mean", "std"))
+    both = pooled(spark, d).where("mask").withColumn("stats", pooling.concat_stats("mean", "std"))
     return both.select("user_id", "pos", r6(F.get("stats", F.lit(0))).alias("c0"), r6(F.get("stats", F.lit(1))).alias("c1"))
 
 
@@ -179,6 +180,13 @@ def s10(spark, d):
     return csr.select("user_id", F.posexplode(F.slice("offsets", 2, F.size("offsets") - 1)).alias("pos", "end_offset"))
 
 
+@query("s10_csr_entries", POOLED + """, pl AS (SELECT user_id, pos, src_idx, w / sum(w) OVER (PARTITION BY user_id, pos) AS weight FROM pairs)
+    SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY pos, src_idx) - 1 AS INT) AS at, src_idx AS src, round(weight, 6) AS weight FROM pl""")
+def s10b(spark, d):
+    out = pooling.csr_entries(pooled(spark, d), U, "pos", "provenance")
+    return out.select("user_id", "at", "src", r6("weight").alias("weight"))
+
+
 @query("s9_pad_batch", TIMELINE + ", l AS (SELECT user_id, count(*) AS n FROM timeline GROUP BY user_id) SELECT user_id, (SELECT max(n) FROM l) AS width, (SELECT max(n) FROM l) - n AS filled FROM l")
 def s9(spark, d):
     lists = timeline(spark, d).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word_index"))), lambda x: x["word_index"]).alias("idx"), F.count("*").alias("n"))
@@ -233,16 +241,14 @@ def a7(spark, d):
 @query("a9_availability", POOLED + " SELECT round(count(sd.mean) / count(*), 6) AS audio, round(sum(CASE WHEN kind = 'word' AND time_valid THEN 1 ELSE 0 END) / sum(CASE WHEN kind = 'word' THEN 1 ELSE 0 END), 6) AS words, CAST(sum(CASE WHEN kind <> 'word' THEN 1 ELSE 0 END) AS BIGINT) AS gaps FROM timeline t LEFT JOIN sd ON t.user_id = sd.user_id AND t.pos = sd.pos")
 def a9(spark, d):
     p = timeline(spark, d).join(pooled(spark, d).select("user_id", "pos", "mask"), ["user_id", "pos"])
-    word = F.col("kind") == "word"
-    return p.agg(r6(F.count_if("mask") / F.count("*")).alias("audio"), r6(F.count_if(word & F.col("time_valid")) / F.count_if(word)).alias("words"), F.count_if(~word).alias("gaps"))
+    out = metrics.availability(p, "mask")
+    return out.select(r6("available").alias("audio"), r6("words").alias("words"), "gaps")
 
 
 @query("a10_sample_summary", TIMELINE + """ SELECT user_id, count(*) AS positions, CAST(count_if(kind = 'word') AS BIGINT) AS words, round(count_if(kind = 'word' AND time_valid) / greatest(count_if(kind = 'word'), 1), 6) AS valid_ratio,
     array_to_string(list_filter([CASE WHEN count_if(kind = 'word' AND time_valid) / greatest(count_if(kind = 'word'), 1) < 0.6 THEN 'low_valid_alignment' END], lambda x: x IS NOT NULL), ';') AS reasons FROM timeline GROUP BY user_id""")
 def a10(spark, d):
-    word = F.col("kind") == "word"
-    ratio = F.count_if(word & F.col("time_valid")) / F.greatest(F.count_if(word), F.lit(1))
-    return timeline(spark, d).groupBy("user_id").agg(F.count("*").alias("positions"), F.count_if(word).alias("words"), r6(ratio).alias("valid_ratio"), F.concat_ws(";", F.when(ratio < 0.6, "low_valid_alignment")).alias("reasons"))
+    return metrics.sample_summary(timeline(spark, d), U).withColumn("valid_ratio", r6("valid_ratio"))
 
 
 @query("w1_running_end", "SELECT user_id, word_index, max(end_us) OVER (PARTITION BY user_id ORDER BY word_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM words_v")
@@ -287,12 +293,14 @@ def p2(spark, d):
 
 @query("p3_digital_silence", "SELECT user_id, max(abs(value)) <= 20 AS silent FROM events GROUP BY user_id")
 def p3(spark, d):
-    return view(spark, d, "SELECT user_id, value FROM events").groupBy("user_id").agg((F.max(F.abs("value")) <= 20).alias("silent"))
+    level = pooling.signal_level(view(spark, d, "SELECT user_id, value FROM events"), U, "value")
+    return level.select("user_id", pooling.digital_silence(F.col("peak"), 20).alias("silent"))
 
 
 @query("a18_signal_level", "SELECT user_id, round(max(abs(value)), 6) AS peak, round(sqrt(avg(value * value)), 6) AS rms FROM events GROUP BY user_id")
 def a18(spark, d):
-    return view(spark, d, "SELECT user_id, value FROM events").groupBy("user_id").agg(r6(F.max(F.abs("value"))).alias("peak"), r6(F.sqrt(F.avg(F.col("value") * F.col("value")))).alias("rms"))
+    level = pooling.signal_level(view(spark, d, "SELECT user_id, value FROM events"), U, "value")
+    return level.select("user_id", r6("peak").alias("peak"), r6("rms").alias("rms"))
 
 
 @query("p8_range_guard", "SELECT user_id, src_idx FROM audio_v WHERE abs(x * 1000) > 65504")
@@ -309,13 +317,13 @@ def p9(spark, d):
 
 @query("p11_acoustic_valid", "SELECT user_id, src_idx, q <> 0 AS valid FROM audio_v")
 def p11(spark, d):
-    o = view(spark, d, "audio_v").withColumn("features", F.array("x")).withColumn("silent", F.col("q") == 0)
-    return o.select("user_id", "src_idx", (F.forall("features", pooling.finite) & ~F.col("silent")).alias("valid"))
+    o = view(spark, d, "audio_v").withColumn("features", F.array("x"))
+    return o.select("user_id", "src_idx", pooling.acoustic_valid("features", F.col("q") == 0).alias("valid"))
 
 
 @query("p13_detection_threshold", "SELECT user_id, src_idx FROM audio_v WHERE q >= 0.8")
 def p13(spark, d):
-    return view(spark, d, "audio_v").where("q >= 0.8").select("user_id", "src_idx")
+    return pooling.detection_threshold(view(spark, d, "audio_v"), "q", 0.8).select("user_id", "src_idx")
 
 
 @query("j3_gather_by_word", TIMELINE + " SELECT t.user_id, t.pos, t.word_index >= 0 AS mask, CASE WHEN t.word_index >= 0 THEN CAST(w.end_us - w.start_us AS DOUBLE) ELSE 0.0 END AS x FROM timeline t LEFT JOIN words_v w ON t.user_id = w.user_id AND t.word_index = w.word_index")
@@ -387,9 +395,9 @@ def u3(spark, d):
     return intervals.union_length(either, U)
 
 
-@query("o1_timeline_sort", TIMELINE + " SELECT user_id, pos, start_us, end_us, word_index FROM timeline WHERE pos < 5")
+@query("o1_timeline_sort", TIMELINE + " SELECT user_id, pos, start_us, end_us, word_index FROM timeline")
 def o1(spark, d):
-    return timeline(spark, d).where("pos < 5").select("user_id", "pos", "start_us", "end_us", "word_index")
+    return timeline(spark, d).select("user_id", "pos", "start_us", "end_us", "word_index")
 
 
 @query("m1_box_iou", """bx AS (SELECT user_id, src_idx, CAST(q AS DOUBLE) AS q, CAST(lag(q) OVER (PARTITION BY user_id ORDER BY src_idx) AS DOUBLE) AS p FROM vision_v),
@@ -403,7 +411,7 @@ def m1(spark, d):
 
 @query("m2_largest_box", "SELECT user_id, src_idx FROM (SELECT user_id, src_idx, row_number() OVER (PARTITION BY user_id ORDER BY x DESC, src_idx) AS r FROM vision_v) WHERE r = 1")
 def m2(spark, d):
-    return view(spark, d, "vision_v").groupBy("user_id").agg(F.max_by("src_idx", F.struct("x", -F.col("src_idx"))).alias("src_idx"))
+    return pooling.largest_box(view(spark, d, "vision_v"), U, F.col("x"), "src_idx")
 
 
 @query("m3_relative_landmarks", "SELECT user_id, src_idx, round((x - CAST(q AS DOUBLE)) / greatest(CAST(q AS DOUBLE) * 3, 1.0), 6) AS rel FROM vision_v")
@@ -412,9 +420,35 @@ def m3(spark, d):
     return view(spark, d, "vision_v").select("user_id", "src_idx", r6(fusion.relative_landmarks(F.col("x"), q, q * 3)).alias("rel"))
 
 
-@query("w4_track_subject")
+#: Two or three boxes a frame, some without area, some frames without any; the best overlap, or else the largest.
+BOXES = """bx AS (SELECT user_id, src_idx, t AS pts, CAST(n AS INT) AS det_idx, CAST(q AS DOUBLE) * 10 + n * 1.5 AS l, CAST(q AS DOUBLE) * 7 + n AS t,
+      CAST(q AS DOUBLE) * 10 + n * 1.5 + CASE WHEN (src_idx + n) % 9 = 0 THEN 0 ELSE 2 + x % 3 END AS r, CAST(q AS DOUBLE) * 7 + n + 3 + x % 2 AS b
+    FROM vision_v CROSS JOIN (SELECT UNNEST_ AS n) AS nums WHERE src_idx % 8 <> 5 AND n <= 1 + src_idx % 2)"""
+
+
+def boxes(spark, d):
+    text = BOXES.replace("UNNEST_", "explode(array(0, 1, 2))").removeprefix("bx AS (").removesuffix(")")
+    found = view(spark, d, text)
+    none = view(spark, d, "SELECT user_id, t AS pts FROM vision_v WHERE src_idx % 8 = 5")
+    return found.drop("src_idx").unionByName(none, allowMissingColumns=True)
+
+
+@query("w4_track_subject", BOXES.replace("UNNEST_", "unnest([0, 1, 2])") + """,
+    fr AS (SELECT user_id, src_idx, t AS pts, row_number() OVER (PARTITION BY user_id ORDER BY t) AS f FROM vision_v),
+    bf AS (SELECT f.user_id, f.f, f.pts, b.det_idx, b.l, b.t, b.r, b.b, greatest(b.r - b.l, 0) * greatest(b.b - b.t, 0) AS area FROM fr f JOIN bx b ON f.user_id = b.user_id AND f.src_idx = b.src_idx),
+    big AS (SELECT user_id, f, det_idx FROM bf QUALIFY row_number() OVER (PARTITION BY user_id, f ORDER BY area DESC, det_idx) = 1),
+    tr AS (SELECT user_id, CAST(0 AS BIGINT) AS f, CAST(NULL AS BIGINT) AS pts, CAST(NULL AS INT) AS det_idx, false AS reset, CAST(NULL AS DOUBLE) AS quality, CAST(NULL AS DOUBLE) AS l, CAST(NULL AS DOUBLE) AS t, CAST(NULL AS DOUBLE) AS r, CAST(NULL AS DOUBLE) AS b FROM (SELECT DISTINCT user_id FROM fr)
+      UNION ALL SELECT user_id, f, pts, det_idx, reset, quality, l, t, r, b FROM (
+        SELECT s.user_id, n.f, CASE WHEN c.det_idx IS NULL THEN NULL ELSE n.pts END AS pts, c.det_idx, c.det_idx IS NOT NULL AND s.l IS NOT NULL AND c.iou < 0.2 AS reset,
+          CASE WHEN c.r > c.l AND c.b > c.t THEN 1.0 WHEN c.det_idx IS NOT NULL THEN 0.0 END AS quality,
+          CASE WHEN c.det_idx IS NULL THEN NULL WHEN c.r > c.l AND c.b > c.t THEN c.l ELSE s.l END AS l, CASE WHEN c.det_idx IS NULL THEN NULL WHEN c.r > c.l AND c.b > c.t THEN c.t ELSE s.t END AS t,
+          CASE WHEN c.det_idx IS NULL THEN NULL WHEN c.r > c.l AND c.b > c.t THEN c.r ELSE s.r END AS r, CASE WHEN c.det_idx IS NULL THEN NULL WHEN c.r > c.l AND c.b > c.t THEN c.b ELSE s.b END AS b,
+          row_number() OVER (PARTITION BY s.user_id ORDER BY CASE WHEN c.iou >= 0.2 THEN c.iou ELSE -1 END DESC, CASE WHEN c.iou >= 0.2 THEN 0 ELSE -c.area END, c.det_idx) AS k
+        FROM tr s JOIN fr n ON n.user_id = s.user_id AND n.f = s.f + 1
+        LEFT JOIN LATERAL (SELECT x.*, coalesce(greatest(least(x.r, s.r) - greatest(x.l, s.l), 0) * greatest(least(x.b, s.b) - greatest(x.t, s.t), 0)
+            / greatest(x.area + (s.r - s.l) * (s.b - s.t) - greatest(least(x.r, s.r) - greatest(x.l, s.l), 0) * greatest(least(x.b, s.b) - greatest(x.t, s.t), 0), 1e-12), -1) AS iou FROM bf x WHERE x.user_id = n.user_id AND x.f = n.f) c ON true) WHERE k = 1)
+    SELECT user_id, pts, det_idx, reset, quality FROM tr WHERE det_idx IS NOT NULL""")
 def w4(spark, d):
     from ..operators.probe import track_subject
 
-    v = view(spark, d, "SELECT user_id, t AS pts, src_idx % 2 AS det_idx, CAST(q AS DOUBLE) * 10 AS l, CAST(q AS DOUBLE) * 7 AS t, CAST(q AS DOUBLE) * 10 + 3 AS r, CAST(q AS DOUBLE) * 8 + 2 AS b FROM vision_v")
-    return track_subject(v.withColumn("det_idx", F.col("det_idx").cast("int")), U)
+    return track_subject(boxes(spark, d), U)

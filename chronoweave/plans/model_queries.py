@@ -55,19 +55,22 @@ def seq(spark, d):
 
 def preds(spark, d, models=MODELS):
     s = seq(spark, d).withColumnRenamed("reg", "r")
-    parts = [at.score_sequences(s, V, m, carry=("class_id", "r")).withColumn("model", F.lit(m)) for m in models]
-    out = metrics.union_all(parts)
-    return out.withColumn("p", at.first_argmax([F.col(f"logit{i}") for i in range(3)])).withColumn("y", F.col("class_id")).withColumn("pred", F.col("reg"))
+    parts = [at.score_sequences(s, V, at.linear_scorer(m), carry=("class_id", "r")).withColumn("model", F.lit(m)) for m in models]
+    return told(metrics.union_all(parts))
+
+
+def told(scored):
+    """Scored rows with each logit, the class told, and the names that metrics read."""
+    out = scored.select("*", *(F.get("logits", F.lit(i)).alias(f"logit{i}") for i in range(3))).withColumn("p", at.argmax(F.col("logits"))).drop("logits")
+    return out.withColumn("y", F.col("class_id")).withColumn("pred", F.col("reg"))
 
 
 @query("p10_derive_masks", """x AS (SELECT vec_id, pos, CAST((vec_id * 13 + pos * 7) % 120 AS INT) AS id, CASE WHEN pos < 14 THEN 1 ELSE 0 END AS attn, CASE WHEN ma THEN a ELSE 0 END AS a, CASE WHEN mv THEN v ELSE 0 END AS v FROM seq_v),
     y AS (SELECT *, attn > 0 AND id NOT IN (0, 101, 102) AS text FROM x), z AS (SELECT *, text OR a <> 0 OR v <> 0 AS valid FROM y) SELECT vec_id, pos, text, valid, a <> 0 AND valid AS audio, v <> 0 AND valid AS vision FROM z""")
 def p10(spark, d):
     x = seq(spark, d).select("vec_id", "pos", ((F.col("vec_id") * 13 + F.col("pos") * 7) % 120).cast("int").alias("id"), F.when(F.col("pos") < 14, 1).otherwise(0).alias("attn"), F.when(F.col("ma"), F.col("a")).otherwise(0.0).alias("a"), F.when(F.col("mv"), F.col("v")).otherwise(0.0).alias("v"))
-    nonzero = lambda c: F.exists(F.array(c), lambda z: z != 0)
-    text = (F.col("attn") > 0) & ~F.col("id").isin(0, 101, 102)
-    valid = text | nonzero("a") | nonzero("v")
-    return x.select("vec_id", "pos", text.alias("text"), valid.alias("valid"), (nonzero("a") & valid).alias("audio"), (nonzero("v") & valid).alias("vision"))
+    masks = pooling.derive_masks(F.col("id"), F.col("attn"), F.array("a"), F.array("v"))
+    return x.select("vec_id", "pos", *(c.alias(k) for k, c in masks.items()))
 
 
 @query("a5_moments", "m AS (SELECT vec_id, coalesce(sum(CASE WHEN ma THEN a END), 0.0) / greatest(count_if(ma), 1) AS mean, count_if(ma) / count(*) AS present FROM seq_v GROUP BY vec_id) SELECT s.vec_id, round(any_value(mean), 6) AS mean, round(sqrt(coalesce(sum(CASE WHEN ma THEN (a - mean) * (a - mean) END), 0.0) / greatest(count_if(ma), 1) + 1e-8), 6) AS std, round(any_value(present), 6) AS present FROM seq_v s JOIN m ON s.vec_id = m.vec_id GROUP BY s.vec_id")
@@ -78,7 +81,27 @@ def a5(spark, d):
 
 @query("a6_standardise", "st AS (SELECT avg(a) AS mu, greatest(stddev_pop(a), 1e-5) AS sd FROM seq_v WHERE ma AND vec_id % 5 <> 0) SELECT vec_id, pos, CASE WHEN ma THEN round(greatest(-8, least(8, (a - mu) / sd)), 6) ELSE 0.0 END AS z FROM seq_v, st")
 def a6(spark, d):
-    return pooling.standardise(seq(spark, d), F.col("vec_id") % 5 != 0, "a", "ma").select("vec_id", "pos", r6("z").alias("z"))
+    stats = pooling.fit_observed_stats(seq(spark, d), F.col("vec_id") % 5 != 0, "a", "ma")
+    return pooling.standardise(seq(spark, d), stats, "a", "ma").select("vec_id", "pos", r6("z").alias("z"))
+
+
+#: Features of two dimensions for audio, and of one more for the others.
+def vectors(spark, d):
+    s = seq(spark, d)
+    return s.withColumns({"t": F.array("t", F.col("t") - F.col("a")), "a": F.array(F.col("a"), 2 * F.col("v")), "v": F.array("v", "t", "a")})
+
+
+@query("a5_vector_moments", "m AS (SELECT vec_id, coalesce(sum(CASE WHEN ma THEN 2 * v END), 0.0) / greatest(count_if(ma), 1) AS mean FROM seq_v GROUP BY vec_id) SELECT s.vec_id, round(any_value(mean), 6) AS mean, round(sqrt(coalesce(sum(CASE WHEN ma THEN (2 * v - mean) * (2 * v - mean) END), 0.0) / greatest(count_if(ma), 1) + 1e-8), 6) AS std, 2 AS d FROM seq_v s JOIN m ON s.vec_id = m.vec_id GROUP BY s.vec_id")
+def a5v(spark, d):
+    out = pooling.moments(vectors(spark, d), V, "a", "ma")
+    return out.select("vec_id", r6(F.get("mean", F.lit(1))).alias("mean"), r6(F.get("std", F.lit(1))).alias("std"), F.size("mean").alias("d"))
+
+
+@query("a6_vector_standardise", "st AS (SELECT avg(2 * v) AS mu, greatest(stddev_pop(2 * v), 1e-5) AS sd FROM seq_v WHERE ma AND vec_id % 5 <> 0) SELECT vec_id, pos, CASE WHEN ma THEN round(greatest(-8, least(8, (2 * v - mu) / sd)), 6) ELSE 0.0 END AS z FROM seq_v, st")
+def a6v(spark, d):
+    x = vectors(spark, d)
+    stats = pooling.fit_observed_stats(x, F.col("vec_id") % 5 != 0, "a", "ma")
+    return pooling.standardise(x, stats, "a", "ma").select("vec_id", "pos", r6(F.get("z", F.lit(1))).alias("z"))
 
 
 @query("a12_classification", PRED + ", src AS (SELECT model, class_id AS y, p FROM told_v), " + f1_sql("src", "model", "0, 1, 2") + " SELECT model, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, n FROM score")
@@ -166,12 +189,7 @@ def m7(spark, d):
 
 @query("m8_query_pool", "x AS (SELECT vec_id, t, (0.8 * t - 0.6 * a) / sqrt(2) AS s FROM seq_v WHERE mt), g AS (SELECT vec_id, max(s) AS g FROM x GROUP BY vec_id) SELECT x.vec_id, round(sum(exp(s - g) * t) / sum(exp(s - g)), 6) AS pooled FROM x JOIN g ON x.vec_id = g.vec_id GROUP BY x.vec_id")
 def m8(spark, d):
-    x = seq(spark, d).where("mt")
-    dot = F.aggregate(F.zip_with(F.array("t", "a"), F.array(F.lit(0.8), F.lit(-0.6)), lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    x = x.withColumn("s", dot / F.sqrt(F.lit(2.0)))
-    top = x.groupBy("vec_id").agg(F.max("s").alias("g"))
-    w = F.exp(F.col("s") - F.col("g"))
-    return x.join(top, "vec_id").groupBy("vec_id").agg(r6(F.sum(w * F.col("t")) / F.sum(w)).alias("pooled"))
+    return pooling.query_pool(seq(spark, d), V, [0.8, -0.6], F.array("t", "a"), F.col("t"), "mt").select("vec_id", r6("pooled").alias("pooled"))
 
 
 @query("o5_first_argmax", PRED + " SELECT vec_id, model, p FROM told_v")
@@ -209,7 +227,7 @@ def e11(spark, d):
 
 @query("o6_model_ranking", CANDIDATES + " SELECT s.subset FROM score s JOIN mae ON s.subset = mae.subset ORDER BY round(accuracy, 6) DESC, round(macro_f1, 6) DESC, round(mae, 6), s.subset LIMIT 1")
 def o6(spark, d):
-    return e11(spark, d).orderBy(F.desc("accuracy"), F.desc("macro_f1"), "mae", "subset").limit(1).select("subset")
+    return metrics.ranked(e11(spark, d)).select("subset")
 
 
 def coalition_sql():
@@ -239,6 +257,53 @@ def q5(spark, d):
     return audit.violations(at.shapley(seq(spark, d), V), V, audit.explanation_checks(), F.lit("")).drop("detail")
 
 
+def mean_logits(t, a, v):
+    """A second scorer, over vectors and in Python: three logits and an intensity of each row."""
+    mean = [[sum(x) / len(x) for x in m] for m in (t, a, v)]
+    return [[x + y, y * z, z - 0.5 * x] for x, y, z in zip(*mean, strict=True)], [x * z for x, _, z in zip(*mean, strict=True)]
+
+
+#: Averages of the mean vectors of ``vectors``, and what the second scorer makes of them.
+VECTOR_MEANS = "vm AS (SELECT vec_id, any_value(class_id) AS class_id, " + ", ".join(f"coalesce(sum(CASE WHEN m{m} THEN {x} END) / nullif(count(*) FILTER (WHERE m{m}), 0), 0.0) AS {m}" for m, x in (("t", "(2 * t - a) / 2"), ("a", "(a + 2 * v) / 2"), ("v", "(v + t + a) / 3"))) + " FROM seq_v GROUP BY vec_id)"
+SECOND = ("{t} + {a}", "{a} * {v}", "{v} - 0.5 * {t}", "{t} * {v}")
+
+
+def second_sql(t, a, v):
+    return [x.format(t=t, a=a, v=v) for x in SECOND]
+
+
+@query("e9_vector_scores", VECTOR_MEANS + ", sc AS (SELECT vec_id, " + ", ".join(f"{x} AS {n}" for x, n in zip(second_sql("t", "a", "v"), ("l0", "l1", "l2", "reg"), strict=True)) + f" FROM vm) SELECT vec_id, round(l0, 6) AS l0, round(l1, 6) AS l1, round(l2, 6) AS l2, round(reg, 6) AS reg FROM sc")
+def e9v(spark, d):
+    out = at.score_sequences(vectors(spark, d), V, at.batch_scorer(mean_logits))
+    return out.select("vec_id", *(r6(F.get("logits", F.lit(i))).alias(f"l{i}") for i in range(3)), r6("reg").alias("reg"))
+
+
+def second_shapley_sql():
+    parts = []
+    for bits in range(8):
+        x = second_sql(*(m if bits & (1 << i) else "0.0" for i, m in enumerate("tav")))
+        parts.append(f"CASE target WHEN 0 THEN {x[0]} WHEN 1 THEN {x[1]} ELSE {x[2]} END AS c{bits}, {x[3]} AS r{bits}")
+    w = {0: "2.0 / 6", 1: "1.0 / 6", 2: "2.0 / 6"}
+    term = lambda k, i: " + ".join(f"{w[bin(b).count('1')]} * ({k}{b | 1 << i} - {k}{b})" for b in range(8) if not b & (1 << i))
+    return VECTOR_MEANS + f", tg AS (SELECT *, {argmax_sql(*second_sql('t', 'a', 'v')[:3])} AS target FROM vm), co AS (SELECT vec_id, target, {', '.join(parts)} FROM tg) SELECT vec_id, target, " + ", ".join(f"round({term('c', i)}, 6) AS class_{m}, round({term('r', i)}, 6) AS reg_{m}" for i, m in enumerate("tav")) + " FROM co"
+
+
+@query("e12_vector_shapley", second_shapley_sql())
+def e12v(spark, d):
+    s = at.shapley(vectors(spark, d), V, at.batch_scorer(mean_logits))
+    return s.select("vec_id", "target", *(r6(f"{k}_{m}").alias(f"{k}_{m}") for m in "tav" for k in ("class", "reg")))
+
+
+@query("e13_vector_windows", VECTOR_MEANS + """, lg AS (SELECT vec_id, pos, 't' AS modality, (2 * t - a) / 2 AS x FROM seq_v WHERE mt UNION ALL SELECT vec_id, pos, 'a', (a + 2 * v) / 2 FROM seq_v WHERE ma UNION ALL SELECT vec_id, pos, 'v', (v + t + a) / 3 FROM seq_v WHERE mv),
+    bd AS (SELECT vec_id, modality, min(pos) AS lo, max(pos) + 1 AS hi, sum(x) AS sx, count(*) AS n FROM lg GROUP BY vec_id, modality), st AS (SELECT *, CAST(unnest(range(lo, hi)) AS INT) AS start FROM bd),
+    wn AS (SELECT st.vec_id, st.modality, st.start, least(st.start + 3, any_value(hi)) AS "end", any_value(sx) AS sx, any_value(n) AS n, sum(lg.x) AS hx, count(*) AS hn FROM st JOIN lg ON st.vec_id = lg.vec_id AND st.modality = lg.modality AND lg.pos >= st.start AND lg.pos < st.start + 3 GROUP BY st.vec_id, st.modality, st.start),
+    wm AS (SELECT w.*, m.t, m.a, m.v, coalesce((sx - hx) / nullif(n - hn, 0), 0.0) AS rest FROM wn w JOIN vm m ON w.vec_id = m.vec_id), wx AS (SELECT *, CASE WHEN modality = 't' THEN rest ELSE t END AS t2, CASE WHEN modality = 'a' THEN rest ELSE a END AS a2, CASE WHEN modality = 'v' THEN rest ELSE v END AS v2 FROM wm),
+    wt AS (SELECT *, """ + argmax_sql(*second_sql("t", "a", "v")[:3]) + " AS target FROM wx) SELECT vec_id, modality, start, \"end\", target, round(CASE target " + " ".join(f"WHEN {i} THEN {x} - ({y})" for i, (x, y) in enumerate(zip(second_sql("t", "a", "v")[:3], second_sql("t2", "a2", "v2")[:3], strict=True))) + f" END, 6) AS drop, round({second_sql('t', 'a', 'v')[3]} - {second_sql('t2', 'a2', 'v2')[3]}, 6) AS reg_change FROM wt")
+def e13v(spark, d):
+    w = at.occlusion_windows(vectors(spark, d), V, at.batch_scorer(mean_logits))
+    return w.select("vec_id", "modality", "start", "end", "target", r6("drop").alias("drop"), r6("reg_change").alias("reg_change"))
+
+
 WINDOWS = MEANS + """, lg AS (SELECT vec_id, pos, 't' AS modality, t AS x FROM seq_v WHERE mt UNION ALL SELECT vec_id, pos, 'a', a FROM seq_v WHERE ma UNION ALL SELECT vec_id, pos, 'v', v FROM seq_v WHERE mv),
     bd AS (SELECT vec_id, modality, min(pos) AS lo, max(pos) + 1 AS hi, sum(x) AS sx, count(*) AS n FROM lg GROUP BY vec_id, modality), st AS (SELECT *, CAST(unnest(range(lo, hi)) AS INT) AS start FROM bd),
     wn AS (SELECT st.vec_id, st.modality, st.start, least(st.start + 3, any_value(hi)) AS "end", any_value(sx) AS sx, any_value(n) AS n, sum(lg.x) AS hx, count(*) AS hn FROM st JOIN lg ON st.vec_id = lg.vec_id AND st.modality = lg.modality AND lg.pos >= st.start AND lg.pos < st.start + 3 GROUP BY st.vec_id, st.modality, st.start),
@@ -252,10 +317,17 @@ def e13(spark, d):
     return w.select("vec_id", "modality", "start", "end", "target", r6("drop").alias("drop"), r6("reg_change").alias("reg_change"))
 
 
-@query("o4_greedy_nonoverlap")
+GREEDY = """, w9 AS (SELECT vec_id, modality, start, "end", round(drop, 9) AS drop FROM win), k0 AS (SELECT *, row_number() OVER (PARTITION BY vec_id, modality ORDER BY drop DESC, start) AS k FROM w9), f0 AS (SELECT * FROM k0 WHERE k = 1),
+    k1 AS (SELECT w.*, row_number() OVER (PARTITION BY w.vec_id, w.modality ORDER BY w.drop DESC, w.start) AS k FROM w9 w JOIN f0 f ON w.vec_id = f.vec_id AND w.modality = f.modality AND (w."end" <= f.start OR f."end" <= w.start)), f1 AS (SELECT * FROM k1 WHERE k = 1),
+    k2 AS (SELECT w.*, row_number() OVER (PARTITION BY w.vec_id, w.modality ORDER BY w.drop DESC, w.start) AS k FROM w9 w JOIN f0 f ON w.vec_id = f.vec_id AND w.modality = f.modality AND (w."end" <= f.start OR f."end" <= w.start)
+      JOIN f1 g ON w.vec_id = g.vec_id AND w.modality = g.modality AND (w."end" <= g.start OR g."end" <= w.start)), f2 AS (SELECT * FROM k2 WHERE k = 1),
+    gr AS (SELECT *, 0 AS rank FROM f0 UNION ALL SELECT *, 1 FROM f1 UNION ALL SELECT *, 2 FROM f2) SELECT vec_id, modality, rank, start, "end", round(drop, 6) AS drop FROM gr"""
+
+
+@query("o4_greedy_nonoverlap", WINDOWS + GREEDY)
 def o4(spark, d):
     w = at.occlusion_windows(seq(spark, d), V).withColumn("drop", F.round("drop", 9))
-    return at.greedy_nonoverlap(w, ["vec_id", "modality"])
+    return at.greedy_nonoverlap(w, ["vec_id", "modality"]).withColumn("drop", r6("drop"))
 
 
 @query("o3_top_k", WINDOWS + ' SELECT vec_id, modality, start, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY round(drop, 6) DESC, modality, start) AS INT) AS rank FROM win) WHERE rank <= 5')
@@ -275,11 +347,11 @@ def times(spark, d):
 
 
 TIMED = WINDOWS + ", " + TIMES + """, ev2 AS (SELECT w.vec_id, w.modality, w.start, any_value(w."end") AS "end", any_value(w.drop) AS drop, min(start_us) AS from_us, max(end_us) AS to_us, string_agg(token, ' ' ORDER BY pos) AS span
-    FROM win w JOIN tm ON w.vec_id = tm.vec_id AND tm.pos >= w.start AND tm.pos < w."end" WHERE w.start % 5 = 0 GROUP BY w.vec_id, w.modality, w.start)"""
+    FROM win w JOIN tm ON w.vec_id = tm.vec_id AND tm.pos >= w.start AND tm.pos < w."end" GROUP BY w.vec_id, w.modality, w.start)"""
 
 
 def timed(spark, d):
-    w = at.occlusion_windows(seq(spark, d), V).where("start % 5 = 0")
+    w = at.occlusion_windows(seq(spark, d), V)
     return joins.window_times(w, times(spark, d), V, ["modality", "start"])
 
 
@@ -299,21 +371,12 @@ def j9(spark, d):
 
 @query("e15_evidence_cards", TIMED + " SELECT vec_id, modality, start, status, rank FROM (SELECT vec_id, modality, start, CASE WHEN from_us IS NULL THEN 'unresolved' ELSE 'aligned' END AS status, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY round(drop, 6) DESC, modality, start) AS INT) AS rank FROM ev2) WHERE rank <= 5")
 def e15(spark, d):
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc(r6("drop")), "modality", "start"))
-    return timed(spark, d).withColumn("rank", rank).where("rank <= 5").select("vec_id", "modality", "start", "status", "rank")
+    return joins.evidence_cards(timed(spark, d).withColumn("drop", r6("drop")), V).select("vec_id", "modality", "start", "status", "rank")
 
 
 @query("t12_evidence_string", TIMED + " SELECT vec_id, string_agg(modality || ':' || start || '-' || (\"end\" - 1), ';' ORDER BY modality, start) AS evidence FROM ev2 GROUP BY vec_id")
 def t12(spark, d):
-    item = F.struct("modality", "start", (F.col("end") - 1).alias("last"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.concat(x["modality"], F.lit(":"), x["start"].cast("string"), F.lit("-"), x["last"].cast("string"))), ";")
-    return timed(spark, d).groupBy("vec_id").agg(text.alias("evidence"))
-
-
-def scenarios(spark):
-    return spark.createDataFrame(at.SCENARIOS, "kind string, modality string, rate double, place string")
+    return joins.evidence_string(timed(spark, d), V)
 
 
 SCEN = "scen(kind, modality, rate, place) AS (VALUES " + ", ".join(f"('{k}', '{m}', {r}::DOUBLE, '{p}')" for k, m, r, p in at.SCENARIOS) + """),
@@ -324,23 +387,25 @@ SCEN = "scen(kind, modality, rate, place) AS (VALUES " + ", ".join(f"('{k}', '{m
     mk AS (SELECT vec_id, pos, class_id, reg, t, a, v, kind, modality, rate, place, mt AND NOT (gone AND contains(modality, 't')) AS mt, ma AND NOT (gone AND contains(modality, 'a')) AS ma, mv AND NOT (gone AND contains(modality, 'v')) AS mv FROM ms)"""
 
 
-def masked(spark, d):
-    s = seq(spark, d).withColumn("valid", F.col("mt") | F.col("ma") | F.col("mv"))
-    return at.scenario_masks(s, scenarios(spark), V)
+def valid_seq(spark, d):
+    return seq(spark, d).withColumn("valid", F.col("mt") | F.col("ma") | F.col("mv"))
+
+
+def scenario_scores(spark, d):
+    out = at.score_scenarios(valid_seq(spark, d).withColumnRenamed("reg", "r"), V, at.linear_scorer("first"), carry=("class_id", "r"))
+    return told(out.withColumn("scenario", F.concat_ws(":", "kind", "modality", F.col("rate").cast("string"), "place")))
 
 
 @query("e7_mask_scenarios", SCEN + " SELECT kind, modality, rate, place, vec_id, CAST(count_if(mt) AS BIGINT) AS t, CAST(count_if(ma) AS BIGINT) AS a, CAST(count_if(mv) AS BIGINT) AS v, CAST(sum(CASE WHEN mt THEN pos ELSE 0 END) AS BIGINT) AS at FROM mk GROUP BY kind, modality, rate, place, vec_id")
 def e7(spark, d):
-    return masked(spark, d).groupBy("kind", "modality", "rate", "place", "vec_id").agg(*(F.count_if(f"m{m}").alias(m) for m in "tav"), F.sum(F.when(F.col("mt"), F.col("pos")).otherwise(0)).alias("at"))
+    return at.scenario_counts(valid_seq(spark, d), V)
 
 
 SCORED = SCEN + ", sm AS (SELECT kind, modality, rate, place, vec_id, any_value(class_id) AS y, any_value(reg) AS r, " + ", ".join(f"{mean_sql(m)} AS {m}" for m in "tav") + f" FROM mk GROUP BY kind, modality, rate, place, vec_id), sp AS (SELECT *, kind || ':' || modality || ':' || rate || ':' || place AS scenario, {argmax_sql(*(logit_sql(c) for c in at.COEFFICIENTS['first']))} AS p, {reg_sql()} AS pred FROM sm), " + f1_sql("sp", "scenario", "0, 1, 2")
 
 
 def scenario_metrics(spark, d):
-    s = masked(spark, d).withColumn("scenario", F.concat_ws(":", "kind", "modality", F.col("rate").cast("string"), "place")).withColumnRenamed("reg", "r")
-    out = at.score_sequences(s, ["kind", "scenario", "vec_id"], carry=("class_id", "r"))
-    out = out.withColumn("p", at.first_argmax([F.col(f"logit{i}") for i in range(3)])).withColumn("y", F.col("class_id")).withColumn("pred", F.col("reg"))
+    out = scenario_scores(spark, d)
     return metrics.classification_metrics(out, ["kind", "scenario"], [0, 1, 2]).join(metrics.regression_metrics(out, ["kind", "scenario"]), ["kind", "scenario"])
 
 
@@ -351,35 +416,52 @@ def a16(spark, d):
 
 @query("e9_score_batches", SCORED + " SELECT scenario, vec_id, p, round(pred, 6) AS reg FROM sp")
 def e9(spark, d):
-    s = masked(spark, d).withColumn("scenario", F.concat_ws(":", "kind", "modality", F.col("rate").cast("string"), "place"))
-    out = at.score_sequences(s, ["scenario", "vec_id"])
-    return out.select("scenario", "vec_id", at.first_argmax([F.col(f"logit{i}") for i in range(3)]).alias("p"), r6("reg").alias("reg"))
+    return scenario_scores(spark, d).select("scenario", "vec_id", "p", r6("reg").alias("reg"))
 
 
 @query("e14_reliability_report", SCORED + ", cl AS (SELECT kind, y, count(*) AS n, avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END) AS recall, avg(abs(pred - r)) AS mae FROM sp GROUP BY kind, y) SELECT kind, y, n, round(recall, 6) AS recall, round(mae, 6) AS mae FROM cl")
 def e14(spark, d):
-    s = masked(spark, d).withColumn("scenario", F.concat_ws(":", "modality", F.col("rate").cast("string"), "place")).withColumnRenamed("reg", "r")
-    out = at.score_sequences(s, ["kind", "scenario", "vec_id"], carry=("class_id", "r"))
-    out = out.withColumn("p", at.first_argmax([F.col(f"logit{i}") for i in range(3)])).withColumn("y", F.col("class_id")).withColumn("pred", F.col("reg"))
-    return metrics.per_class_error(out, ["kind"]).select("kind", "y", "n", r6("recall").alias("recall"), r6("mae").alias("mae"))
+    return metrics.per_class_error(scenario_scores(spark, d), ["kind"]).select("kind", "y", "n", r6("recall").alias("recall"), r6("mae").alias("mae"))
+
+
+def uniform_sql(name):
+    return f"CAST('0x' || substr(md5('7|{name}|' || vec_id), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+def list_gap_sql(m, touched, low, high):
+    """A modality's mask after a gap in the list of its observed positions."""
+    return f"""(SELECT vec_id, pos, m{m} AND NOT ({touched} AND n >= 2 AND m{m} AND i >= st AND i < st + ln) AS m FROM (SELECT *, floor({uniform_sql('start' + m)} * (n - ln + 1)) AS st FROM
+      (SELECT *, greatest(1, round_even(n * ({low} + {high - low:.2f} * {uniform_sql('rate' + m)}), 0)) AS ln FROM (SELECT vec_id, pos, m{m}, count_if(m{m}) OVER (PARTITION BY vec_id) AS n, count_if(m{m}) OVER (PARTITION BY vec_id ORDER BY pos) - 1 AS i FROM seq_v))))"""
+
+
+LOST = {m: " + ".join(f"CASE WHEN {uniform_sql(o)} < {uniform_sql(m)} THEN 1 ELSE 0 END" for o in "tav" if o != m) for m in "tav"}
+GAPS = f"""bo AS (SELECT *, min(CASE WHEN mt OR ma OR mv THEN pos END) OVER (PARTITION BY vec_id) AS lo, max(CASE WHEN mt OR ma OR mv THEN pos END) OVER (PARTITION BY vec_id) + 1 AS hi FROM seq_v),
+    le AS (SELECT *, greatest(1, round_even((hi - lo) * (0.1 + 0.5 * {uniform_sql('rate')}), 0)) AS ln FROM bo), sa AS (SELECT *, lo + floor({uniform_sql('start')} * greatest(1, hi - lo - ln + 1)) AS st, [1, 1, 1, 2, 2, 3][CAST(floor({uniform_sql('n')} * 6) AS INT) + 1] AS k FROM le),
+    go AS (SELECT *, {uniform_sql('touch')} >= 0.2 AND pos >= st AND pos < st + ln AS gone FROM sa),
+    sp AS (SELECT vec_id, 'span' AS rule, {", ".join(f"CAST(count_if(m{m} AND NOT coalesce(gone AND {LOST[m]} < k, false)) AS BIGINT) AS {m}" for m in "tav")} FROM go GROUP BY vec_id),
+    wh AS (SELECT vec_id, CAST(count_if(mt) AS BIGINT) AS t, CAST(count_if(ma) AS BIGINT) AS a, CAST(count_if(mv) AS BIGINT) AS v FROM seq_v GROUP BY vec_id),
+    tx AS (SELECT vec_id, CAST(count_if(m) AS BIGINT) AS t FROM {list_gap_sql('t', 'true', 0.15, 0.5)} GROUP BY vec_id),
+    la AS (SELECT vec_id, CAST(count_if(m) AS BIGINT) AS a FROM {list_gap_sql('a', f"({uniform_sql('modes')} < 0.3 OR ({uniform_sql('modes')} >= 0.6 AND {uniform_sql('modes')} < 0.9)) AND {uniform_sql('touch')} >= 0.2", 0.1, 0.5)} GROUP BY vec_id),
+    lv AS (SELECT vec_id, CAST(count_if(m) AS BIGINT) AS v FROM {list_gap_sql('v', f"({uniform_sql('modes')} >= 0.3 AND {uniform_sql('modes')} < 0.9) AND {uniform_sql('touch')} >= 0.2", 0.1, 0.5)} GROUP BY vec_id)
+    SELECT vec_id, t, a, v, rule FROM sp UNION ALL SELECT w.vec_id, x.t, w.a, w.v, 'text' FROM wh w JOIN tx x ON w.vec_id = x.vec_id UNION ALL SELECT w.vec_id, w.t, a.a, v.v, 'list' FROM wh w JOIN la a ON w.vec_id = a.vec_id JOIN lv v ON w.vec_id = v.vec_id"""
 
 
-@query("e8_random_gap_masks")
+@query("e8_random_gap_masks", GAPS)
 def e8(spark, d):
-    s = seq(spark, d).withColumn("valid", F.col("mt") | F.col("ma") | F.col("mv"))
+    s = valid_seq(spark, d)
     parts = [at.random_gap_masks(s, V, 7, rule).groupBy("vec_id").agg(*(F.count_if(f"m{m}").alias(m) for m in "tav")).withColumn("rule", F.lit(rule)) for rule in ("span", "text", "list")]
     return metrics.union_all(parts)
 
 
 @query("a19_missing_positions", "SELECT vec_id, CAST(count_if((mt OR ma OR mv) AND NOT mt) AS BIGINT) AS t, CAST(count_if((mt OR ma OR mv) AND NOT ma) AS BIGINT) AS a, CAST(count_if((mt OR ma OR mv) AND NOT mv) AS BIGINT) AS v, bool_or(ma) AS audio FROM seq_v GROUP BY vec_id")
 def a19(spark, d):
-    valid = F.col("mt") | F.col("ma") | F.col("mv")
-    return seq(spark, d).groupBy("vec_id").agg(*(F.count_if(valid & ~F.col(f"m{m}")).alias(m) for m in "tav"), F.bool_or("ma").alias("audio"))
+    out = metrics.missing_positions(valid_seq(spark, d), V, F.col("valid"), {m: f"m{m}" for m in "tav"})
+    return out.select("vec_id", "t", "a", "v", F.col("has_a").alias("audio"))
 
 
 @query("j13_join_predictions", PRED + " SELECT vec_id, count(*) AS models, round(avg(logit1), 6) AS neutral FROM told_v GROUP BY vec_id")
 def j13(spark, d):
-    return preds(spark, d).groupBy("vec_id").agg(F.count("*").alias("models"), r6(F.avg("logit1")).alias("neutral"))
+    return joins.join_predictions(preds(spark, d), V, ["logit1"]).select("vec_id", "models", r6("logit1").alias("neutral"))
 
 
 @query("q4_prediction_checks", PRED + " SELECT vec_id, model, 'sign' AS check_id FROM told_v WHERE (p = 0 AND pred >= 0) OR (p = 1 AND pred <> 0) OR (p = 2 AND pred <= 0)")
@@ -411,9 +493,7 @@ def e1(spark, d):
 
 @query("u4_disjointness", FOLDS + " SELECT fold, count(DISTINCT grp) AS groups, 0 AS shared FROM folds GROUP BY fold")
 def u4(spark, d):
-    f = folds(spark, d)
-    shared = f.alias("x").join(f.alias("y"), "grp").where("x.fold <> y.fold").groupBy(F.col("x.fold").alias("fold")).agg(F.count("*").alias("shared"))
-    return f.groupBy("fold").agg(F.count_distinct("grp").alias("groups")).join(shared, "fold", "left").select("fold", "groups", F.coalesce("shared", F.lit(0)).cast("int").alias("shared"))
+    return metrics.fold_overlap(folds(spark, d), "grp")
 
 
 @query("a20_fold_profile", FOLDS + " SELECT fold, count(*) AS n, count(DISTINCT g.grp) AS groups, CAST(count_if(label = 0) AS BIGINT) AS class_0, CAST(count_if(label = 1) AS BIGINT) AS class_1, CAST(count_if(label = 2) AS BIGINT) AS class_2 FROM groups_v g JOIN folds f ON g.grp = f.grp GROUP BY fold")

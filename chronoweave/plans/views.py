@@ -8,11 +8,11 @@ GAP_US = 1_800_000_000
 
 _SPARK = {
     "T_US": "unix_micros(CAST(ts AS TIMESTAMP))", "K": "get_json_object(props, '$.k')", "MID": "CAST(floor(({x} + {y}) / 2) AS BIGINT)",
-    "TOKENS": "slice(split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ')), ' '), 1, 20)", "E": "e.embedding[{i}]", "POS": "explode(sequence(0, 15))", "MOD": "({a}) % {b}",
+    "TOKENS": "split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ')), ' ')", "E": "e.embedding[{i}]", "POS": "explode(sequence(0, 15))", "MOD": "({a}) % {b}",
 }
 _DUCK = {
     "T_US": "epoch_us(ts)", "K": "json_extract_string(props, '$.k')", "MID": "(({x} + {y}) // 2)",
-    "TOKENS": "list_slice(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), 1, 20)", "E": "e.embedding[{i} + 1]", "POS": "unnest(range(0, 16))", "MOD": "({a}) % {b}",
+    "TOKENS": "string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')", "E": "e.embedding[{i} + 1]", "POS": "unnest(range(0, 16))", "MOD": "({a}) % {b}",
 }
 
 
@@ -50,7 +50,7 @@ seq_v AS (
          (vec_id * 7 + p * 3) % 11 <> 0 AS mt, (vec_id + p) % 5 <> 0 AS ma, (vec_id * 3 + p) % 7 <> 0 AS mv,
          CAST({e[0]} + {e[1]} AS DOUBLE) AS t, CAST({e[2]} AS DOUBLE) AS a, CAST({e[3]} AS DOUBLE) AS v
   FROM seq_base e),
-turns AS (SELECT conv_id, turn, role, {d["TOKENS"]} AS words FROM conversations WHERE text IS NOT NULL),
+turns AS (SELECT conv_id, turn, role, text, {d["TOKENS"]} AS words FROM conversations WHERE text IS NOT NULL),
 transcripts_v AS (
   SELECT u.conv_id, u.turn, u.words AS ref, h.words AS hyp
   FROM turns u JOIN turns h ON u.conv_id = h.conv_id AND h.turn = u.turn + 1 WHERE u.role = 'user' AND h.role = 'assistant'),
@@ -74,4 +74,4 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def duck(sql: str) -> str:
     """The same in DuckDB's SQL; ``sql`` may begin with further CTEs."""
-    return "WITH " + DUCK_PRELUDE + ("" if sql.lstrip().upper().startswith("SELECT") else ", ") + sql
+    return "WITH RECURSIVE " + DUCK_PRELUDE + ("" if sql.lstrip().upper().startswith("SELECT") else ", ") + sql

@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_own_dir: str | None = None
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; below one of this machine only where none is set and all runs here."""
+    global _own_dir
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="chronoweave-")
+        base = _own_dir
+    return f"{base.rstrip('/')}/chronoweave/{uuid.uuid4().hex}/{name}"
+
+
 MANIFEST_SCHEMA = "video_id string, clip_id string, text string, label double, annotation string"
 
 
@@ -80,9 +99,9 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("split") == split)
 
 
-def stack_files(spark: SparkSession, path: str) -> DataFrame:
-    """All Parquet files of a folder, with the file's stem as ``sample_id``."""
-    return spark.read.parquet(path).withColumn("sample_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[A-Za-z0-9]+)*$", 1))
+def stack_files(spark: SparkSession, path: str, name: str = r"([^/]+?)(?:\.[A-Za-z0-9]+)*$") -> DataFrame:
+    """All Parquet files of a folder, with the file's stem, or what ``name`` takes of its path, as ``sample_id``."""
+    return spark.read.parquet(path).withColumn("sample_id", F.regexp_extract(F.col("_metadata.file_path"), name, 1))
 
 
 def append_event(df: DataFrame, path: str, stage: str) -> None:
@@ -92,6 +111,5 @@ def append_event(df: DataFrame, path: str, stage: str) -> None:
 
 def write_report(df: DataFrame, path: str, scope: str) -> None:
     """Write one scope's report; other scopes stay as they are."""
-    session = df.sparkSession
     df.withColumn("scope", F.lit(scope)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scope").parquet(path)
-    session.catalog.clearCache()
+    df.sparkSession.catalog.refreshByPath(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,3 +35,36 @@ def thin(events: DataFrame, key: str, step_us: int, t: str = "t") -> DataFrame:
 
     kind = events.schema[key].dataType.simpleString()
     return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {t} long", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def track(detections: DataFrame, key: str, least: float = 0.2, late: str | None = None) -> DataFrame:
+    """``track_subject`` along a stream of frames: ``(key, pts, det_idx, reset, quality)``.
+
+    ``detections``: ``ts`` (the watermark's column, if ``late`` is given), pts, and ``boxes``, an array of (det_idx, l, t, r, b) that is
+    empty in a frame without any, so that a frame is one row.  State is one box and the last frame's time; frames of one batch are put
+    in order, and frames not after the last one are dropped.
+    """
+    from ..operators.probe import Track
+
+    def run(k, batches, state):
+        *box, last = state.get if state.exists else (None, None, None, None, None)
+        tracker, out = Track(least), []
+        if box[0] is not None:
+            tracker.state = np.array(box, dtype=float)
+        frames = sorted(((int(p), b) for x in batches for p, b in zip(x["pts"], x["boxes"], strict=True)), key=lambda z: z[0])
+        for pts, boxes in frames:
+            if last is not None and pts <= last:
+                continue
+            last = pts
+            found = sorted(tuple(b[c] for c in ("det_idx", "l", "t", "r", "b")) for b in boxes)
+            if (got := tracker.step(found)) is not None:
+                out.append((k[0], pts, *got))
+        now = [None] * 4 if tracker.state is None else [float(z) for z in tracker.state]
+        if last is not None:
+            state.update((*now, int(last)))
+        yield pd.DataFrame(out, columns=[key, "pts", "det_idx", "reset", "quality"])
+
+    kind = detections.schema[key].dataType.simpleString()
+    rows = detections.withWatermark("ts", late) if late else detections
+    schema = f"{key} {kind}, pts long, det_idx int, reset boolean, quality double"
+    return rows.groupBy(key).applyInPandasWithState(run, schema, "l double, t double, r double, b double, last long", "append", GroupStateTimeout.NoTimeout)
