@@ -21,8 +21,8 @@ bucket, first each class is held against one of the bucket's; the links found, v
 and where a bucket still holds several of them, this is done once more with another one.  Where a bucket holds several components
 even so, its sets beside the largest one's are held against all, in blocks, unless it is hot; parity sketches, which bound the difference of two sets
 from below, rule out most pairs, and the rest are verified exactly.  So a group of near copies costs one comparison for each copy, not
-one for each pair, and links that matter for the components are never lost.  Each text is shingled once, and those of candidates once
-more for the table of their sets, which all verifications read.  Equality of shingles is that of 64-bit hashes.
+one for each pair, and links that matter for the components are never lost.  Each text is shingled for its class and again for its
+keys, which is cheaper than to keep the keys on disk; candidates' sets are written once, and all verifications read them.  Equality of shingles is that of 64-bit hashes.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing (component_id is their own id); rows with a null
 id link with nothing; repeated rows are one class; an empty table gives an empty result; other columns are ignored.
@@ -202,14 +202,20 @@ def _folded(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
-_DOC = pa.schema([
-    ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary()), ("own", pa.binary()), ("guest", pa.binary()),
-])
-_DOC_SQL = "doc_id long, n long, cls long, check long, sketch binary, own binary, guest binary"
+def renamed(name: int, check: int, shared: frozenset[int]) -> int:
+    """The class's name; one that several sets share is replaced by a hash of both."""
+    if name not in shared:
+        return name
+    x = mix(np.array([name & (2**64 - 1)], dtype=np.uint64) ^ mix(np.array([check & (2**64 - 1)], dtype=np.uint64)))
+    return int(x.view(np.int64)[0]) & ~1
 
 
-def _classify(k: int, percent: int, bits: int):
-    """Size and class of each row's set; of sets that are new to the task also the sketch and the keys."""
+_DOC = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary())])
+_DOC_SQL = "doc_id long, n long, cls long, check long, sketch binary"
+
+
+def _classify(k: int, bits: int):
+    """Size and class of each row's set; the sketch of sets that are new to the task."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
@@ -218,21 +224,25 @@ def _classify(k: int, percent: int, bits: int):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 h = shingle_set(text, k)
                 if doc is None or not len(h):
-                    rows.append((doc, len(h), None, None, None, None, None))
+                    rows.append((doc, len(h), None, None, None))
                     continue
                 name = set_class(h, bits)
-                if name in seen:
-                    rows.append((doc, len(h), *name, None, None, None))
-                    continue
+                rows.append((doc, len(h), *name, None if name in seen else sketch(h)))
                 seen.add(name)
-                keys = signature(h, percent)
-                both = (b"".join(x.tobytes() for is_owner, x in keys if is_owner == own) for own in (True, False))
-                rows.append((doc, len(h), *name, sketch(h), *both))
             yield batch(_DOC, zip(*rows, strict=True) if rows else [[] for _ in _DOC])
 
     return run
 
 
+def _rename(shared: frozenset[int]):
+    def run(batches):
+        for b in batches:
+            cls = [None if c is None else renamed(c, x, shared) for c, x in zip(b.column("cls").to_pylist(), b.column("check").to_pylist(), strict=True)]
+            yield b.set_column(2, "cls", pa.array(cls, type=pa.int64()))
+
+    return run
+
+
 _SIG = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("member", pa.int64())])
 
 
@@ -254,20 +264,32 @@ def _dealt(keys: np.ndarray, members: np.ndarray):
     return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part), pa.array(members)], schema=_SIG)
 
 
-def _signed_rows(batches):
-    """A row for each key of each set, from the table of sets."""
-    keys, members, held = [], [], 0
-    for b in sliced(batches, 1024):
-        for cls, *both in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            for owner, raw in zip((1, 0), both, strict=True):
-                keys.append(np.frombuffer(raw, dtype=np.int64))
-                members.append(np.full(len(raw) // 8, cls | owner, dtype=np.int64))
-                held += len(raw) // 8
-        if held >= 1 << 20:
+def _sign(k: int, percent: int, bits: int, shared: frozenset[int]):
+    """A row for each key of each set."""
+
+    def run(batches):
+        seen: set[int] = set()
+        keys, members, held = [], [], 0
+        for b in sliced(batches, SLICE_ROWS, 1):
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                h = shingle_set(text, k)
+                if doc is None or not len(h):
+                    continue
+                cls = renamed(*set_class(h, bits), shared)
+                if cls in seen:
+                    continue
+                seen.add(cls)
+                for owner, some in signature(h, percent):
+                    keys.append(some.view(np.int64))
+                    members.append(np.full(len(some), cls | owner, dtype=np.int64))
+                    held += len(some)
+            if held >= 1 << 20:
+                yield _dealt(np.concatenate(keys), np.concatenate(members))
+                keys, members, held = [], [], 0
+        if held:
             yield _dealt(np.concatenate(keys), np.concatenate(members))
-            keys, members, held = [], [], 0
-    if held:
-        yield _dealt(np.concatenate(keys), np.concatenate(members))
+
+    return run
 
 
 _BUCKET = pa.schema([("key", pa.int64()), ("member", pa.int64())])
@@ -370,8 +392,8 @@ def _sketched(percent: int):
     return run
 
 
-def _sets(k: int, bits: int):
-    schema = pa.schema([("cls", pa.int64()), ("check", pa.int64()), ("elements", pa.binary())])
+def _sets(k: int, bits: int, shared: frozenset[int]):
+    schema = pa.schema([("cls", pa.int64()), ("elements", pa.binary())])
 
     def run(batches):
         for b in sliced(batches, SLICE_ROWS, 0):
@@ -379,8 +401,8 @@ def _sets(k: int, bits: int):
             for text in b.column(0).cast(pa.binary()).to_pylist():
                 h = shingle_set(text, k)
                 if len(h):
-                    rows.append((*set_class(h, bits), h.tobytes()))
-            yield batch(schema, zip(*rows, strict=True) if rows else [[], [], []])
+                    rows.append((renamed(*set_class(h, bits), shared), h.tobytes()))
+            yield batch(schema, zip(*rows, strict=True) if rows else [[], []])
 
     return run
 
@@ -469,23 +491,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     ``name_bits`` are the random bits of a class's name; names that several sets share are taken apart, so they decide nothing.
     """
     docs = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = written(docs.mapInArrow(_classify(k, percent, name_bits), _DOC_SQL), "sets")
+    rows = written(docs.mapInArrow(_classify(k, name_bits), _DOC_SQL), "sets")
     classes = _classes(rows)
-    shared_names = written(classes.where("several").select("cls", F.lit(True).alias("several")), "names")
-
-    def apart(df: DataFrame) -> DataFrame:
-        return df
-
-    if not shared_names.isEmpty():
-
-        def apart(df: DataFrame) -> DataFrame:
-            own = F.xxhash64("cls", "check").bitwiseAND(-2)
-            return df.join(shared_names, "cls", "left").withColumn("cls", F.when(F.col("several"), own).otherwise(F.col("cls"))).drop("several")
-
-        rows = written(apart(rows), "sets")
+    # Names that chance gave to several sets: some hundreds among 10 ** 11.
+    shared = frozenset(x["cls"] for x in classes.where("several").select("cls").collect())
+    if shared:
+        rows = written(rows.mapInArrow(_rename(shared), _DOC_SQL), "sets")
         classes = _classes(rows)
 
-    keyed = rows.where("own is not null").select("cls", "own", "guest").mapInArrow(_signed_rows, "key long, part int, member long")
+    keyed = docs.mapInArrow(_sign(k, percent, name_bits, shared), "key long, part int, member long")
     sorted_ = keyed.repartition("key", "part").sortWithinPartitions("key", "part", "member")
     buckets = written(sorted_.mapInArrow(_shared, "key long, member long"), "buckets")
     cls, owner = F.col("member").bitwiseAND(-2).alias("cls"), (F.col("member").bitwiseAND(1) == 1).alias("owner")
@@ -493,7 +507,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     # The sets of all candidates, once.
     candidates = buckets.select(cls).distinct()
     ids = classes.join(candidates, "cls").select(F.col("rep").alias("doc_id")).distinct()
-    sets = apart(docs.join(_few(ids, classes.count()), "doc_id", "left_semi").select("text").mapInArrow(_sets(k, name_bits), "cls long, check long, elements binary"))
+    sets = docs.join(_few(ids, classes.count()), "doc_id", "left_semi").select("text").mapInArrow(_sets(k, name_bits, shared), "cls long, elements binary")
     sets = written(sets.groupBy("cls").agg(F.first("elements").alias("elements")), "candidate_sets")
     known = classes.select("cls", "n", "sketch")
 
