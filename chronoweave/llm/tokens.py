@@ -19,7 +19,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +26,11 @@ from .common import batch, documents, fresh_path, sliced
 
 BLOCK_IDS = 1 << 16
 #: Rows that are encoded at once.
-SLICE_ROWS = 1024
+SLICE_ROWS = 64
 END_ID = 0
 #: Rows that one file takes at most, on average.
 FILE_ROWS = 8_000
-#: Words whose ids a Python worker keeps.
-TABLE_WORDS = 600_000
+CACHE_ENTRIES = 1_000_000
 
 
 def pack_block(raw: bytes, planes: str = "byte", level: int = 3) -> tuple[bytes, list[int]]:
@@ -67,36 +65,32 @@ def unpack_block(payload: bytes, lengths: list[int], n: int) -> bytes:
 
 
 class WordEncoder:
-    """The tokenizer's ids of texts, with a bounded table of words.
+    """The tokenizer's ids of a text as bytes, with a bounded cache of words.
 
     The byte-level pre-tokenizer always cuts before a blank or a line end that stands alone between other characters, between a
     letter and a final stop or comma, and merges never cross its cuts: so the ids of such a text are those of its words, each with the
-    blank before it.  Arrow splits the texts and numbers their distinct words, so Python sees each distinct word of a slice once.  A
-    text with tabs or other white space, or with what may be a special token, is encoded whole.
+    blank before it.  A text with other white space, or what may be a special token, is encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes | None] = {}
+        self.cache: dict[str, bytes] = {}
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Put the ids of ``words`` into the table; None for those that must not be encoded alone.
-
-        A tab stands for the blank that the first word of a text doesn't have; words hold no other tabs.
-        """
-        known, ended, plain, other = self.known, [], [], []
+    def _learn(self, words: set[str]) -> set[str]:
+        """Cache the ids of ``words``; those that must not be encoded alone are returned."""
+        cache, odd, ended, plain, other = self.cache, set(), [], [], []
         for w in words:
             core = w[1:] if w[:1] in ("\n", "\t") else w
             if core.split() != [core] or "<|" in core:
-                known[w] = None
+                odd.add(w)
             elif w[-1] in ".," and w[-2:-1].isalpha():
                 ended.append(w)
-                if w[:-1] not in known:
+                if w[:-1] not in cache and w[:-1] not in words:
                     (plain if w[:-1].isalpha() else other).append(w[:-1])
             else:
                 (plain if w.isalpha() else other).append(w)
@@ -108,44 +102,30 @@ class WordEncoder:
             if len(cuts) + 1 != len(plain):
                 raise AssertionError("a word of letters alone is one pre-token")
             raw, ends = ids.tobytes(), [*cuts.tolist(), 4 * len(ids)]
-            known.update((w, raw[x:y]) for w, x, y in zip(plain, [0, *ends], ends, strict=False))
+            cache.update((w, raw[x:y]) for w, x, y in zip(plain, [0, *ends], ends, strict=False))
         if other:
-            known.update(zip(other, self._bytes([w if w[0] == "\n" else w[1:] if w[0] == "\t" else " " + w for w in other]), strict=True))
+            cache.update(zip(other, self._bytes([w if w[0] == "\n" else w[1:] if w[0] == "\t" else " " + w for w in other]), strict=True))
         if ended:
             stop = dict(zip(".,", self._bytes([".", ","]), strict=True))
-            known.update((w, known[w[:-1]] + stop[w[-1]]) for w in ended)
-
-    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        texts = pa.array(texts, type=pa.string()) if isinstance(texts, list) else texts
-        if len(self.known) > TABLE_WORDS:
-            self.known.clear()
-        marked = pc.binary_join_element_wise(pa.scalar("\t"), pc.replace_substring(texts, "\n", " \n"), pa.scalar(""))
-        parts = pc.split_pattern(marked, " ")
-        starts = parts.offsets.to_numpy()
-        numbered = parts.values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()
-        words, code, starts = numbered.dictionary.to_pylist(), numbered.indices.to_numpy(), starts - starts[0]
-        known = self.known
-        new = [w for w in words if w not in known]
-        if new:
-            self._learn(new)
-        ids = [known[w] for w in words]
-        alone = np.array([x is not None for x in ids], dtype=bool)
-        whole = pc.match_substring(texts, "\t").to_numpy(zero_copy_only=False).astype(bool)
-        whole[np.searchsorted(starts, np.flatnonzero(~alone[code]), side="right") - 1] = True
-        length = np.array([len(x or b"") // 4 for x in ids], dtype=np.int64)
-        table = np.frombuffer(b"".join(x for x in ids if x is not None), dtype="<u4")
-        n = length[code]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1]) + np.repeat((np.cumsum(length) - length)[code] - (ends - n), n)
-        raw = table[at].tobytes()
-        edge = 4 * np.concatenate(([0], ends))[starts]
-        out = [raw[x:y] for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-        odd = np.flatnonzero(whole).tolist()
-        for i, x in zip(odd, self._bytes(texts.take(pa.array(odd, type=pa.int64())).to_pylist()) if odd else [], strict=True):
-            out[i] = x
-        empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        return [b"" if e else x for x, e in zip(out, empty, strict=True)]
+            cache.update((w, cache[w[:-1]] + stop[w[-1]]) for w in ended)
+        return odd
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cache = self.cache
+        if len(cache) > CACHE_ENTRIES:
+            cache.clear()
+        # A tab stands for the blank that the first word of a text doesn't have; a text that holds tabs of its own is encoded whole.
+        whole = [t is not None and "\t" in t for t in texts]
+        parts = [("\t" + t.replace("\n", " \n")).split(" ") if t and not w else [] for t, w in zip(texts, whole, strict=True)]
+        new = {w for words in parts for w in words if w not in cache}
+        odd = self._learn(new) if new else set()
+        out: list[bytes] = []
+        for t, w, words in zip(texts, whole, parts, strict=True):
+            if w or odd and not odd.isdisjoint(words):
+                out += self._bytes([t])
+            else:
+                out.append(b"".join(map(cache.__getitem__, words)))
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -187,7 +167,7 @@ def _encode(path: str, end_id: int, planes: str):
             return batch(_CHUNKS, ([x] for x in row))
 
         for b in sliced(batches, SLICE_ROWS, 1):
-            for doc, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1)), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
                 docs.append((doc, at, len(ids) // 4 + 1))
                 at += len(ids) // 4 + 1
                 held += ids
