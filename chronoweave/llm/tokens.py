@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, documents, fresh_path, sliced
+from .common import batch, documents, fresh_path, sliced, written
 
 BLOCK_IDS = 1 << 16
 #: Rows that are encoded at once.
@@ -31,6 +31,8 @@ END_ID = 0
 #: Rows that one file takes at most, on average.
 FILE_ROWS = 8_000
 CACHE_ENTRIES = 1_000_000
+#: Files whose sizes are summed in one task, and files whose starts (12 bytes each) may be broadcast.
+FILES_BLOCK, BROADCAST_FILES = 4096, 1_000_000
 
 
 def pack_block(raw: bytes, planes: str = "byte", level: int = 3) -> tuple[bytes, list[int]]:
@@ -239,18 +241,20 @@ class TokenFiles:
 
     def _read(self, name: str, value) -> DataFrame:
         digest = name == "ids_crc32"
-        sizes = self.chunks().groupBy("file").agg(F.sum("n_ids").alias("n")).collect()  # a row for each file
-        starts, total = [], 0
-        for x in sorted(sizes, key=lambda x: x["file"]):
-            starts.append((x["file"], total))
-            total += x["n"]
-        table = self.spark.createDataFrame(starts, "file int, file_start long")
+        # Where each file begins: sums of blocks of files, then of the files of a block, so that no task and no driver has them all.
+        sizes = self.chunks().groupBy("file").agg(F.sum("n_ids").alias("n")).withColumn("block", F.floor(F.col("file") / FILES_BLOCK))
+        before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        blocks = sizes.groupBy("block").agg(F.sum("n").alias("n")).withColumn("all", F.lit(0))  # a row for each FILES_BLOCK files
+        blocks = blocks.select("block", before(Window.partitionBy("all").orderBy("block")).alias("block_start"))
+        table = sizes.withColumn("within", before(Window.partitionBy("block").orderBy("file"))).join(blocks, "block")
+        table = written(table.select("file", (F.col("block_start") + F.col("within")).alias("file_start")), "starts")
+        table = F.broadcast(table) if table.count() <= BROADCAST_FILES else table
         inside = self.chunks().mapInArrow(_decode(True, digest), _PIECES_SQL)
         pieces = self.chunks().mapInArrow(_decode(False, digest), _PIECES_SQL)
         joined = F.aggregate(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), F.lit(b""), lambda s, x: F.concat(s, x.ids))
         across = pieces.groupBy("file", "at", "doc_id", "n_tokens").agg(joined.alias("ids"))
         both = inside.drop("chunk").unionByName(across.withColumn("ids_crc32", F.lit(None).cast("long")))
-        return both.join(F.broadcast(table), "file").select("doc_id", (F.col("file_start") + F.col("at")).alias("start"), "n_tokens", value.alias(name))
+        return both.join(table, "file").select("doc_id", (F.col("file_start") + F.col("at")).alias("start"), "n_tokens", value.alias(name))
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, **options) -> TokenFiles:
