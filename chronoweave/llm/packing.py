@@ -19,6 +19,7 @@ import re
 import zlib
 from array import array
 from collections import defaultdict
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -181,7 +182,7 @@ class WordEncoder:
             raw = ids.tobytes()
             self.pieces.update((p, raw[x:y]) for p, x, y in zip(some, [0, *cuts], cuts, strict=False))
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         split, odd = {}, []
         for w in new:
             if w.isascii() and w.isalpha():
@@ -192,7 +193,7 @@ class WordEncoder:
                 odd.append(w)
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
-        self._learn_pieces(list({p for ps in split.values() for p in ps} - self.pieces.keys()))
+        self._learn_pieces(list(filterfalse(self.pieces.__contains__, set().union(*split.values()))))
         self.words.update((w, b"".join(map(self.pieces.__getitem__, ps))) for w, ps in split.items())
         if odd:
             self.words.update(zip(odd, self._bytes(odd), strict=True))
@@ -205,7 +206,7 @@ class WordEncoder:
         # The separators \x1c to \x1f are white space for split(), but not for the tokenizer.
         whole = [t is not None and any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
         parts = [t.split() if t and not w else [] for t, w in zip(texts, whole, strict=True)]
-        new = set().union(*parts) - self.words.keys()
+        new = list(filterfalse(self.words.__contains__, set().union(*parts)))
         self._learn(new)
         out = [self._bytes([t])[0] if w else b"".join(map(self.words.__getitem__, words)) for t, w, words in zip(texts, whole, parts, strict=True)]
         for w in new:
