@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import BUCKET_ROWS, running_end
+from .scan import running
+
 
 def violations(df: DataFrame, key: list[str], checks: dict[str, Column], detail: Column) -> DataFrame:
     """A row for each row and check that is true; one scan for all checks."""
@@ -14,11 +17,9 @@ def violations(df: DataFrame, key: list[str], checks: dict[str, Column], detail:
     return df.select(*key, F.explode(failed).alias("check_id"), detail.cast("string").alias("detail"))
 
 
-def word_flags(words: DataFrame, by: list[str], duration: str, silent: str, order: str = "word_index", tolerance_us: int = 1, slack_us: int = 1000) -> DataFrame:
+def word_flags(words: DataFrame, by: list[str], duration: str, silent: str, order: str = "word_index", tolerance_us: int = 1, slack_us: int = 1000, bucket: int = BUCKET_ROWS) -> DataFrame:
     """``flags`` of each word: no length, before the furthest end so far, outside the audio, silent audio; ``time_valid`` without any."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.greatest(F.lit(0), F.coalesce(F.max("end_us").over(w), F.lit(0)))
-    df = words.withColumn("reach_", reach)
+    df = running_end(words, by, [order], "end_us", "reach_", bucket).withColumn("reach_", F.greatest(F.lit(0), F.coalesce("reach_", F.lit(0))))
     flags = F.array_compact(F.array(
         F.when(F.col("end_us") <= F.col("start_us"), "non_positive_duration"),
         F.when(F.col("start_us") < F.col("reach_") - tolerance_us, "overlap_or_nonmonotonic"),
@@ -34,29 +35,30 @@ def safe_interval(start: str, end: str, duration: str, offset: Column) -> tuple[
     return clip(start), clip(end)
 
 
-def monotone_violations(points: DataFrame, by: list[str], t: str = "t", order: str = "src_idx") -> DataFrame:
+def monotone_violations(points: DataFrame, by: list[str], t: str = "t", order: str = "src_idx", bucket: int = BUCKET_ROWS) -> DataFrame:
     """Times that aren't after the one before."""
-    w = Window.partitionBy(*by).orderBy(order)
-    return points.withColumn("before_", F.lag(t).over(w)).where(F.col(t) <= F.col("before_")).drop("before_")
+    return running(points, by, [order], bucket, {"before_": ("lag", t)}).where(F.col(t) <= F.col("before_")).drop("before_")
 
 
-def continuity_violations(chunks: DataFrame, by: list[str], limit_us: int, order: str = "src_idx") -> DataFrame:
+def continuity_violations(chunks: DataFrame, by: list[str], limit_us: int, order: str = "src_idx", bucket: int = BUCKET_ROWS) -> DataFrame:
     """Chunks that begin more than ``limit_us`` off the end of the one before."""
-    w = Window.partitionBy(*by).orderBy(order)
-    return chunks.withColumn("gap_us", F.col("a") - F.lag("b").over(w)).where(F.abs("gap_us") > limit_us)
+    after = running(chunks, by, [order], bucket, {"before_": ("lag", "b")})
+    return after.withColumn("gap_us", F.col("a") - F.col("before_")).where(F.abs("gap_us") > limit_us).drop("before_")
 
 
 def rebase_time(df: DataFrame, by: list[str], t: str, other_start: str) -> DataFrame:
     """Times from the entity's origin: the earlier of its first time here and its start elsewhere."""
-    origin = F.least(F.min(t).over(Window.partitionBy(*by)), F.col(other_start))
-    return df.withColumn("origin", origin).withColumn(t, F.col(t) - F.col("origin"))
+    first = df.groupBy(*by).agg(F.min(t).alias("first_"))
+    both = df.alias("d").join(first.alias("f"), [F.col(f"d.{c}").eqNullSafe(F.col(f"f.{c}")) for c in by]).select("d.*", "f.first_")
+    return both.withColumn("origin", F.least("first_", other_start)).withColumn(t, F.col(t) - F.col("origin")).drop("first_")
 
 
-def provenance_order_violations(df: DataFrame, by: list[str], order: str = "word_index", slack: float = 1e-6) -> DataFrame:
+def provenance_order_violations(df: DataFrame, by: list[str], order: str = "word_index", slack: float = 1e-6, bucket: int = BUCKET_ROWS) -> DataFrame:
     """Words whose least, greatest or mean source goes back against the word before.  ``df``: lo, hi, centre."""
-    w = Window.partitionBy(*by).orderBy(order)
-    back = reduce(lambda x, y: x | y, (F.col(c) < F.lag(c).over(w) - slack for c in ("lo", "hi", "centre")))
-    return df.withColumn("back_", back).where("back_").drop("back_")
+    names = ("lo", "hi", "centre")
+    seen = running(df, by, [order], bucket, {f"{c}_before_": ("lag", c) for c in names})
+    back = reduce(lambda x, y: x | y, (F.col(c) < F.col(f"{c}_before_") - slack for c in names))
+    return seen.where(back).drop(*(f"{c}_before_" for c in names))
 
 
 def index_identity(df: DataFrame, by: list[str], index: str) -> DataFrame:

@@ -1,38 +1,40 @@
 """Interval and timeline algebra on BIGINT microseconds.
 
-Every function takes the columns of the entity as ``by`` and keeps entities apart, so all windows and joins are partitioned by it.
-Intervals are half-open ``[a, b)``.
+Every function takes the columns of the entity as ``by`` and keeps entities apart.  Scans and joins are dealt to buckets of the time axis
+as well (``bucket``, in microseconds), so that a long entity isn't one task.  Intervals are half-open ``[a, b)``.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running
 
-#: Width of the time buckets that interval joins are dealt to, so that a long entity isn't one task: a day.
+#: Width of the time buckets that interval joins and scans are dealt to, so that a long entity isn't one task: a day.
 BUCKET_US = 86_400_000_000
 
 
-def _before(by: list[str], *order: str):
-    return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+#: The same for scans in order of an index.
+BUCKET_ROWS = 4096
 
 
-def running_end(by: list[str], *order: str, end: str = "b") -> Column:
-    """The largest end of the rows before this one (null for the first)."""
-    return F.max(end).over(_before(by, *order))
+def running_end(df: DataFrame, by: list[str], order: list[str], end: str = "b", name: str = "reach", width: int = BUCKET_US) -> DataFrame:
+    """``df`` with the largest end of the rows before each (null for the first); a bucket takes ``width`` of the first order column."""
+    return running(df, by, order, width, {name: ("max", end, "before")})
 
 
-def merge_intervals(df: DataFrame, by: list[str], a: str = "a", b: str = "b") -> DataFrame:
-    """Maximal unions; intervals that touch merge.  Empty or reversed ones are left to ``bad_intervals``."""
-    order = [a, b]
+def merge_intervals(df: DataFrame, by: list[str], a: str = "a", b: str = "b", bucket: int = BUCKET_US) -> DataFrame:
+    """Maximal unions; intervals that touch merge.  Empty or reversed ones are left to ``bad_intervals``.
+
+    An island begins where no earlier interval reaches, and ends at the furthest end before the next one begins.
+    """
     good = df.where(F.col(b) > F.col(a)).select(*by, a, b).distinct()  # twins would begin two islands
-    island = F.sum(F.when(F.col(a) > F.col("reach_"), 1).when(F.col("reach_").isNull(), 1).otherwise(0)).over(
-        Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    marked = good.withColumn("reach_", running_end(by, *order, end=b)).withColumn("island_", island)
-    return marked.groupBy(*by, "island_").agg(F.min(a).alias(a), F.max(b).alias(b)).drop("island_")
+    seen = running(good, by, [a, b], bucket, {"reach_": ("max", b, "before"), "last_": ("max", b, "all")})
+    starts = seen.where(F.col("reach_").isNull() | (F.col(a) > F.col("reach_"))).select(*by, a, "reach_", "last_")
+    islands = running(starts, by, [a, "last_"], bucket, {"next_": ("lead", "reach_")})
+    return islands.select(*by, a, F.coalesce("next_", "last_").alias(b))
 
 
 def bad_intervals(df: DataFrame, by: list[str], a: str = "a", b: str = "b") -> DataFrame:
@@ -40,11 +42,19 @@ def bad_intervals(df: DataFrame, by: list[str], a: str = "a", b: str = "b") -> D
     return df.where(F.col(a).isNull() | F.col(b).isNull() | (F.col(b) <= F.col(a)))
 
 
-def union_length(df: DataFrame, by: list[str], a: str = "a", b: str = "b", name: str = "length") -> DataFrame:
+def novel_start(df: DataFrame, by: list[str], a: str = "a", b: str = "b", bucket: int = BUCKET_US, name: str = "novel_a") -> DataFrame:
+    """``df`` with where each interval's part begins that no interval before it covers; it ends with ``b``, and is empty if it begins there.
+
+    These parts are disjoint and make the union of all, so that what the union covers of anything is a plain sum over them.
+    """
+    reach = running_end(df, by, [a, b], b, "reach_", bucket)
+    return reach.withColumn(name, F.least(F.greatest(F.col(a), F.coalesce("reach_", F.col(a))), F.col(b))).drop("reach_")
+
+
+def union_length(df: DataFrame, by: list[str], a: str = "a", b: str = "b", name: str = "length", bucket: int = BUCKET_US) -> DataFrame:
     """Covered length by entity; rows without length count nothing."""
-    good = df.where(F.col(b) > F.col(a))
-    reach = running_end(by, a, b, end=b)
-    return good.withColumn("new_", F.greatest(F.lit(0), F.col(b) - F.greatest(F.col(a), F.coalesce(reach, F.col(a))))).groupBy(*by).agg(F.sum("new_").alias(name))
+    good = novel_start(df.where(F.col(b) > F.col(a)).select(*by, a, b), by, a, b, bucket)
+    return good.groupBy(*by).agg(F.sum(F.col(b) - F.col("novel_a")).alias(name))
 
 
 def overlap_join(targets: DataFrame, obs: DataFrame, by: list[str], bucket: int = BUCKET_US, a: str = "a", b: str = "b", s: str = "s", e: str = "e") -> DataFrame:
@@ -61,13 +71,13 @@ def overlap_join(targets: DataFrame, obs: DataFrame, by: list[str], bucket: int
     return both.drop("bucket_").withColumn("overlap", F.least(e, b) - F.greatest(s, a))
 
 
-def intersect_intervals(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+def intersect_intervals(left: DataFrame, right: DataFrame, by: list[str], bucket: int = BUCKET_US) -> DataFrame:
     """Intersection of two sets of intervals, each merged first; pieces of positive length."""
-    both = overlap_join(merge_intervals(left, by).withColumnsRenamed({"a": "s", "b": "e"}), merge_intervals(right, by), by)
+    both = overlap_join(merge_intervals(left, by, bucket=bucket).withColumnsRenamed({"a": "s", "b": "e"}), merge_intervals(right, by, bucket=bucket), by, bucket)
     return both.select(*by, F.greatest("s", "a").alias("x"), F.least("e", "b").alias("y")).withColumnsRenamed({"x": "a", "y": "b"})
 
 
-def temporal_support(targets: DataFrame, audio: DataFrame, vision: DataFrame, by: list[str]) -> DataFrame:
+def temporal_support(targets: DataFrame, audio: DataFrame, vision: DataFrame, by: list[str], bucket: int = BUCKET_US) -> DataFrame:
     """Length of the targets' union, and of its parts under audio, vision, either and both, by entity.
 
     One sweep over the ends of all intervals: how many of each kind are open from one end to the next tells what the piece counts for.
@@ -81,29 +91,33 @@ def temporal_support(targets: DataFrame, audio: DataFrame, vision: DataFrame, by
         ends = some if ends is None else ends.unionByName(some)
     # Ends at one time are one row, before the shuffle already.
     steps = ends.groupBy(*by, "t").agg(*(F.sum(k).alias(k) for k in kinds))
-    w = Window.partitionBy(*by).orderBy("t")
-    open_ = {k: F.sum(k).over(w.rowsBetween(Window.unboundedPreceding, 0)) > 0 for k in kinds}
-    pieces = steps.select(*by, (F.lead("t").over(w) - F.col("t")).alias("len_"), *(c.alias(k) for k, c in open_.items())).where("base and len_ is not null")
+    swept = running(steps, by, ["t"], bucket, {"next_": ("lead", "t")} | {f"open_{k}": ("sum", k, "upto") for k in kinds})
+    pieces = swept.select(*by, (F.col("next_") - F.col("t")).alias("len_"), *((F.col(f"open_{k}") > 0).alias(k) for k in kinds)).where("base and len_ is not null")
     under = {"total": F.lit(True), "audio": F.col("audio"), "vision": F.col("vision"), "either": F.col("audio") | F.col("vision"), "both": F.col("audio") & F.col("vision")}
     return pieces.groupBy(*by).agg(*(F.sum(F.when(c, F.col("len_")).otherwise(0)).alias(k) for k, c in under.items()))
 
 
-def make_timeline(words: DataFrame, durations: DataFrame, by: list[str], min_gap_us: int = 80_000, duration: str = "duration") -> DataFrame:
+def make_timeline(words: DataFrame, durations: DataFrame, by: list[str], min_gap_us: int = 80_000, duration: str = "duration", bucket: int = BUCKET_US) -> DataFrame:
     """All words and the gaps between the valid ones, with ``pos`` in the order (start, end, word_index).
 
     ``words`` has word_index, start_us, end_us, time_valid.  A gap is what is left between the furthest valid end so far (0 at first)
     and the next valid start, or the duration at last, where it is at least ``min_gap_us``.
     """
-    cols = [*by, "kind", "word_index", "start_us", "end_us", "time_valid"]
+    cols = [*by, "start_us", "end_us", "word_index", "kind", "time_valid"]
     valid = words.where("time_valid").select(*by, "start_us", "end_us", F.lit(0).alias("last_"))
-    ends = durations.select(*by, F.col(duration).alias("start_us"), F.lit(None).cast("long").alias("end_us"), F.lit(1).alias("last_"))
-    reach = F.greatest(F.lit(0), F.coalesce(F.max("end_us").over(_before(by, "last_", "start_us", "end_us")), F.lit(0)))
-    holes = valid.unionByName(ends).withColumn("from_", reach).where(F.col("start_us") - F.col("from_") >= min_gap_us)
+    # The duration comes after all words, wherever they begin: as what lies beyond the furthest end of all.
+    reach = running(valid, by, ["start_us", "end_us", "last_"], bucket, {"reach_": ("max", "end_us", "before")})
+    ends = valid.groupBy(*by).agg(F.max("end_us").alias("reach_"))
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by]
+    tails = durations.alias("d").join(ends.alias("e"), same, "left").select(*(F.col(f"d.{c}").alias(c) for c in by), F.col(f"d.{duration}").alias("start_us"), "reach_")
+    from_ = F.greatest(F.lit(0), F.coalesce("reach_", F.lit(0)))
+    holes = reach.select(*by, "start_us", "reach_").unionByName(tails).withColumn("from_", from_).where(F.col("start_us") - F.col("from_") >= min_gap_us)
     gaps = holes.select(
         *by, F.lit("unassigned").alias("kind"), F.lit(-1).cast("int").alias("word_index"), F.col("from_").alias("start_us"), F.col("start_us").alias("end_us"), F.lit(True).alias("time_valid")
     )
     all_ = words.select(*by, F.lit("word").alias("kind"), F.col("word_index").cast("int").alias("word_index"), "start_us", "end_us", "time_valid").unionByName(gaps).select(*cols)
-    return all_.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy("start_us", "end_us", "word_index")) - 1)
+    ranked = running(all_.withColumn("one_", F.lit(1)), by, [*cols[len(by) :], "one_"], bucket, {"pos": ("sum", "one_", "before")})
+    return ranked.select(*by, "kind", "word_index", "start_us", "end_us", "time_valid", F.coalesce("pos", F.lit(0)).cast("int").alias("pos"))
 
 
 def longest_unmapped(words: DataFrame, durations: DataFrame, by: list[str], duration: str = "duration") -> DataFrame:
@@ -113,22 +127,35 @@ def longest_unmapped(words: DataFrame, durations: DataFrame, by: list[str], dura
     return durations.select(*by).join(holes, by, "left").fillna(0, ["longest_us"])
 
 
-def sampled_support(points: DataFrame, by: list[str], low: str = "low", high: str = "high", t: str = "t") -> DataFrame:
+def sampled_support(points: DataFrame, by: list[str], low: str = "low", high: str = "high", t: str = "t", bucket: int = BUCKET_US) -> DataFrame:
     """Cells ``[a, b)`` around strictly increasing sample times: cut at midpoints, bounded by ``low`` and ``high``."""
-    w = Window.partitionBy(*by).orderBy(t)
-    mid = lambda x, y: F.floor((x + y) / 2).cast("long")
-    a = F.coalesce(mid(F.lag(t).over(w), F.col(t)), F.col(low))
-    b = F.coalesce(mid(F.col(t), F.lead(t).over(w)), F.col(high))
-    return points.withColumn("a", a).withColumn("b", b)
+    mid = lambda x, y: F.floor((F.col(x) + F.col(y)) / 2).cast("long")
+    near = running(points, by, [t], bucket, {"before_": ("lag", t), "after_": ("lead", t)})
+    return near.withColumn("a", F.coalesce(mid("before_", t), F.col(low))).withColumn("b", F.coalesce(mid(t, "after_"), F.col(high))).drop("before_", "after_")
+
+
+def exact_medians(df: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
+    """``(by, name)``: the median of whole numbers from 0 on (the two middle ones' mean, rounded down), without an entity's rows in one place.
+
+    Equal values are one row with their number.  Buckets of the value axis, 2048 for each power of two, hold a scan of these numbers, which
+    tells the ranks that each value has; the two middle ranks pick theirs.
+    """
+    values = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("long").alias("v_")).agg(F.count("*").alias("n_"))
+    power = F.floor(F.log2(F.greatest(F.col("v_"), F.lit(1)))).cast("int")
+    bucket = power * 4096 + F.expr("v_ div shiftleft(1L, greatest(cast(floor(log2(greatest(v_, 1L))) as int) - 11, 0))")
+    ranked = running(values, by, ["v_"], bucket, {"before_": ("sum", "n_", "before"), "all_": ("sum", "n_", "all")}).withColumn("before_", F.coalesce("before_", F.lit(0)))
+    holds = lambda rank: F.max(F.when((F.col("before_") <= rank) & (rank < F.col("before_") + F.col("n_")), F.col("v_")))
+    middle = ranked.groupBy(*by).agg(holds(F.floor((F.col("all_") - 1) / 2)).alias("low_"), holds(F.floor(F.col("all_") / 2)).alias("high_"))
+    return middle.select(*by, F.floor((F.col("low_") + F.col("high_")) / 2).cast("long").alias(name))
 
 
-def frame_intervals(points: DataFrame, by: list[str], t: str = "t", own: str | None = None) -> DataFrame:
+def frame_intervals(points: DataFrame, by: list[str], t: str = "t", own: str | None = None, bucket: int = BUCKET_US) -> DataFrame:
     """``[t, next t)``; the last one takes its own duration, or the entity's median step."""
-    w = Window.partitionBy(*by).orderBy(t)
-    stepped = points.withColumn("next_", F.lead(t).over(w)).withColumn("step_", F.col("next_") - F.col(t))
-    median = F.median("step_").over(Window.partitionBy(*by)).cast("long")
-    last = F.coalesce(F.col(own), median) if own else median
-    return stepped.withColumn("a", F.col(t)).withColumn("b", F.coalesce("next_", F.col(t) + F.coalesce(last, F.lit(0)))).drop("next_", "step_")
+    stepped = running(points, by, [t], bucket, {"next_": ("lead", t)})
+    medians = exact_medians(stepped.withColumn("step_", F.col("next_") - F.col(t)), by, "step_", "median_")
+    out = stepped.alias("p").join(medians.alias("m"), [F.col(f"p.{c}").eqNullSafe(F.col(f"m.{c}")) for c in by], "left").select("p.*", "m.median_")
+    last = F.coalesce(F.col(own), "median_") if own else F.col("median_")
+    return out.withColumn("a", F.col(t)).withColumn("b", F.coalesce("next_", F.col(t) + F.coalesce(last, F.lit(0)))).drop("next_", "median_")
 
 
 def pair_coverage(targets: DataFrame, pairs: DataFrame, ids: list[str]) -> DataFrame:

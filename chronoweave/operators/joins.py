@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import overlap_join
+from .intervals import BUCKET_US, overlap_join
 from .pooling import BUCKET_CHARS
+from .scan import running
 
 
 def select_samples(df: DataFrame, ids: DataFrame, key: str, limit: int | None = None) -> DataFrame:
@@ -49,19 +50,19 @@ def exclusion_violations(rules: DataFrame, hashes: DataFrame, key: str) -> DataF
     return twice.unionByName(other)
 
 
-def nearest(queries: DataFrame, points: DataFrame, by: list[str], when: str = "when", t: str = "t", value: str = "value") -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, by: list[str], when: str = "when", t: str = "t", value: str = "value", bucket: int = BUCKET_US) -> DataFrame:
     """The point nearest in time to each query, the earlier on a tie; no pairs are made.
 
-    Points and queries are merged in time order, so each query sees the last point before and the first one after it.
+    Points and queries are merged in time order, so each query sees the last point before and the first one after it, also where these
+    lie in other buckets of the time axis.  The cost is that of sorting.
     """
-    q = queries.withColumn("at_", F.col(when)).withColumn("q_", F.lit(1)).withColumn("p_", F.lit(None).cast("struct<t:bigint,value:double>"))
+    q = queries.withColumn("at_", F.col(when).cast("long")).withColumn("q_", F.lit(1)).withColumn("p_", F.lit(None).cast("struct<t:bigint,value:double>"))
     p = points.groupBy(*by, t).agg(F.first(value).alias(value)).select(
-        *by, *(F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in queries.columns if c not in by), F.col(t).alias("at_"), F.lit(0).alias("q_"), F.struct(F.col(t).cast("long").alias("t"), F.col(value).cast("double").alias("value")).alias("p_")
-    )
-    w = Window.partitionBy(*by).orderBy("at_", "q_")
-    both = q.unionByName(p)
-    both = both.withColumn("before_", F.last("p_", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after_", F.first("p_", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    both = both.where("q_ = 1")
+        *by, *(F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in queries.columns if c not in by), F.col(t).cast("long").alias("at_"), F.lit(0).alias("q_"),
+        F.struct(F.col(t).cast("long").alias("t"), F.col(value).cast("double").alias("value")).alias("p_"),
+    )
+    # Points come in order of time, so the last one before is the greatest, the first one after the least.
+    both = running(q.unionByName(p), by, ["at_", "q_"], bucket, {"before_": ("max", "p_", "before"), "after_": ("min", "p_", "after")}).where("q_ = 1")
     near = F.when(F.col("after_").isNull() | (F.col("before_").isNotNull() & (F.col("at_") - F.col("before_.t") <= F.col("after_.t") - F.col("at_"))), F.col("before_")).otherwise(F.col("after_"))
     return both.withColumn("near_", near).select(*queries.columns, F.col("near_.t").alias("near_t"), F.col("near_.value").alias("near_value"))
 

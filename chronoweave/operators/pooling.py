@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import BUCKET_US, overlap_join, pair_coverage
+from .intervals import BUCKET_ROWS, BUCKET_US, overlap_join, pair_coverage
+from .scan import running
 
 #: The largest finite half-precision number.
 HALF_MAX = 65504.0
@@ -139,12 +140,11 @@ def pad_batch(df: DataFrame, by: list[str], arrays: dict[str, object]) -> DataFr
     return out.drop(*(f"longest_{c}_" for c in arrays))
 
 
-def csr_offsets(df: DataFrame, by: list[str], order: str, items: str) -> DataFrame:
+def csr_offsets(df: DataFrame, by: list[str], order: str, items: str, bucket: int = BUCKET_ROWS) -> DataFrame:
     """``(by, order, from_offset, end_offset)``: where each position's items lie among its entity's, by a running sum."""
     n = F.greatest(F.coalesce(F.size(items), F.lit(0)), F.lit(0))
-    w = Window.partitionBy(*by).orderBy(order)
-    rows = df.select(*by, order, n.alias("n_")).withColumn("end_offset", F.sum("n_").over(w).cast("int"))
-    return rows.select(*by, order, (F.col("end_offset") - F.col("n_")).cast("int").alias("from_offset"), "end_offset")
+    rows = running(df.select(*by, order, n.alias("n_")), by, [order], bucket, {"end_": ("sum", "n_", "upto")})
+    return rows.select(*by, order, (F.col("end_") - F.col("n_")).cast("int").alias("from_offset"), F.col("end_").cast("int").alias("end_offset"))
 
 
 def csr_entries(df: DataFrame, by: list[str], order: str, items: str) -> DataFrame:

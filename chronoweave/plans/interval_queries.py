@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fusion
-from ..operators import audit, intervals, joins, metrics, pooling
+from ..operators import audit, intervals, joins, metrics, pooling, scan
 from .registry import query
 from .views import GAP_US, view
 
@@ -253,14 +253,13 @@ def a10(spark, d):
 
 @query("w1_running_end", "SELECT user_id, word_index, max(end_us) OVER (PARTITION BY user_id ORDER BY word_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM words_v")
 def w1(spark, d):
-    return words(spark, d).select("user_id", "word_index", intervals.running_end(U, "word_index", end="end_us").alias("reach"))
+    return intervals.running_end(words(spark, d).select("user_id", "word_index", "end_us"), U, ["word_index"], "end_us", width=intervals.BUCKET_ROWS).select("user_id", "word_index", "reach")
 
 
 @query("w3_running_count", TIMELINE + " SELECT user_id, pos, count(*) FILTER (WHERE kind = 'word') OVER (PARTITION BY user_id ORDER BY pos) AS words FROM timeline")
 def w3(spark, d):
-    from pyspark.sql import Window
-
-    return timeline(spark, d).select("user_id", "pos", F.count_if(F.col("kind") == "word").over(Window.partitionBy("user_id").orderBy("pos")).alias("words"))
+    flagged = timeline(spark, d).select("user_id", "pos", (F.col("kind") == "word").cast("long").alias("word"))
+    return scan.running(flagged, U, ["pos"], intervals.BUCKET_ROWS, {"words": ("sum", "word", "upto")}).select("user_id", "pos", "words")
 
 
 @query("w5_provenance_order", "w AS (SELECT user_id, word_index, start_us AS lo, lag(start_us) OVER (PARTITION BY user_id ORDER BY word_index) AS lo_before, end_us, lag(end_us) OVER (PARTITION BY user_id ORDER BY word_index) AS hi_before FROM words_v) SELECT user_id, word_index FROM w WHERE lo < lo_before OR end_us < hi_before OR (lo + end_us) / 2 < (lo_before + hi_before) / 2 - 0.000001")
