@@ -11,7 +11,7 @@ from .intervals import BUCKET_ROWS, running_end
 from .scan import running
 
 
-def violations(df: DataFrame, key: list[str], checks: dict[str, Column], detail: Column) -> DataFrame:
+def violations(df: DataFrame, key: list[str | Column], checks: dict[str, Column], detail: Column) -> DataFrame:
     """A row for each row and check that is true; one scan for all checks."""
     failed = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in checks.items())))
     return df.select(*key, F.explode(failed).alias("check_id"), detail.cast("string").alias("detail"))
@@ -67,18 +67,6 @@ def index_identity(df: DataFrame, by: list[str], index: str) -> DataFrame:
     return s.where((F.col("lo") != 0) | (F.col("hi") != F.col("n") - 1) | (F.col("n") != F.col("distinct_n")))
 
 
-def mapping_violations(exported: DataFrame, rebuilt: DataFrame, ids: list[str], columns: list[str], tolerance: float = 2e-6) -> DataFrame:
-    """Exported statistics against those rebuilt from raw rows: missing, unexpected or different."""
-    e = exported.select(*ids, *(F.col(c).alias(f"e_{c}") for c in columns), F.lit(True).alias("in_e"))
-    r = rebuilt.select(*ids, *(F.col(c).alias(f"r_{c}") for c in columns), F.lit(True).alias("in_r"))
-    both = e.join(r, ids, "full_outer")
-    checks = {"missing": F.col("in_e").isNull(), "unexpected": F.col("in_r").isNull()}
-    for c in columns:
-        a, b = F.col(f"e_{c}"), F.col(f"r_{c}")
-        checks[f"different_{c}"] = F.col("in_e") & F.col("in_r") & ((a.isNull() != b.isNull()) | (F.abs(a - b) > tolerance))
-    return violations(both, ids, checks, F.lit(""))
-
-
 def sample_status(samples: DataFrame, found: DataFrame, key: list[str], done: str = "done") -> DataFrame:
     """``ok``, ``invalid`` or ``pending`` for each sample, with the number of its violations."""
     n = found.groupBy(*key).agg(F.count("*").alias("violations"))

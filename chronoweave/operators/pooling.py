@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import BUCKET_ROWS, BUCKET_US, overlap_join, pair_coverage
+from .intervals import BUCKET_ROWS, BUCKET_US, novel_start, overlap_join
 from .scan import running
+from .vectors import vector_moments
 
 #: The largest finite half-precision number.
 HALF_MAX = 65504.0
@@ -23,9 +24,8 @@ def valid_observation(features: str, a: str, b: str, q: str) -> Column:
     return F.coalesce(F.forall(features, finite) & (F.col(b) > F.col(a)) & finite(F.col(q)) & (F.col(q) > 0), F.lit(False))
 
 
-def _in_order(c: str) -> Column:
-    """Values by dimension as one array; a group has one row for each dimension."""
-    return F.transform(F.array_sort(F.collect_list(F.struct("dim", c))), lambda x: x[c])
+def _deviation(m2: Column, weight: Column) -> Column:
+    return F.transform(m2, lambda x: F.sqrt(F.greatest(F.lit(0.0), x / weight)))
 
 
 def interval_pool(
@@ -34,21 +34,19 @@ def interval_pool(
     """Mean and population deviation of each feature over each target, weighted by overlap times quality.
 
     Returns a row for each target: ``mean``, ``std`` (arrays), ``mask``, ``coverage`` and ``provenance`` (sources and their weights, in
-    source order).  Masked targets have null arrays.  Deviations are taken around the mean in a second pass.
+    source order).  Masked targets have null arrays.  Observations know which part of them none before covers, so a target's coverage is
+    a sum; so one join and one aggregate of whole vectors tell all.
     """
-    good = obs.where(valid_observation(features, "a", "b", q))
+    good = novel_start(obs.where(valid_observation(features, "a", "b", q)).select(*by, "a", "b", src, q, features), by, bucket=bucket)
     ids = [*by, *key]
-    pairs = overlap_join(targets.select(*ids, "s", "e"), good.select(*by, "a", "b", src, q, features), by, bucket).withColumn("w_", F.col("overlap") * F.col(q))
-    each = pairs.select(*ids, "w_", F.posexplode(features).alias("dim", "x"))
-    means = each.groupBy(*ids, "dim").agg((F.sum(F.col("w_") * F.col("x")) / F.sum("w_")).alias("mu"))
-    around = each.join(means, [*ids, "dim"]).groupBy(*ids, "dim").agg(
-        F.first("mu").alias("mu"), F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("w_") * (F.col("x") - F.col("mu")) ** 2) / F.sum("w_"))).alias("sd")
-    )
-    stats = around.groupBy(*ids).agg(_in_order("mu").alias("mean"), _in_order("sd").alias("std"))
-    total = F.sum("w_").over(Window.partitionBy(*ids))
-    prov = pairs.select(*ids, src, (F.col("w_") / total).alias("weight")).groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct(F.col(src).alias("src"), "weight"))).alias("provenance"))
-    out = pair_coverage(targets, pairs, ids).join(stats, ids, "left").join(prov, ids, "left")
-    return out.withColumn("mask", F.col("mean").isNotNull())
+    pairs = overlap_join(targets.select(*ids, "s", "e"), good, by, bucket)
+    pairs = pairs.select(*ids, features, (F.col("overlap") * F.col(q)).cast("double").alias("w_"), F.greatest(F.lit(0), F.least("e", "b") - F.greatest("s", "novel_a")).alias("covered_"), F.col(src).alias("src_"))
+    pairs = pairs.withColumn("own_", F.col("w_"))
+    stats = vector_moments(pairs, ids, features, "w_", ("covered_",), ("src_", "own_"))
+    weights = F.array_sort(F.transform(F.arrays_zip("src_", "own_"), lambda x: F.struct(x["src_"].alias("src"), (x["own_"] / F.col("weight")).alias("weight"))))
+    told = stats.select(*ids, F.col("mean"), _deviation(F.col("m2"), F.col("weight")).alias("std"), weights.alias("provenance"), "covered_")
+    out = targets.join(told, ids, "left").withColumn("coverage", F.when(F.col("e") > F.col("s"), F.coalesce("covered_", F.lit(0.0)) / (F.col("e") - F.col("s"))).otherwise(F.lit(0.0)))
+    return out.drop("covered_").withColumn("mask", F.col("mean").isNotNull())
 
 
 def concat_stats(mean: str, std: str) -> Column:
@@ -61,14 +59,10 @@ def pool_tokens(tokens: DataFrame, words: DataFrame, by: list[str], features: st
 
     ``tokens``: token_idx, char_a, char_b, attention, features; ``words``: word_index, a, b.
     """
-    pairs = char_span_join(tokens, words, by)
-    each = pairs.select(*by, "word_index", "token_idx", F.posexplode(features).alias("dim", "x"))
-    dims = each.groupBy(*by, "word_index", "dim").agg(F.avg("x").alias("mu"), F.bool_and(finite(F.col("x"))).alias("ok"))
-    pooled = dims.groupBy(*by, "word_index").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "mu"))), lambda x: x["mu"]).alias("pooled"), F.bool_and("ok").alias("valid")
-    )
-    members = pairs.groupBy(*by, "word_index").agg(F.array_sort(F.collect_list("token_idx")).alias("members"))
-    out = words.select(*by, "word_index").join(pooled, [*by, "word_index"], "left").join(members, [*by, "word_index"], "left")
+    pairs = char_span_join(tokens, words, by).withColumn("one_", F.lit(1.0)).withColumn("bad_", F.when(F.forall(features, finite), 0).otherwise(1))
+    stats = vector_moments(pairs, [*by, "word_index"], features, "one_", ("bad_",), ("token_idx",))
+    told = stats.select(*by, "word_index", F.col("mean").alias("pooled"), (F.col("bad_") == 0).alias("valid"), F.array_sort("token_idx").alias("members"))
+    out = words.select(*by, "word_index").join(told, [*by, "word_index"], "left")
     return out.withColumn("valid", F.coalesce("valid", F.lit(False))).withColumn("pooled", F.when(F.col("valid"), F.col("pooled")))
 
 
@@ -93,32 +87,33 @@ def duration_pool(positions: DataFrame, by: list[str], value: str, weight: str |
     return positions.groupBy(*by).agg((F.sum(w * F.col(value)) / F.nullif(F.sum(w), F.lit(0))).alias(name))
 
 
-def _by_dimension(df: DataFrame, value: str) -> DataFrame:
-    """A row for each dimension of an array column, or the rows as they are with dimension 0."""
-    if df.schema[value].dataType.typeName() == "array":
-        return df.select("*", F.posexplode(value).alias("dim", "x_"))
-    return df.withColumn("dim", F.lit(0)).withColumn("x_", F.col(value))
+def _as_array(df: DataFrame, value: str) -> tuple[DataFrame, bool]:
+    """``value_`` as an array of numbers, and whether it was one."""
+    is_array = df.schema[value].dataType.typeName() == "array"
+    return df.withColumn("value_", F.col(value) if is_array else F.array(value)), is_array
 
 
 def moments(df: DataFrame, by: list[str], value: str, mask: str) -> DataFrame:
     """Mean, deviation (with 1e-8 added to the variance) and share present of masked values; sums are over at least one.
 
-    Of an array column, mean and deviation are arrays, dimension by dimension.
+    Of an array column, mean and deviation are arrays, dimension by dimension; empty where nothing is present.
     """
-    each, n = _by_dimension(df, value), F.greatest(F.count_if(F.col(mask)), F.lit(1))
-    mean = F.coalesce(F.sum(F.when(F.col(mask), F.col("x_"))), F.lit(0.0)) / n
-    first = each.groupBy(*by, "dim").agg(mean.alias("mean_"), (F.count_if(F.col(mask)) / F.count("*")).alias("present"))
-    out = each.join(first, [*by, "dim"]).groupBy(*by, "dim").agg(
-        F.first("mean_").alias("mean"), F.first("present").alias("present"), F.sqrt(F.coalesce(F.sum(F.when(F.col(mask), (F.col("x_") - F.col("mean_")) ** 2)), F.lit(0.0)) / n + 1e-8).alias("std")
-    )
-    if df.schema[value].dataType.typeName() == "array":
-        return out.groupBy(*by).agg(_in_order("mean").alias("mean"), _in_order("std").alias("std"), F.first("present").alias("present"))
-    return out.select(*by, "mean", "std", "present")
+    rows, is_array = _as_array(df, value)
+    rows = rows.withColumns({"on_": F.coalesce(F.col(mask), F.lit(False)).cast("double"), "rows_": F.lit(1.0)})
+    s = vector_moments(rows, by, "value_", "on_", ("rows_",))
+    n = F.greatest(F.col("weight"), F.lit(1.0))
+    mean, std = F.col("mean"), F.transform("m2", lambda x: F.sqrt(x / n + 1e-8))
+    if not is_array:
+        mean, std = F.coalesce(F.get(mean, F.lit(0)), F.lit(0.0)), F.coalesce(F.get(std, F.lit(0)), F.sqrt(F.lit(1e-8)))
+    return s.select(*by, mean.alias("mean"), std.alias("std"), (F.col("weight") / F.col("rows_")).alias("present"))
 
 
 def fit_observed_stats(df: DataFrame, train: Column, value: str, mask: str, floor: float = 1e-5) -> DataFrame:
     """``(dim, mu, sd)``: mean and population deviation, at least ``floor``, of each dimension over the observed training rows."""
-    return _by_dimension(df.where(train & F.col(mask)), value).groupBy("dim").agg(F.avg("x_").alias("mu"), F.greatest(F.stddev_pop("x_"), F.lit(floor)).alias("sd"))
+    rows, _ = _as_array(df.where(train & F.col(mask)), value)
+    s = vector_moments(rows.withColumn("one_", F.lit(1.0)), [], "value_", "one_")  # one row
+    each = s.select("weight", F.posexplode(F.arrays_zip("mean", "m2")).alias("dim", "x_"))
+    return each.select("dim", F.col("x_.mean").alias("mu"), F.greatest(F.sqrt(F.col("x_.m2") / F.col("weight")), F.lit(floor)).alias("sd"))
 
 
 def standardise(df: DataFrame, stats: DataFrame, value: str, mask: str, clip: float = 8.0) -> DataFrame:

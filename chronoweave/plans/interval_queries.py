@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fusion
-from ..operators import audit, intervals, joins, metrics, pooling, scan
+from ..sources import written
+from ..operators import audit, intervals, joins, mapping, metrics, pooling, scan
 from .registry import query
 from .views import GAP_US, view
 
@@ -359,11 +360,41 @@ def j12(spark, d):
     return out.select("user_id", "word_index", "near_t", r6("near_value").alias("near_value"))
 
 
-@query("q1_check_mapping", POOLED + " SELECT user_id, CAST(pos AS INT) AS pos, 'different_mean' AS check_id FROM mu WHERE pos % 7 = 0")
+def faulty_export(spark, d):
+    """What ``interval_pool`` gives as an export, with a fault of each kind at some places."""
+    rebuilt = written(pooled(spark, d).select("user_id", "pos", "mean", "std", "mask", "coverage", "provenance"), "export")
+    k, pos = F.col("pos") % 12, F.col("pos")
+    windows = view(spark, d, "audio_v").select("user_id", "src_idx", "a", (F.col("b") + F.when(F.col("src_idx") % 11 == 3, 1).otherwise(0)).alias("b"))
+    true = rebuilt.select("user_id", "pos", F.posexplode("provenance").alias("i", "p")).where((k != 2) | (F.col("i") > 0))
+    weight = F.when(k == 6, -F.col("p.weight")).when(k == 8, F.col("p.weight") + 0.01).otherwise(F.col("p.weight"))
+    made_up = rebuilt.where((k == 4) | (k == 10) & ~F.col("mask")).select("user_id", "pos", F.when(k == 4, 1_000_000).otherwise(0).alias("src"), F.lit(1.0).alias("weight"))
+    entries = true.select("user_id", "pos", "p.src", weight.alias("weight")).unionByName(made_up)
+    lists = rebuilt.select("user_id", "pos").join(entries.groupBy("user_id", "pos").agg(F.collect_list("src").alias("list")), ["user_id", "pos"], "left")
+    offsets = pooling.csr_offsets(lists, U, "pos", "list").withColumn("end_offset", F.col("end_offset") + F.when(pos % 13 == 5, 1).otherwise(0))
+    more = lambda c, at, by: F.when(at, F.transform(c, lambda x: x + by)).otherwise(F.col(c)).alias(c)
+    stats = rebuilt.select(
+        "user_id", "pos", more("mean", pos % 7 == 0, 1), more("std", pos % 11 == 1, 0.5), F.when(pos % 29 == 8, ~F.col("mask")).otherwise(F.col("mask")).alias("mask"),
+        F.when(pos % 31 == 9, F.col("coverage") + 0.5).otherwise(F.col("coverage")).alias("coverage"),
+    )
+    return windows, offsets, entries, stats
+
+
+@query("q1_check_mapping", POOLED + """, hs AS (SELECT DISTINCT user_id, pos FROM pairs), au AS (SELECT DISTINCT user_id FROM audio_v), al AS (
+    SELECT user_id, src_idx AS place, 'window_changed' AS check_id FROM audio_v WHERE src_idx % 11 = 3
+    UNION ALL SELECT user_id, pos, 'offsets' FROM timeline WHERE pos % 13 = 5
+    UNION ALL SELECT user_id, pos, 'lost_source' FROM hs WHERE pos % 12 = 2
+    UNION ALL SELECT user_id, pos, 'index_range' FROM timeline WHERE pos % 12 = 4
+    UNION ALL SELECT user_id, pos, 'bad_weight' FROM pairs WHERE pos % 12 = 6
+    UNION ALL SELECT user_id, pos, 'different_weight' FROM pairs WHERE pos % 12 IN (6, 8)
+    UNION ALL SELECT t.user_id, t.pos, CASE WHEN au.user_id IS NULL THEN 'index_range' ELSE 'foreign_source' END FROM timeline t LEFT JOIN au ON au.user_id = t.user_id
+      WHERE t.pos % 12 = 10 AND NOT EXISTS (SELECT 1 FROM hs s WHERE s.user_id = t.user_id AND s.pos = t.pos)
+    UNION ALL SELECT user_id, pos, 'different_mean' FROM mu WHERE pos % 7 = 0
+    UNION ALL SELECT user_id, pos, 'different_std' FROM sd WHERE pos % 11 = 1
+    UNION ALL SELECT user_id, pos, 'different_mask' FROM timeline WHERE pos % 29 = 8
+    UNION ALL SELECT user_id, pos, 'different_coverage' FROM timeline WHERE pos % 31 = 9) SELECT user_id, CAST(place AS BIGINT) AS place, check_id FROM al""")
 def q1(spark, d):
-    rebuilt = pooled(spark, d).where("mask").select("user_id", "pos", F.get("mean", F.lit(0)).alias("mean"))
-    exported = rebuilt.withColumn("mean", F.when(F.col("pos") % 7 == 0, F.col("mean") + 1).otherwise(F.col("mean")))  # a fault in every seventh
-    return audit.mapping_violations(exported, rebuilt, ["user_id", "pos"], ["mean"]).select("user_id", "pos", "check_id")
+    obs = view(spark, d, "audio_v").withColumn("features", F.array("x"))
+    return mapping.check_mapping(*faulty_export(spark, d), targets(spark, d).select("user_id", "pos", "s", "e"), obs, U)
 
 
 @query("q2_check_sample", "SELECT user_id, word_index, CASE WHEN f_pos THEN 'no_length' END AS check_id FROM words_v WHERE f_pos UNION ALL SELECT user_id, word_index, 'late' FROM words_v WHERE end_us > duration UNION ALL SELECT user_id, word_index, 'silent' FROM words_v WHERE silent")
