@@ -430,23 +430,24 @@ def neighbours(h: np.ndarray, percent: int, hot: np.ndarray) -> tuple[list[tuple
     return out, whole
 
 
-_NEAR = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("member", pa.int64())])
+_NEAR = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("member", pa.int64()), ("label", pa.int64())])
 FULL, DELETED, BOUND = 0, 1, 2
 
 
 def _neighbour_rows(percent: int):
-    """Rows (kind, key, member) of whole and of shortened segments, and a row for each set that must be held against its buckets."""
+    """Rows (kind, key, member, label) of whole and of shortened segments, and a row for each set that must be held against its buckets."""
 
     def run(batches):
         for b in sliced(batches, SLICE_ROWS, 1):
-            kinds, keys, members = [], [], []
+            kinds, keys, members, labels = [], [], [], []
 
             def told(kind: int, some: np.ndarray, member: int):
                 kinds.append(np.full(len(some), kind, dtype=np.int32))
                 keys.append(some.view(np.int64))
                 members.append(np.full(len(some), member, dtype=np.int64))
+                labels.append(np.full(len(some), label, dtype=np.int64))
 
-            for cls, raw, hot in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for cls, raw, hot, label in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 by_band, whole = neighbours(np.frombuffer(raw, dtype=np.uint64), percent, np.array(hot, dtype=np.int64).view(np.uint64))
                 for is_owner, full, shorter in by_band:
                     told(FULL, full, cls | is_owner)
@@ -454,7 +455,7 @@ def _neighbour_rows(percent: int):
                 if not whole:
                     told(BOUND, np.zeros(1, dtype=np.uint64), cls)
             if kinds:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kinds, keys, members)], schema=_NEAR)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kinds, keys, members, labels)], schema=_NEAR)
 
     return run
 
@@ -550,13 +551,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     own_hot = written(hot.groupBy("cls").agg(F.collect_set("key").alias("hot")), "hot")
     tied = None
     if not own_hot.isEmpty():
-        near = written(sets.join(own_hot, "cls").select("cls", "elements", "hot").mapInArrow(_neighbour_rows(percent), "kind int, key long, member long"), "neighbours")
-        whole = near.where(F.col("kind") == FULL).select("key", cls.alias("u"), owner.alias("owner_u"))
-        shorter = near.where(F.col("kind") == DELETED).select("key", cls.alias("v"), owner.alias("owner_v"))
-        met = shorter.join(whole, "key").where("(owner_u or owner_v) and u <> v").select("u", "v").distinct()
-        for c in ("u", "v"):
-            met = met.join(labels.toDF(c, f"label_{c}"), c, "left").withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
-        links = links.union(checked(met.where("label_u <> label_v").select("u", "v")))
+        labelled = sets.join(own_hot, "cls").join(labels, "cls", "left").select("cls", "elements", "hot", F.coalesce("label", "cls").alias("label"))
+        near = written(labelled.mapInArrow(_neighbour_rows(percent), "kind int, key long, member long, label long"), "neighbours")
+        # Of a pair of two components, one set at least stands beside the key's largest component; a key that lies in one component makes none.
+        of_label = near.where(F.col("kind") != BOUND).groupBy("key", "label").agg(F.count("*").alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high"))
+        of_key = of_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("labels"), F.min("low").alias("low"), F.max("high").alias("high"))
+        several = of_key.where((F.col("labels") > 1) & (F.col("low") == FULL) & (F.col("high") == DELETED)).select("key", "top")
+        mixed = written(near.where(F.col("kind") != BOUND).join(several, "key").withColumn("beside", F.col("label") != F.col("top")).drop("top"), "mixed")
+        side = lambda kind, name: mixed.where(F.col("kind") == kind).select("key", cls.alias(name), owner.alias(f"owner_{name}"), F.col("label").alias(f"label_{name}"), F.col("beside").alias(f"beside_{name}"))
+        whole, shorter = side(FULL, "u"), side(DELETED, "v")
+        apart = "(owner_u or owner_v) and label_u <> label_v"
+        met = shorter.where("beside_v").join(whole, "key").where(apart).union(shorter.where("not beside_v").join(whole.where("beside_u"), "key").select(*shorter.columns, *whole.columns[1:]).where(apart))
+        links = links.union(checked(met.select("u", "v").distinct()))
         bound = written(near.where(F.col("kind") == BOUND).select(cls).distinct().withColumn("tied", F.lit(True)), "bound")
         if not bound.isEmpty():
             tied = rest.where("hot").join(bound, "cls", "left").withColumn("bound", F.coalesce("tied", F.lit(False))).drop("tied")
