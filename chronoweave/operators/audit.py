@@ -84,6 +84,41 @@ def prediction_checks(p0: str, p1: str, p2: str, cls: str, intensity: str) -> di
     }
 
 
+def prediction_file_violations(preds: DataFrame, expected: DataFrame, key: list[str]) -> DataFrame:
+    """``(key, check_id)``: ids that come more than once, are missing, or were not asked for."""
+    n = preds.groupBy(*key).agg(F.count("*").alias("n_"))
+    both = n.join(expected.select(*key).distinct().withColumn("asked_", F.lit(True)), key, "full_outer")
+    checks = {"repeated_id": F.col("n_") > 1, "missing_id": F.col("n_").isNull(), "unexpected_id": F.col("asked_").isNull()}
+    return violations(both, key, checks, F.lit(None)).drop("detail")
+
+
+def window_count_violations(explained: DataFrame, evidence: DataFrame, by: list[str], windows: str = "n_windows") -> DataFrame:
+    """``(by, check_id)``: samples whose number of windows isn't that of their evidence rows."""
+    n = evidence.groupBy(*by).agg(F.count("*").alias("n_"))
+    both = explained.select(*by, F.col(windows).alias("told_")).join(n, by, "full_outer")
+    return violations(both, by, {"window_rows": F.coalesce("told_", F.lit(0)) != F.coalesce("n_", F.lit(0))}, F.lit(None)).drop("detail")
+
+
+def availability_violations(rows: DataFrame, told: DataFrame, by: list[str], flag: str) -> DataFrame:
+    """``(by, check_id)``: samples whose row says otherwise than the input's audit whether a modality is there."""
+    both = rows.select(*by, F.col(flag).alias("row_")).join(told.select(*by, F.col(flag).alias("audit_")), by, "full_outer")
+    return violations(both, by, {"availability": ~F.col("row_").eqNullSafe(F.col("audit_"))}, F.lit(None)).drop("detail")
+
+
+def validation_totals(status: DataFrame, seconds: str, longest: str) -> DataFrame:
+    """One row: samples expected and complete, summed seconds of the complete ones, and their longest hole."""
+    ok = F.col("status") == "ok"
+    return status.agg(
+        F.count("*").alias("expected"), F.count_if(ok).alias("complete"), F.coalesce(F.sum(F.when(ok, F.col(seconds))), F.lit(0)).alias("seconds"), F.coalesce(F.max(F.when(ok, F.col(longest))), F.lit(0)).alias("longest")
+    )
+
+
+def validation_lists(status: DataFrame, key: str, flags: dict[str, Column]) -> DataFrame:
+    """``(list, key)``: the samples of each named list, and of ``incomplete``, as rows, since a list may be as long as the table."""
+    named = F.array_compact(F.array(F.when(F.col("status") != "ok", "incomplete"), *(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in flags.items())))
+    return status.select(F.explode(named).alias("list"), key)
+
+
 def explanation_checks() -> dict[str, Column]:
     """Contributions add up to full minus base, shares to 1."""
     total = F.col("class_t") + F.col("class_a") + F.col("class_v")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import ranked as ranked_rows
+
 
 def ratio(a: Column, b: Column) -> Column:
     """Sum over sum; null where the denominator is 0."""
@@ -84,6 +86,23 @@ def loss_report(df: DataFrame, by: list[str], prob: str, r: str, pred: str, weig
     return df.groupBy(*by).agg(ce.alias("cross_entropy"), huber.alias("huber"), (weights[0] * ce + weights[1] * huber).alias("loss"))
 
 
+def scenario_means(rows: DataFrame, by: list[str], values: tuple[str, ...] = ("accuracy", "macro_f1", "mae")) -> DataFrame:
+    """Plain means of the metrics over scenarios: by kind, or by modality and rate as a curve."""
+    return rows.groupBy(*by).agg(*(F.avg(v).alias(v) for v in values), F.count("*").alias("scenarios"))
+
+
+def robust_versus_baseline(rows: DataFrame, complete: str = "complete", value: str = "macro_f1", kind: str = "kind", model: str = "model") -> DataFrame:
+    """For each model the metric on whole input, its mean over the masked scenarios, and what masking costs."""
+    masked, whole = F.avg(F.when(F.col(kind) != complete, F.col(value))), F.avg(F.when(F.col(kind) == complete, F.col(value)))
+    return rows.groupBy(model).agg(whole.alias("complete"), masked.alias("masked"), (whole - masked).alias("lost"))
+
+
+def auxiliary_loss(df: DataFrame, by: list[str], parts: list[tuple[str, str]]) -> DataFrame:
+    """``aux``: the sum over modalities of the mean cross entropy where the modality is there; ``parts``: (probability of the true class, mask)."""
+    each = (F.coalesce(F.avg(F.when(F.col(mask), -F.log(F.col(prob)))), F.lit(0.0)) for prob, mask in parts)
+    return df.groupBy(*by).agg(reduce(lambda x, y: x + y, each).alias("aux"))
+
+
 def fold_mean_sd(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
 
@@ -91,22 +110,13 @@ def fold_mean_sd(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 0) -> DataFrame:
     """``(group, fold)``: groups whole in one fold, dealt in a snake by how unevenly their labels fall, then size and hash.
 
-    A group's rank is counted in three steps, so that no task sorts all groups: places before its spread and size (a table of the
-    distinct ones), before the first digits of its hash, and within these.
+    Ranks come from ranges of groups, so that no task sorts all of them.
     """
     counts = df.groupBy(group, label).agg(F.count("*").alias("n"))
     spread = counts.groupBy(group).agg(F.round(F.stddev_pop("n"), 9).alias("spread"), F.sum("n").alias("size")).withColumn("hash_", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group))))
-    spread = spread.withColumn("digits_", F.substring("hash_", 1, 3))
-    parts = spread.groupBy("spread", "size", "digits_").agg(F.count("*").alias("n_"))
-    kinds = parts.groupBy("spread", "size").agg(F.sum("n_").alias("n_"))
-    before = lambda w: F.coalesce(F.sum("n_").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # Kinds are as few as there are sizes of groups; a constant partition says so.
-    kinds = kinds.withColumn("one_", F.lit(0)).select("spread", "size", before(Window.partitionBy("one_").orderBy(F.desc("spread"), F.desc("size"))).alias("kinds_"))
-    parts = parts.select("spread", "size", "digits_", before(Window.partitionBy("spread", "size").orderBy("digits_")).alias("parts_"))
-    within = F.row_number().over(Window.partitionBy("spread", "size", "digits_").orderBy("hash_", group)) - 1
-    ranked = spread.withColumn("within_", within).join(kinds, ["spread", "size"]).join(parts, ["spread", "size", "digits_"])
-    rank = F.col("kinds_") + F.col("parts_") + F.col("within_")
-    return ranked.select(group, F.when(F.floor(rank / k) % 2 == 0, rank % k).otherwise(k - 1 - rank % k).cast("int").alias("fold"))
+    rank = F.col("rank_") - 1
+    dealt = ranked_rows(spread, [F.desc("spread"), F.desc("size"), F.asc("hash_"), F.asc(group)], "rank_")
+    return dealt.select(group, F.when(F.floor(rank / k) % 2 == 0, rank % k).otherwise(k - 1 - rank % k).cast("int").alias("fold"))
 
 
 def fold_overlap(folds: DataFrame, group: str) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import written
+
 _FUNCTIONS = {"max": F.max, "min": F.min, "sum": F.sum}
 #: Which rows a value is of: those before the row or up to it, those after it or from it on, or all of its entity.
 ROWS = ("before", "upto", "after", "from", "all")
@@ -72,3 +74,17 @@ def running(df: DataFrame, by: list[str], order: list[str], width: int | Column,
         else:
             told.append((carry if of[0] == "all" else _both(fn, here, carry)).alias(name))
     return out.select(*(F.col(c) for c in df.columns if c not in values), *told)
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """All rows with their place, from 1, in the order of ``order``: ranges of rows in order, each row's place in its range, and the ranges' sizes.
+
+    No task holds more than its range, and the one window there is has a row for each range.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(dealt.withColumn("id_", F.monotonically_increasing_id()), "ranked")  # the range, and the place in it in 33 bits
+    placed = placed.withColumns({"range_": F.shiftright("id_", 33), "at_": F.col("id_").bitwiseAND((1 << 33) - 1)}).drop("id_")
+    sizes = placed.groupBy("range_").agg(F.count("*").alias("n_")).withColumn("one_", F.lit(0))
+    before = F.sum("n_").over(Window.partitionBy("one_").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("range_", F.coalesce(before, F.lit(0)).alias("before_"))
+    return placed.join(F.broadcast(starts), "range_").select(*df.columns, (F.col("before_") + F.col("at_") + 1).alias(name))

@@ -414,6 +414,31 @@ def q7(spark, d):
     return audit.sample_status(view(spark, d, "dur").withColumn("done", F.col("user_id") % 10 != 0), found, U).select("user_id", "violations", "status")
 
 
+STATUSES = """v AS (SELECT user_id, count(*) AS n FROM words_v WHERE f_pos GROUP BY user_id), sl AS (SELECT user_id, bool_or(silent) AS silent FROM words_v GROUP BY user_id),
+    ho AS (SELECT user_id, max(end_us - start_us) AS hole FROM timeline WHERE kind = 'unassigned' GROUP BY user_id),
+    st AS (SELECT d.user_id, d.duration, coalesce(ho.hole, 0) AS hole, coalesce(sl.silent, false) AS silent, CASE WHEN d.user_id % 10 = 0 THEN 'pending' WHEN coalesce(v.n, 0) > 0 THEN 'invalid' ELSE 'ok' END AS status
+      FROM dur d LEFT JOIN v ON v.user_id = d.user_id LEFT JOIN sl ON sl.user_id = d.user_id LEFT JOIN ho ON ho.user_id = d.user_id)"""
+
+
+def statuses(spark, d):
+    w = words(spark, d)
+    found = audit.violations(w, ["user_id"], {"no_length": F.col("end_us") <= F.col("start_us")}, F.lit(""))
+    out = audit.sample_status(view(spark, d, "dur").withColumn("done", F.col("user_id") % 10 != 0), found, U)
+    holes = intervals.longest_unmapped(w, view(spark, d, "dur"), U)
+    silent = w.groupBy("user_id").agg(F.bool_or("silent").alias("silent"))
+    return out.join(holes, "user_id").join(silent, "user_id", "left")
+
+
+@query("q7_validation_totals", TIMELINE.replace(f">= {GAP_US}", ">= 1") + ", " + STATUSES + " SELECT count(*) AS expected, count(*) FILTER (status = 'ok') AS complete, CAST(coalesce(sum(duration) FILTER (status = 'ok'), 0) AS BIGINT) AS seconds, CAST(coalesce(max(hole) FILTER (status = 'ok'), 0) AS BIGINT) AS longest FROM st")
+def q7t(spark, d):
+    return audit.validation_totals(statuses(spark, d), "duration", "longest_us")
+
+
+@query("q7_validation_lists", TIMELINE.replace(f">= {GAP_US}", ">= 1") + ", " + STATUSES + " SELECT 'incomplete' AS list, user_id FROM st WHERE status <> 'ok' UNION ALL SELECT 'silent_audio', user_id FROM st WHERE silent UNION ALL SELECT 'long_hole', user_id FROM st WHERE hole > 20000000000")
+def q7l(spark, d):
+    return audit.validation_lists(statuses(spark, d), "user_id", {"silent_audio": F.col("silent"), "long_hole": F.col("longest_us") > 20_000_000_000})
+
+
 @query("u2_index_identity", "SELECT user_id FROM (SELECT user_id, count(*) n, count(DISTINCT event_id % 40) c, min(event_id % 40) lo, max(event_id % 40) hi FROM events GROUP BY user_id) WHERE lo <> 0 OR hi <> n - 1 OR n <> c")
 def u2(spark, d):
     return audit.index_identity(view(spark, d, "SELECT user_id, event_id % 40 AS i FROM events"), U, "i").select("user_id")

@@ -411,7 +411,26 @@ def scenario_metrics(spark, d):
 
 @query("a16_scenario_means", SCORED + ", mae AS (SELECT kind, scenario, avg(abs(pred - r)) AS mae FROM sp GROUP BY kind, scenario) SELECT m.kind, round(avg(accuracy), 6) AS accuracy, round(avg(macro_f1), 6) AS macro_f1, round(avg(mae), 6) AS mae, count(*) AS scenarios FROM score s JOIN mae m ON s.scenario = m.scenario GROUP BY m.kind")
 def a16(spark, d):
-    return scenario_metrics(spark, d).groupBy("kind").agg(*(r6(F.avg(c)).alias(c) for c in ("accuracy", "macro_f1", "mae")), F.count("*").alias("scenarios"))
+    out = metrics.scenario_means(scenario_metrics(spark, d), ["kind"])
+    return out.select("kind", *(r6(c).alias(c) for c in ("accuracy", "macro_f1", "mae")), "scenarios")
+
+
+@query("a16_rate_curve", SCORED + ", nm AS (SELECT DISTINCT scenario, modality, rate FROM sp WHERE kind = 'single') SELECT modality, CAST(rate AS VARCHAR) AS rate, round(avg(accuracy), 6) AS accuracy, round(avg(macro_f1), 6) AS macro_f1, count(*) AS scenarios FROM score s JOIN nm ON s.scenario = nm.scenario GROUP BY modality, nm.rate")
+def a16c(spark, d):
+    rows = scenario_metrics(spark, d).where("kind = 'single'").withColumns({"modality": F.split("scenario", ":")[1], "rate": F.split("scenario", ":")[2]})
+    out = metrics.scenario_means(rows, ["modality", "rate"], ("accuracy", "macro_f1"))
+    return out.select("modality", "rate", r6("accuracy").alias("accuracy"), r6("macro_f1").alias("macro_f1"), "scenarios")
+
+
+@query("e14_robust_versus_baseline", SCORED + ", kd AS (SELECT DISTINCT scenario, kind FROM sp) SELECT 'first' AS model, round(avg(macro_f1) FILTER (kind = 'complete'), 6) AS complete, round(avg(macro_f1) FILTER (kind <> 'complete'), 6) AS masked, round(avg(macro_f1) FILTER (kind = 'complete') - avg(macro_f1) FILTER (kind <> 'complete'), 6) AS lost FROM score s JOIN kd ON kd.scenario = s.scenario")
+def e14b(spark, d):
+    out = metrics.robust_versus_baseline(scenario_metrics(spark, d).withColumn("model", F.lit("first")))
+    return out.select("model", *(r6(c).alias(c) for c in ("complete", "masked", "lost")))
+
+
+@query("e14_confusion", SCORED + " SELECT kind, y, p, count(*) AS n FROM sp GROUP BY kind, y, p")
+def e14c(spark, d):
+    return metrics.confusion(scenario_scores(spark, d), ["kind"])
 
 
 @query("e9_score_batches", SCORED + " SELECT scenario, vec_id, p, round(pred, 6) AS reg FROM sp")
@@ -472,6 +491,39 @@ def q4(spark, d):
     return audit.violations(p, ["vec_id", "model"], audit.prediction_checks("p0", "p1", "p2", "p", "pred"), F.lit("")).drop("detail")
 
 
+@query("q4_prediction_ids", "SELECT DISTINCT vec_id, CASE WHEN vec_id % 40 = 1 THEN 'missing_id' WHEN vec_id % 50 = 0 THEN 'repeated_id' ELSE 'unexpected_id' END AS check_id FROM seq_v WHERE vec_id % 40 = 1 OR vec_id % 50 = 0 UNION ALL SELECT DISTINCT vec_id, 'unexpected_id' FROM seq_v WHERE vec_id % 60 = 7 AND vec_id % 40 <> 1")
+def q4i(spark, d):
+    ids = seq(spark, d).select("vec_id").distinct()
+    given = ids.where("vec_id % 40 <> 1")
+    return audit.prediction_file_violations(given.unionByName(ids.where("vec_id % 50 = 0")), ids.where("vec_id % 60 <> 7 or vec_id % 40 = 1"), V)
+
+
+@query("q5_window_rows", "n AS (SELECT vec_id, count(*) AS n FROM seq_v WHERE mt GROUP BY vec_id) SELECT vec_id, 'window_rows' AS check_id FROM n WHERE vec_id % 9 = 2")
+def q5w(spark, d):
+    rows = seq(spark, d).where("mt")
+    said = rows.groupBy("vec_id").agg(F.count("*").alias("n_windows")).withColumn("n_windows", F.col("n_windows") + F.when(F.col("vec_id") % 9 == 2, 1).otherwise(0))
+    return audit.window_count_violations(said, rows, V)
+
+
+@query("q5_availability", "SELECT DISTINCT vec_id, 'availability' AS check_id FROM seq_v WHERE vec_id % 9 = 4")
+def q5a(spark, d):
+    told_ = seq(spark, d).groupBy("vec_id").agg(F.bool_or("mv").alias("vision"))
+    said = told_.withColumn("vision", F.when(F.col("vec_id") % 9 == 4, ~F.col("vision")).otherwise(F.col("vision")))
+    return audit.availability_violations(said, told_, V, "vision")
+
+
+AUX = ", ".join(f"-ln(exp(b{k} - g{k}) / (exp(b{k} - g{k}) + exp(-g{k}))) AS l{k}" for k in range(3))
+
+
+@query("a21_auxiliary_loss", f"""m AS (SELECT vec_id, bool_or(mt) AS ht, bool_or(ma) AS ha, bool_or(mv) AS hv, {", ".join(f"{mean_sql(m)} AS b{k}" for k, m in enumerate("tav"))} FROM seq_v GROUP BY vec_id), g AS (SELECT *, {", ".join(f"greatest(b{k}, 0) AS g{k}" for k in range(3))} FROM m),
+    l AS (SELECT vec_id % 2 AS part, ht, ha, hv, {AUX} FROM g) SELECT part, round(coalesce(avg(l0) FILTER (ht), 0) + coalesce(avg(l1) FILTER (ha), 0) + coalesce(avg(l2) FILTER (hv), 0), 6) AS aux FROM l GROUP BY part""")
+def a21b(spark, d):
+    s = seq(spark, d)
+    means = s.groupBy("vec_id").agg(*(F.coalesce(F.avg(F.when(F.col(f"m{m}"), F.col(m))), F.lit(0.0)).alias(m) for m in "tav"), *(F.bool_or(f"m{m}").alias(f"h{m}") for m in "tav"))
+    probs = means.select((F.col("vec_id") % 2).alias("part"), *(f"h{m}" for m in "tav"), *(fusion.softmax([F.col(m), F.lit(0.0)])[0].alias(f"q{m}") for m in "tav"))
+    return metrics.auxiliary_loss(probs, ["part"], [(f"q{m}", f"h{m}") for m in "tav"]).select("part", r6("aux").alias("aux"))
+
+
 # Folds and probes: groups are sources, labels are quality + toxic.
 
 FOLDS = """cn AS (SELECT grp, label, count(*) AS n FROM groups_v GROUP BY grp, label), sd AS (SELECT grp, stddev_pop(n) AS spread, sum(n) AS size FROM cn GROUP BY grp),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions import fusion, text
-from ..operators import audit, joins, metrics, pooling
+from ..operators import audit, joins, metrics, pooling, scan
 from .interval_queries import r6
 from .registry import query
 from .views import view
@@ -61,13 +61,10 @@ def a11(spark, d):
 RANK = text.STATUS_ORDER
 
 
-@query("o2_audit_sort", STATUS + " SELECT conv_id, turn, status, row_number() OVER (ORDER BY list_position([" + ", ".join(f"'{s}'" for s in RANK) + "], status), CASE WHEN n > 0 THEN -distance / n ELSE 0 END, conv_id, turn) AS rank FROM st QUALIFY rank <= 50")
+@query("o2_audit_sort", STATUS + " SELECT conv_id, turn, status, row_number() OVER (ORDER BY list_position([" + ", ".join(f"'{s}'" for s in RANK) + "], status), CASE WHEN n > 0 THEN -distance / n ELSE 0 END, conv_id, turn) AS rank FROM st")
 def o2(spark, d):
-    order = text.audit_order(C)
-    top = compared(spark, d).orderBy(*order).limit(50)  # the report's length
-    from pyspark.sql import Window
-
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).select(*C, "status", "rank")
+    rows = compared(spark, d).select(*C, "status", "wer")
+    return scan.ranked(rows, text.audit_order(C)).select(*C, "status", "rank")
 
 
 @query("t8_language_supported", f"SELECT conv_id, turn, ({LANG}) IN ('en', 'de') AS supported FROM transcripts_v")
