@@ -7,7 +7,7 @@ as well (``bucket``, in microseconds), so that a long entity isn't one task.  In
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scan import running
@@ -158,17 +158,17 @@ def frame_intervals(points: DataFrame, by: list[str], t: str = "t", own: str | N
     return out.withColumn("a", F.col(t)).withColumn("b", F.coalesce("next_", F.col(t) + F.coalesce(last, F.lit(0)))).drop("next_", "median_")
 
 
-def pair_coverage(targets: DataFrame, pairs: DataFrame, ids: list[str]) -> DataFrame:
-    """Targets ``[s, e)`` with the share of each that the union of the intervals of its ``pairs`` (of ``overlap_join``) covers."""
-    clipped = pairs.select(*ids, F.greatest("s", "a").alias("a"), F.least("e", "b").alias("b"))
-    covered = union_length(clipped, ids, name="covered_us")
-    out = targets.join(covered, ids, "left").fillna(0, ["covered_us"])
-    return out.withColumn("coverage", F.when(F.col("e") > F.col("s"), F.col("covered_us") / (F.col("e") - F.col("s"))).otherwise(F.lit(0.0)))
-
-
 def position_coverage(targets: DataFrame, obs: DataFrame, by: list[str], key: list[str], bucket: int = BUCKET_US) -> DataFrame:
-    """Share of each target ``[s, e)`` that the union of its observations covers; 0 where none does."""
-    return pair_coverage(targets, overlap_join(targets, obs, by, bucket), [*by, *key])
+    """Share of each target ``[s, e)`` that the union of its observations covers; 0 where none does.
+
+    What an observation covers that none before it does is known before the join, so the rest is a sum.
+    """
+    ids = [*by, *key]
+    good = novel_start(obs.where(F.col("b") > F.col("a")).select(*by, "a", "b"), by, bucket=bucket)
+    pairs = overlap_join(targets.select(*ids, "s", "e"), good, by, bucket)
+    part = F.greatest(F.lit(0), F.least("e", "b") - F.greatest("s", "novel_a"))
+    out = targets.join(pairs.groupBy(*ids).agg(F.sum(part).alias("covered_us")), ids, "left").fillna(0, ["covered_us"])
+    return out.withColumn("coverage", F.when(F.col("e") > F.col("s"), F.col("covered_us") / (F.col("e") - F.col("s"))).otherwise(F.lit(0.0)))
 
 
 def thin_by_spacing(points: DataFrame, by: list[str], step_us: int, t: str = "t") -> DataFrame:
