@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions import fusion, text
-from ..operators import audit, joins, metrics, pooling, scan
+from ..operators import audit, joins, lineage, metrics, pooling, scan
 from .interval_queries import r6
 from .registry import query
 from .views import view
@@ -232,6 +232,26 @@ def j11(spark, d):
     return joins.pending_work(docs, done, ["doc_id", "signature", "hash"]).select("doc_id")
 
 
+#: Stages and what each is made from.
+UPSTREAM = {"media": (), "align": ("media",), "text": ("align",), "audio": ("media",), "vision": ("media",), "aggregate": ("media", "align", "text", "audio", "vision")}
+
+
+@query("j11_pending_stages", """SELECT doc_id, unnest(['vision', 'aggregate']) AS stage FROM documents UNION ALL SELECT doc_id, unnest(['media', 'align', 'text']) FROM documents WHERE doc_id % 7 = 3
+    UNION ALL SELECT doc_id, 'audio' FROM documents WHERE doc_id % 7 = 3 OR doc_id % 11 = 5""")
+def j11s(spark, d):
+    """All was done once; then one stage's settings change, some media files change and some audio records are lost."""
+    docs = view(spark, d, "SELECT doc_id, n_chars FROM documents")
+    settings = {s: f"{s} v1" for s in UPSTREAM}
+    records = docs.limit(0).select("doc_id", *(F.lit(None).cast("string").alias(c) for c in ("stage", "signature", "output", "actual")))
+    for s in lineage.in_order(UPSTREAM):  # stage after stage, as a run records them
+        now = lineage.stage_states(docs, records, "doc_id", "n_chars", UPSTREAM, settings).where(F.col("stage") == s)
+        made = now.select("doc_id", "stage", "signature", F.concat_ws(":", "stage", "doc_id").alias("output")).withColumn("actual", F.col("output"))
+        records = sources.written(records.unionByName(made), "records")
+    changed = records.where("not (stage = 'audio' and doc_id % 11 = 5)").withColumn("actual", F.when((F.col("stage") == "media") & (F.col("doc_id") % 7 == 3), "other").otherwise(F.col("actual")))
+    states = lineage.stage_states(docs, changed, "doc_id", "n_chars", UPSTREAM, settings | {"vision": "vision v2"})
+    return states.where("pending").select("doc_id", "stage")
+
+
 @query("j14_annotate_with_audit", STATUS + " SELECT g.doc_id, CASE WHEN s.status IS NULL THEN 'not_comparable' WHEN s.wer > 0.9 THEN 'high_suspect' ELSE 'not_flagged' END AS grp FROM groups_v g LEFT JOIN (SELECT conv_id, any_value(status) AS status, max(CASE WHEN n > 0 THEN distance / n END) AS wer FROM st GROUP BY conv_id) s ON g.doc_id = s.conv_id")
 def j14(spark, d):
     found = compared(spark, d).select(F.col("conv_id").alias("doc_id"), "status", "wer")
