@@ -67,6 +67,21 @@ def index_identity(df: DataFrame, by: list[str], index: str) -> DataFrame:
     return s.where((F.col("lo") != 0) | (F.col("hi") != F.col("n") - 1) | (F.col("n") != F.col("distinct_n")))
 
 
+def position_checks(features: str, mask: str, width: int, start: str, end: str, duration: str, word_index: str, words: str, slack_us: int = 1) -> dict[str, Column]:
+    """What each exported position must hold: a vector of the right width, finite, zero where it is masked; a time inside the clip that has
+    length; and a word index of the sample's words, or -1 for a gap."""
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return {
+        "width": F.coalesce(F.size(features), F.lit(-1)) != width,
+        "not_finite": F.exists(features, bad),
+        "nonzero_where_masked": ~F.coalesce(F.col(mask), F.lit(False)) & F.exists(features, lambda x: x != 0),
+        "mask_missing": F.col(mask).isNull(),
+        "out_of_time": F.col(start).isNull() | F.col(end).isNull() | (F.col(start) < -slack_us) | (F.col(end) > F.col(duration) + slack_us),
+        "no_length": F.col(end) <= F.col(start),
+        "word_index": ~F.coalesce(F.col(word_index).between(-1, F.col(words) - 1), F.lit(False)),
+    }
+
+
 def sample_status(samples: DataFrame, found: DataFrame, key: list[str], done: str = "done") -> DataFrame:
     """``ok``, ``invalid`` or ``pending`` for each sample, with the number of its violations."""
     n = found.groupBy(*key).agg(F.count("*").alias("violations"))

@@ -403,6 +403,23 @@ def q2(spark, d):
     return audit.violations(words(spark, d), ["user_id", "word_index"], checks, F.col("end_us")).drop("detail")
 
 
+@query("q2_position_checks", """nw AS (SELECT user_id, count(*) AS n FROM words_v GROUP BY user_id), ps AS (SELECT w.*, nw.n FROM words_v w JOIN nw ON nw.user_id = w.user_id)
+    SELECT user_id, word_index, 'width' AS check_id FROM ps WHERE word_index % 9 = 4 UNION ALL SELECT user_id, word_index, 'not_finite' FROM ps WHERE word_index % 13 = 5
+    UNION ALL SELECT user_id, word_index, 'nonzero_where_masked' FROM ps WHERE NOT time_valid AND word_index % 11 <> 7 AND (end_us <> start_us OR word_index % 13 = 5 OR word_index % 9 = 4)
+    UNION ALL SELECT user_id, word_index, 'nonzero_where_masked' FROM ps WHERE word_index % 11 = 7 AND (end_us <> start_us OR word_index % 13 = 5 OR word_index % 9 = 4)
+    UNION ALL SELECT user_id, word_index, 'mask_missing' FROM ps WHERE word_index % 11 = 7 UNION ALL SELECT user_id, word_index, 'out_of_time' FROM ps WHERE start_us < -1 OR end_us > duration + 1
+    UNION ALL SELECT user_id, word_index, 'no_length' FROM ps WHERE end_us <= start_us UNION ALL SELECT user_id, word_index, 'word_index' FROM ps WHERE word_index % 17 = 3""")
+def q2p(spark, d):
+    w = words(spark, d)
+    n = w.groupBy("user_id").agg(F.count("*").alias("n"))
+    i = F.col("word_index") % 13 == 5
+    length = F.when(i, float("inf")).otherwise((F.col("end_us") - F.col("start_us")).cast("double"))
+    features = F.when(F.col("word_index") % 9 == 4, F.array(length, F.lit(1.0))).otherwise(F.array(length))
+    rows = w.join(n, "user_id").withColumns({"features": features, "mask": F.when(F.col("word_index") % 11 != 7, F.col("time_valid")), "index": F.when(F.col("word_index") % 17 == 3, -2).otherwise(F.col("word_index"))})
+    checks = audit.position_checks("features", "mask", 1, "start_us", "end_us", "duration", "index", "n")
+    return audit.violations(rows, ["user_id", "word_index"], checks, F.lit(None)).drop("detail")
+
+
 @query("q3_unrepresented_gap", TIMELINE.replace(f">= {GAP_US}", ">= 1") + f" SELECT user_id, CAST(max(end_us - start_us) AS BIGINT) AS longest_us FROM timeline WHERE kind = 'unassigned' GROUP BY user_id HAVING max(end_us - start_us) > {GAP_US}")
 def q3(spark, d):
     return intervals.longest_unmapped(words(spark, d), view(spark, d, "dur"), U).where(F.col("longest_us") > GAP_US)
