@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fusion
 from ..operators import attribution as at
-from ..operators import audit, joins, metrics, pooling, probe
+from ..operators import audit, joins, kernel, metrics, pooling, probe
 from .interval_queries import r6
 from .registry import query
 from .views import view
@@ -595,3 +595,13 @@ def e5(spark, d):
 def e6(spark, d):
     x = stats_vector(spark, d).withColumn("x", F.array("m_a", "s_a", "m_t", "s_t")).withColumn("train", F.col("fold") != 0)
     return probe.kernel_probe(x, "x", "label", "train", 4).select("vec_id", "label", "predicted")
+
+
+@query("e6_kernel_ridge")
+def e6b(spark, d):
+    s = seq(spark, d)
+    x = s.groupBy("vec_id").agg(F.first("class_id").alias("label"), F.first("reg").alias("reg")).withColumn("train", F.col("vec_id") % 3 != 0)
+    for m in "tav":
+        x = x.join(pooling.moments(s, V, m, f"m{m}").select("vec_id", F.array("mean", "std", "present").alias(m)), "vec_id")
+    model = kernel.fit(x, {"t": 3, "a": 2, "v": 2}, "label", "reg", "train", width=256)
+    return model.transform(x).select("vec_id", "label", "reg", "train", "predicted", "intensity")
