@@ -430,32 +430,50 @@ def neighbours(h: np.ndarray, percent: int, hot: np.ndarray) -> tuple[list[tuple
     return out, whole
 
 
-_NEAR = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("member", pa.int64()), ("label", pa.int64())])
+#: 64-bit words of the sketch that goes with each row of a segment.
+WORDS = 4
+_NEAR = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("member", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), *((f"s{i}", pa.int64()) for i in range(WORDS))])
+_NEAR_SQL = "kind int, key long, member long, label long, n long, " + ", ".join(f"s{i} long" for i in range(WORDS))
 FULL, DELETED, BOUND = 0, 1, 2
 
 
+def short_sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of the elements by their low bits, at one width for all sets: bounds a difference from below as ``sketch`` does."""
+    odd = np.bincount((h & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _not_ruled_out(percent: int) -> str:
+    """Join condition on sides u and v: sizes and short sketches allow a link."""
+    apart = " + ".join(f"bit_count(u_s{i} ^ v_s{i})" for i in range(WORDS))
+    return f"100 * least(u_n, v_n) >= {percent} * greatest(u_n, v_n) and {apart} <= (u_n + v_n) * {100 - percent} div {100 + percent}"
+
+
 def _neighbour_rows(percent: int):
-    """Rows (kind, key, member, label) of whole and of shortened segments, and a row for each set that must be held against its buckets."""
+    """Rows of whole and of shortened segments with their set's label, size and short sketch, and a row for each set that must be held against its buckets."""
 
     def run(batches):
         for b in sliced(batches, SLICE_ROWS, 1):
-            kinds, keys, members, labels = [], [], [], []
+            kinds, keys, members, of_set = [], [], [], []
 
             def told(kind: int, some: np.ndarray, member: int):
                 kinds.append(np.full(len(some), kind, dtype=np.int32))
                 keys.append(some.view(np.int64))
                 members.append(np.full(len(some), member, dtype=np.int64))
-                labels.append(np.full(len(some), label, dtype=np.int64))
+                of_set.append(np.tile(facts, (len(some), 1)))
 
             for cls, raw, hot, label in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                by_band, whole = neighbours(np.frombuffer(raw, dtype=np.uint64), percent, np.array(hot, dtype=np.int64).view(np.uint64))
+                h = np.frombuffer(raw, dtype=np.uint64)
+                facts = np.concatenate((np.array([label, len(h)], dtype=np.int64), short_sketch(h)))
+                by_band, whole = neighbours(h, percent, np.array(hot, dtype=np.int64).view(np.uint64))
                 for is_owner, full, shorter in by_band:
                     told(FULL, full, cls | is_owner)
                     told(DELETED, np.unique(shorter), cls | is_owner)
                 if not whole:
                     told(BOUND, np.zeros(1, dtype=np.uint64), cls)
             if kinds:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kinds, keys, members, labels)], schema=_NEAR)
+                columns = [*(np.concatenate(x) for x in (kinds, keys, members)), *np.concatenate(of_set).T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], schema=_NEAR)
 
     return run
 
@@ -552,17 +570,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     tied = None
     if not own_hot.isEmpty():
         labelled = sets.join(own_hot, "cls").join(labels, "cls", "left").select("cls", "elements", "hot", F.coalesce("label", "cls").alias("label"))
-        near = written(labelled.mapInArrow(_neighbour_rows(percent), "kind int, key long, member long, label long"), "neighbours")
+        near = written(labelled.mapInArrow(_neighbour_rows(percent), _NEAR_SQL), "neighbours")
         # Of a pair of two components, one set at least stands beside the key's largest component; a key that lies in one component makes none.
         of_label = near.where(F.col("kind") != BOUND).groupBy("key", "label").agg(F.count("*").alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high"))
         of_key = of_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("labels"), F.min("low").alias("low"), F.max("high").alias("high"))
         several = of_key.where((F.col("labels") > 1) & (F.col("low") == FULL) & (F.col("high") == DELETED)).select("key", "top")
         mixed = written(near.where(F.col("kind") != BOUND).join(several, "key").withColumn("beside", F.col("label") != F.col("top")).drop("top"), "mixed")
-        side = lambda kind, name: mixed.where(F.col("kind") == kind).select("key", cls.alias(name), owner.alias(f"owner_{name}"), F.col("label").alias(f"label_{name}"), F.col("beside").alias(f"beside_{name}"))
-        whole, shorter = side(FULL, "u"), side(DELETED, "v")
-        apart = "(owner_u or owner_v) and label_u <> label_v"
-        met = shorter.where("beside_v").join(whole, "key").where(apart).union(shorter.where("not beside_v").join(whole.where("beside_u"), "key").select(*shorter.columns, *whole.columns[1:]).where(apart))
-        links = links.union(checked(met.select("u", "v").distinct()))
+        facts = {"cls": cls, "owner": owner} | {c: F.col(c) for c in ("label", "beside", *_NEAR.names[4:])}
+        whole, shorter = (mixed.where(F.col("kind") == kind).select("key", *(c.alias(f"{name}_{as_}") for as_, c in facts.items())) for kind, name in ((FULL, "u"), (DELETED, "v")))
+        # What sizes and short sketches rule out is never a row.
+        apart = F.expr(f"(u_owner or v_owner) and u_label <> v_label and {_not_ruled_out(percent)}")
+
+        def meet(u: DataFrame, v: DataFrame) -> DataFrame:
+            return u.join(v, (u["key"] == v["key"]) & apart).select(F.col("u_cls").alias("u"), F.col("v_cls").alias("v"))
+
+        met = meet(whole, shorter.where("v_beside")).union(meet(whole.where("u_beside"), shorter.where("not v_beside")))
+        links = links.union(checked(met.distinct()))
         bound = written(near.where(F.col("kind") == BOUND).select(cls).distinct().withColumn("tied", F.lit(True)), "bound")
         if not bound.isEmpty():
             tied = rest.where("hot").join(bound, "cls", "left").withColumn("bound", F.coalesce("tied", F.lit(False))).drop("tied")

@@ -410,6 +410,24 @@ def test_jaccard_hot_passages(spark, monkeypatch, limit):
     assert 5 < len(set(groups.values())) < len(texts) - 10
 
 
+def test_short_sketches_lose_no_link(spark):
+    """The join condition holds for all pairs that link, and rules out nearly all that share half of their elements."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(600):
+        n = int(rng.integers(1, 700))
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        most = int(len(x) * (0.12 if i % 2 else 0.5))
+        y = np.unique(np.concatenate((x[most:], rng.integers(0, 2**64, most // 10 if i % 2 else most, dtype=np.uint64))))
+        both = len(np.intersect1d(x, y))
+        linked = 100 * both >= 85 * (len(x) + len(y) - both)
+        rows.append((linked, len(x), *jaccard.short_sketch(x).tolist(), len(y), *jaccard.short_sketch(y).tolist()))
+    sides = ", ".join(f"{side}_n long, " + ", ".join(f"{side}_s{i} long" for i in range(jaccard.WORDS)) for side in "uv")
+    got = spark.createDataFrame(rows, f"linked boolean, {sides}").selectExpr("linked", "u_n", f"{jaccard._not_ruled_out(85)} as ok").collect()
+    assert sum(r["linked"] for r in got) > 100 and all(r["ok"] for r in got if r["linked"])
+    assert np.mean([r["ok"] for r in got if not r["linked"] and 50 < r["u_n"] < 300]) < 0.2
+
+
 def test_neighbourhoods_meet():
     """Linked sets that agree on hot keys alone still meet: a whole segment of one is a shortened one of the other, or one is bound."""
     rng = np.random.default_rng(9)
