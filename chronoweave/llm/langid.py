@@ -6,7 +6,7 @@ as long as the log likelihood gains more than the penalty (the Bayesian informat
 one language has one element.
 
 Fitting sees a bounded sample: the labelled documents with the smallest hash of their id, about ``TRAIN_DOCUMENTS`` of them.  The model
-holds the ``MAX_LANGUAGES`` languages with the most labelled documents of the sample.
+holds every language of the sample, as the counts that are not 0; languages are scored in blocks, so their number bounds no memory.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0 (numbers and signs are no letters); null labels are not
 learned from; repeated rows get equal results; an empty table gives an empty result, and without any labelled document every text is
@@ -15,6 +15,8 @@ learned from; repeated rows get equal results; an empty table gives an empty res
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +26,10 @@ from .common import batch, documents, sliced
 
 TRAIN_DOCUMENTS = 20_000
 BUCKETS = 1 << 16
-MAX_LANGUAGES = 200
+#: Cells (language, n-gram) of a document that are held at once.
+CELLS = 1 << 21
+#: Languages that a task counts at once while fitting.
+COUNTED = 64
 PENALTY = 4.0
 ROUNDS = 12
 NONE = "und"
@@ -53,66 +58,113 @@ _FOLD[128:] = np.arange(128, 256)
 def _counted(batches):
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
     totals: dict[str, np.ndarray] = {}
-    for b in sliced(batches, SLICE_ROWS):
+
+    def told():
+        for lang, n in totals.items():
+            at = np.flatnonzero(n)
+            yield batch(schema, ([lang] * len(at), at, n[at]))
+        totals.clear()
+
+    for b in sliced(batches, SLICE_ROWS, 0):
         for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if lang not in totals:
                 totals[lang] = np.zeros(BUCKETS, dtype=np.int64)
             totals[lang] += np.bincount(_bucket_ids(text), minlength=BUCKETS)
-    for lang, n in totals.items():
-        at = np.flatnonzero(n)
-        yield batch(schema, ([lang] * len(at), at, n[at]))
+            if len(totals) >= COUNTED:
+                yield from told()
+    yield from told()
+
+
+class Grams:
+    """Log probabilities of buckets by language: those of seen buckets, and one number for all unseen buckets of a language."""
+
+    def __init__(self, languages: int, lang: np.ndarray, bucket: np.ndarray, n: np.ndarray):
+        order = np.argsort(bucket, kind="stable")
+        self.lang, n = lang[order].astype(np.int32), n[order]
+        self.ends = np.cumsum(np.bincount(bucket, minlength=BUCKETS))
+        total = np.bincount(self.lang, weights=n, minlength=languages) + 0.5 * BUCKETS
+        self.unseen = np.log(0.5 / total)
+        self.logs = np.log((n + 0.5) / total[self.lang]).astype(np.float32)
+
+    def __len__(self) -> int:
+        return len(self.unseen)
+
+    def of(self, ids: np.ndarray) -> Callable[[int, int], np.ndarray]:
+        """A function of (low, high) that gives the log probabilities of ``ids`` in these languages."""
+        starts = np.where(ids > 0, self.ends[ids - 1], 0)
+        n = self.ends[ids] - starts
+        column = np.repeat(np.arange(len(ids)), n)
+        at = np.arange(len(column)) + np.repeat(starts - np.cumsum(n) + n, n)
+        lang, logs = self.lang[at], self.logs[at]
 
+        def block(low: int, high: int) -> np.ndarray:
+            out = np.repeat(self.unseen[low:high, None], len(ids), axis=1)
+            here = (lang >= low) & (lang < high)
+            out[lang[here] - low, column[here]] = logs[here]
+            return out
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", row_id: str = "doc_id", limit: int = TRAIN_DOCUMENTS) -> tuple[list[str], np.ndarray]:
-    """Names of the languages, and the log probability of each bucket in each of them."""
+        return block
+
+
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", row_id: str = "doc_id", limit: int = TRAIN_DOCUMENTS) -> tuple[list[str], Grams]:
+    """Names of the languages, and the log probabilities of their buckets."""
     usable = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull())
     n = usable.count()
     if n > limit:
         share = F.pmod(F.xxhash64(F.lit(10), F.col(row_id)), F.lit(1_000_000))
         usable = usable.where(share < int(1_000_000 * limit / n))
-    known = usable.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(MAX_LANGUAGES)
-    usable = usable.join(F.broadcast(known.select(label)), label, "left_semi")  # MAX_LANGUAGES rows at most
     counts = usable.select(text, label).mapInArrow(_counted, "lang string, bucket int, n long")
-    table = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most MAX_LANGUAGES * BUCKETS rows
-    names = sorted(set(table.column("lang").to_pylist()))
-    n = np.zeros((len(names), BUCKETS))
-    lang = np.searchsorted(np.array(names), np.array(table.column("lang").to_pylist())) if names else []
-    n[lang, table.column("bucket").to_numpy()] = table.column("n").to_numpy()
-    n += 0.5
-    return names, np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32)
+    table = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # buckets of about TRAIN_DOCUMENTS documents
+    langs = table.column("lang").combine_chunks().dictionary_encode()
+    names = sorted(langs.dictionary.to_pylist())
+    place = {name: i for i, name in enumerate(names)}
+    lang = np.array([place[x] for x in langs.dictionary.to_pylist()], dtype=np.int64)[langs.indices.to_numpy()]
+    return names, Grams(len(names), lang, table.column("bucket").to_numpy(), table.column("n").to_numpy())
 
 
 def _mixture(p: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Shares of the rows of ``p`` (language x n-gram) in counts ``n``, and their log likelihood."""
-    pi = np.full(len(p), 1.0 / len(p))
-    if len(p) > 1:
+    pi = _shares(lambda: [(0, len(p), p)], len(p), n, rounds)
+    return pi, float(np.log(np.maximum(pi @ p, 1e-300)) @ n)
+
+
+def _shares(blocks: Callable, languages: int, n: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Shares of all languages in counts ``n``; each call of ``blocks`` gives (low, high, probabilities) block by block."""
+    pi = np.full(languages, 1.0 / languages)
+    if languages > 1:
         for _ in range(rounds):
-            joint = pi[:, None] * p
-            pi = (joint / joint.sum(axis=0)) @ n
+            given = n / sum(pi[low:high] @ p for low, high, p in blocks())
+            pi = np.concatenate([pi[low:high] * (p @ given) for low, high, p in blocks()])
             pi /= pi.sum()
-    return pi, float(np.log(np.maximum(pi @ p, 1e-300)) @ n)
+    return pi
 
 
-def infer(text: str, log_p: np.ndarray, penalty: float = PENALTY) -> list[tuple[int, float]]:
+def infer(text: str, log_p: Grams, penalty: float = PENALTY) -> list[tuple[int, float]]:
     """(language, share) of the chosen set, largest share first."""
     ids, n = np.unique(_bucket_ids(text), return_counts=True)
     if not len(ids) or not len(log_p):
         return []
     n = n.astype(float)
-    logs = log_p[:, ids].astype(float)
-    p = np.exp(logs)
-    alone = logs @ n
+    logs = log_p.of(ids)
+    step = max(1, CELLS // len(ids))
+    ranges = [(low, min(low + step, len(log_p))) for low in range(0, len(log_p), step)]
+    each = lambda: ((low, high, logs(low, high)) for low, high in ranges)
+    alone = np.concatenate([x @ n for _, _, x in each()])
     chosen, pi, best = [int(np.argmax(alone))], np.ones(1), float(alone.max())
     if len(log_p) > 1:
-        full, _ = _mixture(p, n)
-        cost = penalty * np.log(max(n.sum(), 2.0))
-        for k in np.argsort(-full, kind="stable"):
-            if int(k) in chosen or full[k] < 0.02:
+        held = [(low, high, np.exp(x)) for low, high, x in each()] if len(ranges) == 1 else None
+        full = _shares(lambda: held or ((low, high, np.exp(x)) for low, high, x in each()), len(log_p), n)
+        row = lambda k: np.exp(logs(k, k + 1))[0]
+        p, cost = [row(chosen[0])], penalty * np.log(max(n.sum(), 2.0))
+        for k in np.argsort(-full, kind="stable").tolist():
+            if full[k] < 0.02:
+                break
+            if k in chosen:
                 continue
-            trial, gained = _mixture(p[[*chosen, int(k)]], n)
+            trial, gained = _mixture(np.array([*p, row(k)]), n)
             if gained - best <= cost:
                 break
-            chosen, pi, best = [*chosen, int(k)], trial, gained
+            chosen, pi, best, p = [*chosen, k], trial, gained, [*p, row(k)]
     return sorted(((k, float(s)) for k, s in zip(chosen, pi, strict=True)), key=lambda x: (-x[1], x[0]))
 
 
@@ -120,19 +172,19 @@ _OUT = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("languag
 
 
 def identify(
-    docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",), penalty: float = PENALTY, least_share: float | None = None
+    docs: DataFrame, model: tuple[list[str], Grams], text: str = "text", keep: tuple[str, ...] = ("doc_id",), penalty: float = PENALTY, least_share: float | None = None
 ) -> DataFrame:
     """The columns ``keep`` of ``docs`` with ``lang_pred``, ``score`` (its share), ``languages`` and ``shares`` of the chosen set.
 
     With ``least_share`` only the rows whose first language has that share or more leave the task; ``und`` rows never do then.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # MAX_LANGUAGES * BUCKETS numbers at most
+    shared = spark.sparkContext.broadcast(model)  # the counts of about TRAIN_DOCUMENTS documents
     sent = [*keep, *([] if text in keep else [text])]
 
     def run(batches):
         names, log_p = shared.value
-        for b in sliced(batches, SLICE_ROWS):
+        for b in sliced(batches, SLICE_ROWS, sent.index(text)):
             rows = []
             for t in b.column(sent.index(text)).to_pylist():
                 found = infer(t, log_p, penalty) if has_letter(t) else []

@@ -224,7 +224,10 @@ class TokenFiles:
     def write(self, docs: DataFrame, vocabulary: str, end_id: int = END_ID, planes: str = "byte", text: str = "text", row_id: str = "doc_id") -> TokenFiles:
         rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
         n = rows.count()
-        ranged = rows.repartitionByRange(max(1, -(-n // FILE_ROWS)), "doc_id").sortWithinPartitions("doc_id", "text")
+        # Rows of one repeated or null id are ordered by a hash of the text, then by where they are read, so that they fill many files.
+        rows = rows.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+        order = ("doc_id", "hash", "place")
+        ranged = rows.repartitionByRange(max(1, -(-n // FILE_ROWS)), *order).sortWithinPartitions(*order).select("doc_id", "text")
         ranged.mapInArrow(_encode(vocabulary, end_id, planes), _CHUNKS_SQL).write.parquet(self.path)
         return self
 

@@ -352,6 +352,40 @@ def test_language_mixture(spark):
     assert {names[k] for k in both} == {"en", "fr"} and all(0.3 < s < 0.7 for s in both.values())
 
 
+def test_many_languages(spark, monkeypatch):
+    """More languages than one block or one task's count holds: all are learned, and blocks change nothing."""
+    rng = np.random.default_rng(14)
+    alphabets = ["".join(rng.permutation(list("abcdefghijklmnopqrstuvwxyz"))[:7]) for _ in range(260)]
+    text = lambda i: " ".join("".join(rng.choice(list(alphabets[i]), 6)) for _ in range(120))
+    rows = [(260 * copy + i, text(i), f"l{i:03}") for copy in range(3) for i in range(260)]
+    names, log_p = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(names) == len(log_p) == 260
+    texts = [text(i) for i in range(0, 260, 13)]
+    whole = [langid.infer(x, log_p) for x in texts]
+    assert np.mean([names[found[0][0]] == f"l{i:03}" for i, found in zip(range(0, 260, 13), whole, strict=True)]) > 0.9
+    monkeypatch.setattr(langid, "CELLS", 1000)
+    for x, found in zip(texts, whole, strict=True):
+        again = langid.infer(x, log_p)
+        assert [k for k, _ in again] == [k for k, _ in found] and np.allclose([s for _, s in again], [s for _, s in found])
+    # The sparse table is the plain one.
+    ids = np.unique(langid._bucket_ids(texts[0]))
+    mine = sum(np.bincount(langid._bucket_ids(x), minlength=langid.BUCKETS) for _, x, lang in rows if lang == "l007") + 0.5
+    assert np.allclose(log_p.of(ids)(7, 8)[0], np.log(mine / mine.sum())[ids], atol=1e-5)
+
+
+def test_tokens_of_one_id(spark, monkeypatch):
+    """Rows of one null id, equal or not, fill several files, and are read back whole."""
+    monkeypatch.setattr(tokens, "FILE_ROWS", 500)
+    rows = [(None, "the same text")] * 2000 + [(None, f"text number {i}") for i in range(2000)] + [(7, "a"), (7, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    files = tokens.write_tokens(df, tokens.default_vocabulary())
+    sizes = [r["n"] for r in files.chunks().selectExpr("file", "explode(docs) d").groupBy("file").agg({"d": "count"}).toDF("file", "n").collect()]
+    assert len(sizes) >= 6 and max(sizes) < 2000
+    back = files.digests().orderBy("start").collect()
+    assert len(back) == len(rows) and [r["doc_id"] for r in back] == [None] * 4000 + [7, 7]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(back, back[1:], strict=False))
+
+
 def test_decontamination_tolerates_substitutions(spark):
     from chronoweave.llm import decontam
 
