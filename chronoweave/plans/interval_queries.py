@@ -360,15 +360,15 @@ def j12(spark, d):
     return out.select("user_id", "word_index", "near_t", r6("near_value").alias("near_value"))
 
 
-def faulty_export(spark, d):
-    """What ``interval_pool`` gives as an export, with a fault of each kind at some places."""
-    rebuilt = written(pooled(spark, d).select("user_id", "pos", "mean", "std", "mask", "coverage", "provenance"), "export")
+def faulty_export(own, obs):
+    """What ``interval_pool`` gives as an export of four tables, with a fault of each kind at some places."""
+    rebuilt = written(pooling.interval_pool(own, obs, U, ["pos"]).select("user_id", "pos", "mean", "std", "mask", "coverage", "provenance"), "export")
     k, pos = F.col("pos") % 12, F.col("pos")
-    windows = view(spark, d, "audio_v").select("user_id", "src_idx", "a", (F.col("b") + F.when(F.col("src_idx") % 11 == 3, 1).otherwise(0)).alias("b"))
+    windows = obs.select("user_id", "src_idx", "a", (F.col("b") + F.when(F.col("src_idx") % 11 == 3, 1).otherwise(0)).alias("b"))
     true = rebuilt.select("user_id", "pos", F.posexplode("provenance").alias("i", "p")).where((k != 2) | (F.col("i") > 0))
     weight = F.when(k == 6, -F.col("p.weight")).when(k == 8, F.col("p.weight") + 0.01).otherwise(F.col("p.weight"))
     made_up = rebuilt.where((k == 4) | (k == 10) & ~F.col("mask")).select("user_id", "pos", F.when(k == 4, 1_000_000).otherwise(0).alias("src"), F.lit(1.0).alias("weight"))
-    entries = true.select("user_id", "pos", "p.src", weight.alias("weight")).unionByName(made_up)
+    entries = written(true.select("user_id", "pos", "p.src", weight.alias("weight")).unionByName(made_up), "entries")
     lists = rebuilt.select("user_id", "pos").join(entries.groupBy("user_id", "pos").agg(F.collect_list("src").alias("list")), ["user_id", "pos"], "left")
     offsets = pooling.csr_offsets(lists, U, "pos", "list").withColumn("end_offset", F.col("end_offset") + F.when(pos % 13 == 5, 1).otherwise(0))
     more = lambda c, at, by: F.when(at, F.transform(c, lambda x: x + by)).otherwise(F.col(c)).alias(c)
@@ -376,7 +376,7 @@ def faulty_export(spark, d):
         "user_id", "pos", more("mean", pos % 7 == 0, 1), more("std", pos % 11 == 1, 0.5), F.when(pos % 29 == 8, ~F.col("mask")).otherwise(F.col("mask")).alias("mask"),
         F.when(pos % 31 == 9, F.col("coverage") + 0.5).otherwise(F.col("coverage")).alias("coverage"),
     )
-    return windows, offsets, entries, stats
+    return written(windows, "windows"), written(offsets, "offsets"), entries, written(stats, "stats")
 
 
 @query("q1_check_mapping", POOLED + """, hs AS (SELECT DISTINCT user_id, pos FROM pairs), au AS (SELECT DISTINCT user_id FROM audio_v), al AS (
@@ -393,8 +393,9 @@ def faulty_export(spark, d):
     UNION ALL SELECT user_id, pos, 'different_mask' FROM timeline WHERE pos % 29 = 8
     UNION ALL SELECT user_id, pos, 'different_coverage' FROM timeline WHERE pos % 31 = 9) SELECT user_id, CAST(place AS BIGINT) AS place, check_id FROM al""")
 def q1(spark, d):
-    obs = view(spark, d, "audio_v").withColumn("features", F.array("x"))
-    return mapping.check_mapping(*faulty_export(spark, d), targets(spark, d).select("user_id", "pos", "s", "e"), obs, U)
+    obs = written(view(spark, d, "audio_v").withColumn("features", F.array("x")), "obs")
+    own = written(targets(spark, d).select("user_id", "pos", "s", "e"), "targets")
+    return mapping.check_mapping(*faulty_export(own, obs), own, obs, U)
 
 
 @query("q2_check_sample", "SELECT user_id, word_index, CASE WHEN f_pos THEN 'no_length' END AS check_id FROM words_v WHERE f_pos UNION ALL SELECT user_id, word_index, 'late' FROM words_v WHERE end_us > duration UNION ALL SELECT user_id, word_index, 'silent' FROM words_v WHERE silent")
