@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 _SPAN = StructType([StructField("n", IntegerType()), StructField("a", IntegerType()), StructField("b", IntegerType()), StructField("ok", BooleanType())])
 
@@ -26,15 +27,38 @@ def place_words(raw: str, words: list[str]) -> list[tuple]:
     return out
 
 
-@F.pandas_udf(ArrayType(_SPAN))
-def _spans(raw: pd.Series, words: pd.Series) -> pd.Series:
-    return pd.Series([None if r is None or w is None else place_words(r, list(w)) for r, w in zip(raw, words, strict=True)])
+#: Words that Python holds as objects at once; a text is not cut.
+PIECE_WORDS = 20_000
 
 
 def word_spans(df: DataFrame, by: list[str], raw: str, words: str) -> DataFrame:
     """``(by, word_index, n, a, b, ok)``: the characters of the raw text that each word's letters and numbers are, in order.
 
     ``ok`` is false for the words of a text whose letters and numbers aren't exactly those of its words; nothing is matched loosely.
-    A word without letters or numbers has no span.  Each text is placed where it lies, without a shuffle.
+    A word without letters or numbers has no span.  Each text is placed where it lies, without a shuffle, and words leave as rows of
+    numbers, some thousands at a time.
     """
-    return df.select(*by, F.posexplode(_spans(raw, words)).alias("word_index", "s_")).select(*by, "word_index", "s_.*")
+    rows = df.where(F.col(raw).isNotNull() & F.col(words).isNotNull()).select(*by, F.col(raw).alias("raw_"), F.col(words).alias("words_"))
+    schema = StructType([rows.schema[c] for c in by] + [StructField("word_index", IntegerType()), *_SPAN])
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+
+    def told(b: pa.RecordBatch, held: list[list[tuple]], first: int) -> pa.RecordBatch:
+        sizes = [len(x) for x in held]
+        at = pa.array(np.repeat(np.arange(first, first + len(held)), sizes))
+        index = np.concatenate([np.arange(n) for n in sizes]) if sizes else []
+        columns = [index, *zip(*(x for spans in held for x in spans), strict=True)] if sum(sizes) else [[]] * 5
+        mine = [b.column(i).take(at) for i in range(len(by))]
+        return pa.RecordBatch.from_arrays([*mine, *(pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True))], names=schema.names)
+
+    def run(batches):
+        for b in batches:
+            held, first, n = [], 0, 0
+            for i in range(b.num_rows):
+                held.append(place_words(b.column(len(by))[i].as_py(), b.column(len(by) + 1)[i].as_py()))
+                n += len(held[-1])
+                if n >= PIECE_WORDS:
+                    yield told(b, held, first)
+                    held, first, n = [], i + 1, 0
+            yield told(b, held, first)
+
+    return rows.mapInArrow(run, schema)
